@@ -46,3 +46,26 @@ hits AS (
            chunk_id, score FROM _sc)
   WHERE rank <= 3
 )"""
+
+
+def pairs_sql(name: str, src: str, id_col: str, text_col: str) -> str:
+    """CTE ``name`` (id, a, b): each character with its successor."""
+    return f"""
+{name}_c AS (SELECT {id_col} AS id, string_split({text_col}, '') AS c FROM {src}),
+{name} AS (SELECT id, unnest(c[1 : len(c) - 1]) AS a, unnest(c[2 : len(c)]) AS b FROM {name}_c)"""
+
+
+# Bigram model over documents: model(a, b, n_ab, n_a, vocab, p, bits).
+MODEL = f"""
+{pairs_sql("dp", "documents", "doc_id", "text")},
+_mc AS (SELECT a, b, count(*) AS n_ab FROM dp GROUP BY a, b),
+_mv AS (SELECT count(DISTINCT b) AS vocab FROM _mc),
+_mn AS (SELECT a, b, n_ab, CAST(sum(n_ab) OVER (PARTITION BY a) AS BIGINT) AS n_a, vocab FROM _mc, _mv),
+model AS (SELECT *, (n_ab + 1) / (n_a + vocab) AS p, -log2((n_ab + 1) / (n_a + vocab)) AS bits FROM _mn)"""
+
+RAG_CONTEXT = f"""
+{KNN_SPARSE_HITS},
+ctx AS (
+  SELECT h.item_id, string_agg(c.chunk_text, ' ' ORDER BY h.rank) AS context
+  FROM hits h LEFT JOIN chunks c ON h.chunk_id = c.chunk_id GROUP BY h.item_id
+)"""

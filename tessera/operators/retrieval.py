@@ -17,7 +17,6 @@ from tessera.plans.hints import bounded_broadcast
 DEFAULT_TOP_K = 5      # retriever default
 RAG_TOP_K = 3          # retrieval-conditioned compression default
 SCORE_DECIMALS = 6     # scores are rounded before ranking so ties are engine-independent
-ID_BUCKET_WIDTH = 1 << 16
 
 
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -31,35 +30,34 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def assign_consecutive_ids(df: DataFrame, key: str, order: str, start: int | F.Column = 0,
-                           out: str = "chunk_id", width: int = ID_BUCKET_WIDTH) -> DataFrame:
-    """Ids 0..n-1 (+start) in (key, order) order without a single-partition window.
+def assign_consecutive_ids(df: DataFrame, start: int | F.Column = 0, out: str = "chunk_id") -> DataFrame:
+    """Ids start..start+n-1 in input order (partition order, then row order).
 
-    Rows are grouped into fixed ranges of ``key``; per-range counts (one row per
-    range) give offsets by a running sum over that small table, which is
-    broadcast back. Within a range a row_number finishes the id. The result is
-    deterministic, so a recomputed partition gets the same ids.
+    Input order is the document order of the source, as when a corpus is
+    indexed while it is iterated. No row is shuffled: each row gets its index
+    inside its partition, and one count per partition (a table with as many
+    rows as partitions) gives the partition offsets, which are broadcast.
+    ``df`` must come from a scan and narrow operators, so that a recomputed
+    partition has the same rows in the same order.
     """
-    b = F.floor(F.col(key) / F.lit(width)).alias("_bucket")
-    with_b = df.withColumn("_bucket", b)
-    counts = with_b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_bucket",
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"),
-    ).fillna(0, ["_off"])
-    within = Window.partitionBy("_bucket").orderBy(key, order)
+    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn(
+        "_row", F.monotonically_increasing_id())
+    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     start_c = start if isinstance(start, F.Column) else F.lit(start)
+    # monotonically_increasing_id = (partition id << 33) + row index in the partition
+    local = F.col("_row") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (
-        with_b.join(bounded_broadcast(offsets), "_bucket")
-        .withColumn(out, (F.col("_off") + F.row_number().over(within) - 1 + start_c).cast("long"))
-        .drop("_bucket", "_off")
+        tagged.join(F.broadcast(offsets), "_pid")
+        .withColumn(out, (F.col("_off") + local + start_c).cast("long"))
+        .drop("_pid", "_row", "_off")
     )
 
 
 def build_chunks(docs: DataFrame, start_id: int | F.Column = 0, **kw) -> DataFrame:
     """Chunk table (chunk_id, doc_id, chunk_no, chunk_text) with consecutive ids."""
-    return assign_consecutive_ids(chunk_documents(docs, **kw), "doc_id", "chunk_no", start=start_id)
+    return assign_consecutive_ids(chunk_documents(docs, **kw), start=start_id)
 
 
 def sparse_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
