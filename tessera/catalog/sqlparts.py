@@ -69,3 +69,14 @@ ctx AS (
   SELECT h.item_id, string_agg(c.chunk_text, ' ' ORDER BY h.rank) AS context
   FROM hits h LEFT JOIN chunks c ON h.chunk_id = c.chunk_id GROUP BY h.item_id
 )"""
+
+DOC_STATS = f"""
+{MODEL},
+{pairs_sql("sp", "documents", "doc_id", "text")},
+_db AS (SELECT sp.id AS doc_id, sum(m.bits) AS bits FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id),
+stats AS (
+  SELECT d.doc_id, d.lang, d.source, CAST(length(d.text) AS INTEGER) AS n_chars,
+         CAST(octet_length(encode(d.text)) AS BIGINT) AS original_bytes, round(_db.bits, 4) AS bits,
+         CAST(ceil(round(_db.bits, 4) / 8) AS BIGINT) AS compressed_bytes
+  FROM documents d JOIN _db ON d.doc_id = _db.doc_id
+)"""
