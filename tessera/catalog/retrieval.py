@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
-from tessera.catalog.sqlparts import CHUNKS, KNN_SPARSE_HITS
+from tessera.catalog.sqlparts import CHUNKS, KNN_SPARSE_HITS, RAG_CONTEXT
+from tessera.functions import text as T
+from tessera.plans.rag import retrieve_with_context
 from tessera.operators import retrieval as R
 from tessera.session import table
 
@@ -27,3 +29,110 @@ def q_assign_chunk_ids(spark, sf):
 @register("knn_sparse", f"WITH {KNN_SPARSE_HITS} SELECT item_id, rank, chunk_id, score FROM hits")
 def q_knn_sparse(spark, sf):
     return R.knn_sparse(table(spark, sf, "benchmark"), _chunks(spark, sf), k=R.RAG_TOP_K)
+
+
+# ------------------------------------------------------------ hits and context
+
+@register("topk_global", f"""WITH {KNN_SPARSE_HITS.replace("WHERE rank <= 3", "WHERE rank <= 5")}
+SELECT item_id, rank, chunk_id, score FROM hits""")
+def q_topk_global(spark, sf):
+    return R.knn_sparse(table(spark, sf, "benchmark"), _chunks(spark, sf), k=R.DEFAULT_TOP_K)
+
+
+def _hits(spark, sf):
+    chunks = _chunks(spark, sf)
+    return R.knn_sparse(table(spark, sf, "benchmark"), chunks, k=R.RAG_TOP_K), chunks
+
+
+@register("lookup_chunk_text", f"""WITH {KNN_SPARSE_HITS}
+SELECT h.item_id, h.rank, h.chunk_id, c.chunk_text FROM hits h LEFT JOIN chunks c ON h.chunk_id = c.chunk_id""")
+def q_lookup_chunk_text(spark, sf):
+    hits, chunks = _hits(spark, sf)
+    return R.lookup_text(hits, chunks).select("item_id", "rank", "chunk_id", "chunk_text")
+
+
+@register("rank_hits", f"""WITH {KNN_SPARSE_HITS}
+SELECT h.item_id, h.rank, h.chunk_id, h.score,
+       CASE WHEN length(c.chunk_text) > 200 THEN substring(c.chunk_text, 1, 200) || '...' ELSE c.chunk_text END AS preview
+FROM hits h LEFT JOIN chunks c ON h.chunk_id = c.chunk_id""")
+def q_rank_hits(spark, sf):
+    hits, chunks = _hits(spark, sf)
+    return R.lookup_text(hits, chunks).select("item_id", "rank", "chunk_id", "score",
+                                              T.preview("chunk_text").alias("preview"))
+
+
+@register("drop_missing_hits", f"""WITH {KNN_SPARSE_HITS.replace("WHERE rank <= 3", "WHERE rank <= 5")},
+_grid AS (SELECT b.item_id, CAST(r AS INTEGER) AS rank FROM benchmark b, range(1, 6) t(r)),
+_pad AS (SELECT g.item_id, g.rank, coalesce(h.chunk_id, -1) AS chunk_id FROM _grid g LEFT JOIN hits h ON g.item_id = h.item_id AND g.rank = h.rank)
+SELECT item_id, rank, chunk_id FROM _pad WHERE chunk_id <> -1""")
+def q_drop_missing_hits(spark, sf):
+    # Fixed-width result grid as a flat index returns it: absent neighbours are -1.
+    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(1), F.lit(R.DEFAULT_TOP_K))).alias("rank"))
+    hits = R.knn_sparse(table(spark, sf, "benchmark"), _chunks(spark, sf), k=R.DEFAULT_TOP_K)
+    padded = b.join(hits.select("item_id", "rank", "chunk_id"), ["item_id", "rank"], "left") \
+              .withColumn("chunk_id", F.coalesce("chunk_id", F.lit(-1).cast("long")))
+    return padded.filter(F.col("chunk_id") != -1).select("item_id", "rank", "chunk_id")
+
+
+@register("rag_context", f"WITH {RAG_CONTEXT} SELECT item_id, context FROM ctx")
+def q_rag_context(spark, sf):
+    return retrieve_with_context(spark, sf)
+
+
+@register("compose_title", """
+SELECT doc_id, 'Title: ' || source || chr(10) || text AS doc_text FROM documents""")
+def q_compose_title(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.compose_title("source", "text").alias("doc_text"))
+
+
+@register("scan_index_corpus", "SELECT doc_id, source AS title, text FROM documents")
+def q_scan_index_corpus(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), "text")
+
+
+# ------------------------------------------------------------------ dense kNN
+
+_CENTROIDS = """
+_e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+_x AS (SELECT label, i, round(avg(e[i]), 6) AS x FROM (SELECT label, e, unnest(range(1, len(e) + 1)) AS i FROM _e) GROUP BY label, i),
+cent AS (SELECT label, list(x ORDER BY i) AS q FROM _x GROUP BY label)"""
+
+
+def _centroids(spark, sf):
+    return R.mean_pool(table(spark, sf, "embeddings"), "label", "embedding", decimals=6)
+
+
+@register("mean_pool", f"WITH {_CENTROIDS} SELECT label, q AS embedding FROM cent")
+def q_mean_pool(spark, sf):
+    return _centroids(spark, sf)
+
+
+@register("l2_normalize", """
+WITH _e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+_n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM _e)
+SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 9) AS norm_sq, round(u[1], 9) AS u_first FROM _n""")
+def q_l2_normalize(spark, sf):
+    u = R.l2_normalize(F.col("embedding").cast("array<double>"))
+    e = table(spark, sf, "embeddings").select("vec_id", u.alias("u"))
+    return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 9).alias("norm_sq"),
+                    F.round(F.col("u")[0], 9).alias("u_first"))
+
+
+def _knn_sql(score: str, order: str) -> str:
+    return f"""WITH {_CENTROIDS},
+_s AS (SELECT c.label, e.vec_id, round({score}, 6) AS score FROM cent c, _e e),
+_r AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY score {order}, vec_id) AS INTEGER) AS rank, vec_id, score FROM _s)
+SELECT label, rank, vec_id, score FROM _r WHERE rank <= 5"""
+
+
+@register("knn_ip", _knn_sql("list_inner_product(e.e, c.q)", "DESC"))
+def q_knn_ip(spark, sf):
+    return R.knn_dense(_centroids(spark, sf), table(spark, sf, "embeddings"), k=5, metric="ip",
+                       query_id="label").select("label", "rank", "vec_id", "score")
+
+
+@register("knn_l2", _knn_sql("list_sum(list_transform(range(1, len(e.e) + 1), lambda i: (e.e[i] - c.q[i]) * (e.e[i] - c.q[i])))", "ASC"))
+def q_knn_l2(spark, sf):
+    return R.knn_dense(_centroids(spark, sf), table(spark, sf, "embeddings"), k=5, metric="l2",
+                       query_id="label").select("label", "rank", "vec_id", "score")
