@@ -39,15 +39,17 @@ def characters(text) -> Column:
     return F.split(col_(text), "")
 
 
-def chunk_array(text, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+def chunk_array(word_col: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Chunks of ``size`` words starting every ``size - overlap`` words, joined by one space.
 
-    n words give ceil(n / (size - overlap)) chunks; blank text gives none.
+    ``word_col`` must name a materialised word-array column (see ``words``):
+    the lambda then reads that column instead of re-splitting the text for
+    every chunk. n words give ceil(n / (size - overlap)) chunks; none for blank text.
     """
     step = size - overlap
     if step <= 0:
         raise ValueError("chunk overlap must be smaller than chunk size")
-    w = words(text)
+    w = F.col(word_col)
     n = F.size(w)
     starts = F.sequence(F.lit(0), n - 1, F.lit(step))
     chunks = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, size), " "))

@@ -24,10 +24,8 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     overlap: int = T.CHUNK_OVERLAP) -> DataFrame:
     """One row per chunk: (doc_id, chunk_no, chunk_text). Narrow: no shuffle."""
     body = T.compose_title(title_col, text_col) if title_col else F.col(text_col)
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.posexplode(T.chunk_array(body, size, overlap)).alias("chunk_no", "chunk_text"),
-    )
+    w = docs.select(F.col(id_col).alias("doc_id"), T.words(body).alias("_words"))
+    return w.select("doc_id", F.posexplode(T.chunk_array("_words", size, overlap)).alias("chunk_no", "chunk_text"))
 
 
 def assign_consecutive_ids(df: DataFrame, start: int | F.Column = 0, out: str = "chunk_id") -> DataFrame:
@@ -40,18 +38,18 @@ def assign_consecutive_ids(df: DataFrame, start: int | F.Column = 0, out: str =
     ``df`` must come from a scan and narrow operators, so that a recomputed
     partition has the same rows in the same order.
     """
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_row", F.monotonically_increasing_id())
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn(
+        "__mono", F.monotonically_increasing_id())
+    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     start_c = start if isinstance(start, F.Column) else F.lit(start)
     # monotonically_increasing_id = (partition id << 33) + row index in the partition
-    local = F.col("_row") - F.shiftleft(F.col("_pid").cast("long"), 33)
+    local = F.col("__mono") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return (
-        tagged.join(F.broadcast(offsets), "_pid")
-        .withColumn(out, (F.col("_off") + local + start_c).cast("long"))
-        .drop("_pid", "_row", "_off")
+        tagged.join(F.broadcast(offsets), "__pid")
+        .withColumn(out, (F.col("__off") + local + start_c).cast("long"))
+        .drop("__pid", "__mono", "__off")
     )
 
 
