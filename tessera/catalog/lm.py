@@ -154,3 +154,32 @@ def q_rag_entropy_gain(spark, sf):
     return r.select("item_id", "n_coded", F.round("bits_plain", 4).alias("bits_plain"),
                     F.round("bits_rag", 4).alias("bits_rag"),
                     F.round(F.col("bits_plain") - F.col("bits_rag"), 4).alias("gain_bits"))
+
+
+# ------------------------------------------------------------------ model hooks
+
+@register("predictor_udf", f"""WITH {MODEL},
+{pairs_sql("sp", "documents", "doc_id", "text")}
+SELECT sp.id AS doc_id, count(*) AS n_coded, round(sum(m.bits), 4) AS bits FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id""")
+def q_predictor_udf(spark, sf):
+    from tessera.functions.hooks import predict_symbols
+    docs = table(spark, sf, "documents")
+    p = predict_symbols(docs, _model(spark, sf))
+    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_coded"), F.round(F.sum(-F.log2("p")), 4).alias("bits"))
+
+
+@register("mean_loss", f"""WITH {MODEL},
+{pairs_sql("sp", "documents", "doc_id", "text")},
+_d AS (SELECT sp.id AS doc_id, sum(m.bits) / count(*) AS loss FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id),
+_b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_no, loss FROM _d),
+_m AS (SELECT batch_no, avg(loss) / 1 AS batch_loss FROM _b GROUP BY batch_no)
+SELECT count(*) AS n_batches, round(avg(batch_loss), 6) AS mean_loss FROM _m""")
+def q_mean_loss(spark, sf):
+    from tessera.operators.trainset import global_rank
+    docs = table(spark, sf, "documents")
+    bits = lm.document_bits(docs, _model(spark, sf)).select("doc_id", (F.col("bits") / F.col("n_coded")).alias("loss"))
+    ranked = global_rank(bits, ["doc_id"], out="r")
+    accumulation_steps = 1
+    per_batch = ranked.groupBy(F.floor(F.col("r") / 8).alias("batch_no")).agg(
+        (F.avg("loss") / accumulation_steps).alias("batch_loss"))
+    return per_batch.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("batch_loss"), 6).alias("mean_loss"))

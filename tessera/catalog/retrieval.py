@@ -136,3 +136,25 @@ def q_knn_ip(spark, sf):
 def q_knn_l2(spark, sf):
     return R.knn_dense(_centroids(spark, sf), table(spark, sf, "embeddings"), k=5, metric="l2",
                        query_id="label").select("label", "rank", "vec_id", "score")
+
+
+# ------------------------------------------------------------------ embedding hook
+
+_EMBED_SQL = f"""{CHUNKS},
+_tok AS (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(chunk_text), '\\s+'), lambda x: x <> '')) AS token FROM chunks),
+_bk AS (SELECT chunk_id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n FROM _tok GROUP BY ALL),
+_w AS (SELECT chunk_id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY chunk_id)) AS w FROM _bk)
+SELECT chunk_id, count(*) AS n_nonzero, round(max(w), 6) AS max_weight, CAST(arg_min(bucket, (-round(w, 9), bucket)) AS INTEGER) AS top_bucket
+FROM _w GROUP BY chunk_id"""
+
+
+@register("embed_udf", "WITH " + _EMBED_SQL)
+def q_embed_udf(spark, sf):
+    from tessera.functions.hooks import embed_udf
+    c = _chunks(spark, sf).select("chunk_id", embed_udf()("chunk_text").alias("v"))
+    nz = F.filter(F.col("v"), lambda x: x > 0)
+    top = F.array_max(F.col("v"))
+    idx = F.transform(F.col("v"), lambda x, i: F.when(F.round(x, 9) == F.round(F.array_max(F.col("v")), 9), i))
+    first = F.array_min(F.filter(idx, lambda i: i.isNotNull()))
+    return c.select("chunk_id", F.size(nz).cast("long").alias("n_nonzero"), F.round(top, 6).alias("max_weight"),
+                    first.cast("int").alias("top_bucket"))
