@@ -183,3 +183,22 @@ def q_mean_loss(spark, sf):
     per_batch = ranked.groupBy(F.floor(F.col("r") / 8).alias("batch_no")).agg(
         (F.avg("loss") / accumulation_steps).alias("batch_loss"))
     return per_batch.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("batch_loss"), 6).alias("mean_loss"))
+
+
+@register("classify_bytes")
+def q_classify_bytes(spark, sf):
+    from tessera.operators import classify as CL
+    from tessera.operators import trainset as TS
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "UTF-8").alias("content"))
+    split = TS.train_eval_split(docs, "doc_id", share=0.2)
+    model = CL.fit_classifier(split.filter(F.col("split") == "train"), "content", "lang")
+    pred = CL.predict(model, split, "content")
+    return pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
+                                     F.round(F.avg((F.col("prediction") == F.col("_label")).cast("int")), 6).alias("accuracy"))
+
+
+@register("ngram_generate")
+def q_ngram_generate(spark, sf):
+    from tessera.operators.generate import generate
+    prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))
+    return generate(prompts, _model(spark, sf), max_new=64)

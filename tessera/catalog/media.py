@@ -96,3 +96,15 @@ FROM _s""")
 def q_audio_segment(spark, sf):
     s = MD.audio_segment(_audio(spark, sf), "page_id", "wav", SEGMENT_START_S, SEGMENT_DURATION_S)
     return s.select("page_id", "status", "start_ms", "end_ms", F.octet_length("frames").alias("n_bytes"))
+
+
+@register("split_good_bad")
+def q_split_good_bad(spark, sf):
+    # Every page once as raw bytes (not a WAV file) and once wrapped as WAV: the
+    # bad rows are reported, not fatal, and both kinds are counted.
+    p = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
+    files = p.select("page_id", F.col("b").alias("blob")).unionByName(p.select("page_id", MD.wav_blob("b").alias("blob")))
+    ok = (F.substring("blob", 1, 4) == F.encode(F.lit("RIFF"), "US-ASCII")) & \
+         (F.substring("blob", 9, 4) == F.encode(F.lit("WAVE"), "US-ASCII"))
+    s = files.select("page_id", F.when(ok, "ok").otherwise("not_wav").alias("status"))
+    return s.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))

@@ -118,3 +118,22 @@ def q_drop_remainder(spark, sf):
 SELECT path, shuffle_rank, shuffle_rank // {TS.BATCH_SIZE} AS batch_no FROM sh""")
 def q_minibatch(spark, sf):
     return TS.minibatch(_shuffled(spark, sf), "shuffle_rank")
+
+
+@register("concat_pair", f"""WITH {TURN_FILES_SQL.replace("AS stem FROM conversations", "AS stem, CAST(ceil(octet_length(encode(text)) / 16) AS INTEGER) + 2 AS n_patches FROM conversations")},
+_p AS (SELECT i.path AS input_path, t.path AS target_path, i.n_patches AS n_in, t.n_patches AS n_tgt
+       FROM tfiles i JOIN tfiles t ON i.stem = t.stem WHERE i.ext = 'user' AND t.ext = 'assistant')
+SELECT input_path, target_path, CAST(least(1024, n_in - 1 + n_tgt) AS INTEGER) AS n_patches,
+       CAST(n_in - 1 AS INTEGER) AS target_start FROM _p""")
+def q_concat_pair(spark, sf):
+    from tessera.operators.patches import to_patches
+    c = table(spark, sf, "conversations")
+    path = F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("_"),
+                    F.floor(F.col("turn") / 2).cast("string"), F.lit("."), F.col("role"))
+    files = c.select(path.alias("path"), F.encode("text", "UTF-8").alias("content"), F.col("role").alias("ext"))
+    arrays = TS.file_patch_arrays(to_patches(files, "path", "content", ext="ext"), "path")
+    pairs = TS.pairs_unidirectional(turn_files(spark, sf), "user", "assistant")
+    j = pairs.join(arrays.select(F.col("path").alias("input_path"), F.col("patches").alias("a")), "input_path") \
+             .join(arrays.select(F.col("path").alias("target_path"), F.col("patches").alias("b")), "target_path")
+    seq = TS.concat_pair(F.col("a"), F.col("b"))
+    return j.select("input_path", "target_path", F.size(seq).alias("n_patches"), (F.size("a") - 1).alias("target_start"))

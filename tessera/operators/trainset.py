@@ -86,3 +86,15 @@ def drop_remainder(ranked: DataFrame, rank: str, batch: int = BATCH_SIZE) -> Dat
 
 def minibatch(ranked: DataFrame, rank: str, size: int = BATCH_SIZE) -> DataFrame:
     return ranked.withColumn("batch_no", F.floor(F.col(rank) / size).cast("long"))
+
+
+def file_patch_arrays(patches: DataFrame, id_col: str) -> DataFrame:
+    """(id, patches array<array<int>>): a file's patches in order (one row per file)."""
+    ordered = F.array_sort(F.collect_list(F.struct("patch_no", "patch")))
+    return patches.groupBy(id_col).agg(F.transform(ordered, lambda s: s["patch"]).alias("patches"))
+
+
+def concat_pair(input_patches: Column, target_patches: Column, max_patches: int = 1024) -> Column:
+    """Input without its end patch, then the target, cut to ``max_patches`` patches."""
+    a = input_patches
+    return F.slice(F.concat(F.slice(a, 1, F.size(a) - 1), target_patches), 1, max_patches)
