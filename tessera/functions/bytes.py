@@ -63,7 +63,7 @@ def strip_padding(a) -> Column:
     """Drop trailing 256 symbols: slice up to the last element that is not 256."""
     arr = col_(a)
     rev_idx = F.filter(F.transform(F.reverse(arr), lambda x, i: F.when(x != PAD, i)), lambda i: i.isNotNull())
-    trailing = F.coalesce(F.element_at(rev_idx, 1), F.size(arr))
+    trailing = F.coalesce(F.try_element_at(rev_idx, F.lit(1)), F.size(arr))
     keep = F.size(arr) - trailing
     return F.when(keep <= 0, F.array().cast("array<int>")).otherwise(F.slice(arr, 1, keep))
 

@@ -62,8 +62,9 @@ def write_blocks(blocks: DataFrame, path: str, pad: str = "pad", length: str = "
     """
     status = B.block_status(pad, length, payload)
     if strict:
-        checked = blocks.withColumn("_ok", F.assert_true(status == "ok", F.lit("block header out of range")))
-        out = checked.drop("_ok").withColumn("blob", B.block_blob(pad, length, payload))
+        # the assertion is part of the written value, so column pruning cannot skip it
+        check = F.assert_true(status == "ok", F.lit("block header out of range"))
+        out = blocks.withColumn("blob", F.when(check.isNull(), B.block_blob(pad, length, payload)))
     else:
         out = blocks.withColumn("status", status).withColumn(
             "blob", F.when(F.col("status") == "ok", B.block_blob(pad, length, payload)))
