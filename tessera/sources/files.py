@@ -18,10 +18,11 @@ def ext_filter(exts: list[str]) -> str:
 
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, text): every file as one UTF-8 document (``wholetext``)."""
-    r = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    r = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    # text() sets wholetext itself, so it must be passed there, not as an option
+    return r.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def read_binary_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True,
