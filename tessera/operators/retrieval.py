@@ -104,9 +104,20 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int, descending: b
 
 
 def lookup_text(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id",
-                text_col: str = "chunk_text") -> DataFrame:
-    """Attach chunk text to hits; unknown ids keep a NULL text (left join)."""
-    return hits.join(chunks.select(id_col, text_col), id_col, "left")
+                text_col: str = "chunk_text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Attach chunk text to hits; unknown ids keep a NULL text (left join).
+
+    Hits are few (k per query) and the chunk table is the whole index, so the
+    chunks are first cut down by a semi-join against the (size-checked,
+    broadcast) hit ids; the left join then pairs two small sides.
+    """
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(hits.sparkSession)
+    hits = hits.checkpoint()          # computed once, stored in the shared checkpoint folder
+    ids = bounded_broadcast(hits.select(id_col).distinct(), max_broadcast_rows)
+    needed = chunks.select(id_col, text_col).join(ids, id_col, "left_semi")
+    return hits.join(needed, id_col, "left")
 
 
 def rag_context(hits_with_text: DataFrame, query_id: str = "item_id", text_col: str = "chunk_text",
