@@ -46,7 +46,11 @@ def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.count(F.lit(1)).alias("n_ab"))
     vocab = counts.select(F.count_distinct("b")).scalar()
-    return with_probabilities(counts, vocab)
+    # The model feeds a size check and several joins: store it once in the shared
+    # checkpoint folder (it has one row per seen pair) instead of retraining per use.
+    from tessera.session import checkpoint_dir
+    checkpoint_dir(corpus.sparkSession)
+    return with_probabilities(counts, vocab).checkpoint()
 
 
 def with_probabilities(counts: DataFrame, vocab: Column) -> DataFrame:
