@@ -45,12 +45,14 @@ def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     pairs = corpus.select(F.explode(symbol_pairs(text_col)).alias("p"))
     counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.count(F.lit(1)).alias("n_ab"))
-    vocab = counts.select(F.count_distinct("b")).scalar()
-    # The model feeds a size check and several joins: store it once in the shared
-    # checkpoint folder (it has one row per seen pair) instead of retraining per use.
+    # The counts feed the vocabulary, a size check and several joins: store them
+    # once in the shared checkpoint folder (one row per seen pair) instead of
+    # recounting the corpus for every use.
     from tessera.session import checkpoint_dir
     checkpoint_dir(corpus.sparkSession)
-    return with_probabilities(counts, vocab).checkpoint()
+    counts = counts.checkpoint()
+    vocab = counts.select(F.count_distinct("b")).scalar()
+    return with_probabilities(counts, vocab)
 
 
 def with_probabilities(counts: DataFrame, vocab: Column) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_HEADER_BYTES = 3       # 1 byte pad bits + 2 bytes big-endian length
-RUNNING_BUCKET_WIDTH = 1 << 16
+RUNNING_MAX_BUCKETS = 100_000
 
 
 def ratio(original: Column, compressed: Column) -> Column:
@@ -46,15 +46,24 @@ def metric_rollup(stats: DataFrame, keys: list[str], comp: str = "compressed_byt
 
 
 def running_sums(df: DataFrame, order_col: str, cols: list[str],
-                 width: int = RUNNING_BUCKET_WIDTH) -> DataFrame:
+                 max_buckets: int = RUNNING_MAX_BUCKETS) -> DataFrame:
     """Cumulative sums of ``cols`` in ``order_col`` order without a single-partition window.
 
-    Rows fall into fixed ranges of the (integer) order key; range totals (one row
-    per range) get an exclusive prefix sum and are broadcast back; inside a range
-    a partitioned running window finishes the sum.
+    Rows fall into at most ``max_buckets`` equal ranges of the (integer) order
+    key, sized from its min/max (one scalar row). Range totals get an exclusive
+    prefix sum over that small table and are broadcast back (at most
+    ``max_buckets`` rows: a fixed bound); inside a range a partitioned running
+    window finishes the sum.
     """
-    b = F.floor(F.col(order_col) / F.lit(width))
-    x = df.withColumn("_bucket", b)
+    from tessera.session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    df = df.checkpoint()   # the input feeds the bounds and the sums: compute it once
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).collect()[0]
+    if lo is None:
+        return df.select("*", *[F.lit(0).cast("long").alias(f"cum_{c}") for c in cols])
+    width = max(1, -(-(int(hi) - int(lo) + 1) // max_buckets))
+    x = df.withColumn("_bucket", F.floor((F.col(order_col) - F.lit(int(lo))) / F.lit(width)))
     tot = x.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}")
