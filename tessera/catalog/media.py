@@ -108,3 +108,20 @@ def q_split_good_bad(spark, sf):
          (F.substring("blob", 9, 4) == F.encode(F.lit("WAVE"), "US-ASCII"))
     s = files.select("page_id", F.when(ok, "ok").otherwise("not_wav").alias("status"))
     return s.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@register("scan_image", f"""WITH {_IMG_SQL}
+SELECT DISTINCT 'page_' || CAST(page_id AS VARCHAR) || '.bmp' AS name, width, height, 3 AS n_channels, true AS ok FROM grid""")
+def q_scan_image(spark, sf):
+    import os
+    import uuid
+    from tessera.session import checkpoint_dir
+    from tessera.sources import files as FS
+
+    root = os.path.join(checkpoint_dir(spark), "images", uuid.uuid4().hex[:8])
+    img = _images(spark, sf)
+    bmp = img.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".bmp")).alias("name"),
+                     MD.bmp_blob("pixels", "width", "height").alias("blob"))
+    FS.write_files(bmp, root, "name", "blob").write.format("noop").mode("overwrite").save()
+    imgs = FS.read_images(spark, root)
+    return imgs.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", "n_channels", "ok")

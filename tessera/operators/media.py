@@ -139,3 +139,21 @@ def audio_segment(audio: DataFrame, id_col: str, blob: str, start_s: float, dura
     return a.select(id_col, status.alias("status"),
                     F.when(ok, start_ms).alias("start_ms"), F.when(ok, end_ms.cast("long")).alias("end_ms"),
                     F.when(ok, F.substring(blob, first + WAV_HEADER_BYTES + 1, last - first)).alias("frames"))
+
+
+def bmp_blob(pixels: str, width: str, height: str) -> Column:
+    """24-bit BMP (bottom-up rows, gray value repeated as B, G, R) of a row-major raster.
+
+    Rows are padded to a multiple of 4 bytes as the format requires.
+    """
+    w, h = F.col(width), F.col(height)
+    pad = (4 - (w * 3) % 4) % 4
+    row_hex = lambda r: F.concat(
+        F.regexp_replace(F.hex(F.substring(F.col(pixels), (h - 1 - r) * w + 1, w)), "(..)", "$1$1$1"),
+        F.repeat(F.lit("00"), pad))
+    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), h - 1), row_hex), ""))
+    size = (w * 3 + pad) * h
+    lit = lambda v, k: _le(F.lit(v), k)
+    return F.concat(F.encode(F.lit("BM"), "US-ASCII"), _le(size + 54, 4), lit(0, 4), lit(54, 4), lit(40, 4),
+                    _le(w, 4), _le(h, 4), lit(1, 2), lit(24, 2), lit(0, 4), _le(size, 4),
+                    lit(2835, 4), lit(2835, 4), lit(0, 4), lit(0, 4), body)

@@ -50,3 +50,31 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def count_good_bad(df: DataFrame, ok: str = "ok") -> DataFrame:
     return df.agg(F.count(F.when(F.col(ok), 1)).alias("n_ok"), F.count(F.when(~F.col(ok), 1)).alias("n_failed"))
+
+
+def write_files(df: DataFrame, root: str, name_col: str, content_col: str) -> DataFrame:
+    """Write each row's binary ``content_col`` as the file ``root/name_col`` (lazy).
+
+    Spark has no raw-bytes file sink, so tasks write through ``pyarrow.fs``,
+    which resolves local paths and cluster stores (HDFS, S3, GCS) from the URI.
+    A rerun of a task rewrites the same names, so retries are idempotent.
+    Returns (path, n_bytes) rows; run an action to perform the writes.
+    """
+
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        filesystem, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+        filesystem.create_dir(base, recursive=True)
+        for pdf in batches:
+            paths, sizes = [], []
+            for name, data in zip(pdf[name_col], pdf[content_col]):
+                p = f"{base.rstrip('/')}/{name}"
+                with filesystem.open_output_stream(p) as f:
+                    f.write(bytes(data))
+                paths.append(p)
+                sizes.append(len(data))
+            yield pd.DataFrame({"path": paths, "n_bytes": sizes})
+
+    return df.select(name_col, content_col).mapInPandas(write, "path string, n_bytes long")

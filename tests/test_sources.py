@@ -57,3 +57,22 @@ def test_metrics_log_appends(spark, tmp_path):
     for e in range(3):
         TB.append_metrics_log(spark.createDataFrame([(e, 0.5 + e / 10)], "epoch int, acc double"), path)
     assert spark.read.parquet(path).agg(F.count("*")).collect()[0][0] == 3
+
+
+def test_bmp_write_and_read_pixels(spark, tmp_path):
+    import numpy as np
+    from tessera.operators import media as MD
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i, (w, h) in enumerate([(5, 3), (64, 2), (7, 7)]):
+        rows.append((i, w, h, bytes(rng.integers(0, 256, w * h, dtype=np.uint8))))
+    img = spark.createDataFrame(rows, "id long, width int, height int, pixels binary")
+    bmp = img.select(F.concat(F.lit("i"), F.col("id").cast("string"), F.lit(".bmp")).alias("name"),
+                     MD.bmp_blob("pixels", "width", "height").alias("blob"))
+    assert FS.write_files(bmp, str(tmp_path / "img"), "name", "blob").count() == 3
+    got = {r.path.rsplit("/", 1)[-1]: r for r in FS.read_images(spark, str(tmp_path / "img")).collect()}
+    for i, w, h, px in rows:
+        r = got[f"i{i}.bmp"]
+        assert (r.width, r.height, r.n_channels, r.ok) == (w, h, 3, True)
+        assert bytes(r.data)[::3] == px          # stored BGR, top row first
