@@ -47,11 +47,42 @@ def get_session(master: str | None = None, partitions: int | None = None) -> Spa
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set our defaults only where the session (cluster) left them unset."""
+    """Set our defaults only where the session (cluster) left them unset, and make
+    the package importable in the Python workers."""
     for k, v in _DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Distribute this package to the executors once per SparkContext.
+
+    Python UDFs and ``mapInPandas`` functions are pickled by module reference,
+    so every Python worker must be able to import ``tessera``. The package is
+    zipped on the driver and added with ``addPyFile``, which copies it to each
+    executor and puts it on the workers' path.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tessera-pkg-"), "tessera.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
