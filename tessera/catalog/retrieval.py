@@ -129,13 +129,13 @@ SELECT label, rank, vec_id, score FROM _r WHERE rank <= 5"""
 @register("knn_ip", _knn_sql("list_inner_product(e.e, c.q)", "DESC"))
 def q_knn_ip(spark, sf):
     return R.knn_dense(_centroids(spark, sf), table(spark, sf, "embeddings"), k=5, metric="ip",
-                       query_id="label").select("label", "rank", "vec_id", "score")
+                       query_id="label").select(F.col("label").cast("int"), "rank", "vec_id", "score")
 
 
 @register("knn_l2", _knn_sql("list_sum(list_transform(range(1, len(e.e) + 1), lambda i: (e.e[i] - c.q[i]) * (e.e[i] - c.q[i])))", "ASC"))
 def q_knn_l2(spark, sf):
     return R.knn_dense(_centroids(spark, sf), table(spark, sf, "embeddings"), k=5, metric="l2",
-                       query_id="label").select("label", "rank", "vec_id", "score")
+                       query_id="label").select(F.col("label").cast("int"), "rank", "vec_id", "score")
 
 
 # ------------------------------------------------------------------ embedding hook

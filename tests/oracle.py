@@ -44,6 +44,17 @@ def norm(v):
     return v
 
 
+_SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                  "boolean": "BOOLEAN", "binary": "BLOB", "timestamp_ntz": "TIMESTAMP", "smallint": "SMALLINT",
+                  "float": "FLOAT", "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE", "tinyint": "TINYINT"}
+
+
+def duck_type(spark_type: str) -> str:
+    if spark_type.startswith("array<") and spark_type.endswith(">"):
+        return duck_type(spark_type[6:-1]) + "[]"
+    return _SPARK_TO_DUCK.get(spark_type, spark_type.upper())
+
+
 def canon(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in rows]
@@ -75,6 +86,11 @@ def check(spark, con, sf_dir, key, fn, sql):
     if sorted(scols) != sorted(dcols):
         res.update(ok=False, why=f"columns {sorted(scols)} vs {sorted(dcols)}")
         return res
+    stypes = {f.name: duck_type(f.dataType.simpleString()) for f in df.schema.fields}
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    tdiff = {c: (stypes[c], dtypes[c]) for c in scols if stypes[c] != dtypes[c]}
+    if tdiff:
+        res["type_diff"] = tdiff
     a, b = canon(scols, srows), canon(dcols, drows)
     if a != b:
         diff = [(x, y) for x, y in zip(a, b) if x != y][:2]
