@@ -88,13 +88,18 @@ def q_write_payload(spark, sf):
     return back.select("path", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
 
-@register("append_metrics_log")
+@register("append_metrics_log", """
+SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS epoch, round(avg(CAST(value > 10 AS INTEGER)), 4) AS acc,
+       round(avg(value), 4) AS loss FROM events GROUP BY 1""")
 def q_append_metrics_log(spark, sf):
+    # Each week of epochs is appended as it would be at the end of training that week;
+    # together the appends hold every epoch once.
     from tessera.catalog.metrics import _epochs
-    ep = _epochs(spark, sf)
+    ep = _epochs(spark, sf).withColumn("_week", F.floor(F.col("epoch") / 7)).checkpoint()
     out = _scratch(spark, "metrics_log")
-    for e in [r[0] for r in ep.select("epoch").orderBy("epoch").limit(3).collect()]:
-        TB.append_metrics_log(ep.filter(F.col("epoch") == e), out)
+    weeks = [r[0] for r in ep.select("_week").distinct().orderBy("_week").collect()]
+    for w in weeks:
+        TB.append_metrics_log(ep.filter(F.col("_week") == w).drop("_week"), out)
     return spark.read.parquet(out)
 
 
