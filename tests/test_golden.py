@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as B
@@ -194,3 +195,19 @@ def test_verify_roundtrip_reports_first_difference(spark):
     rows = {r.id: r for r in P.verify_roundtrip(a, b, "id").collect()}
     assert (rows[1].equal, rows[1].first_diff) == (False, 3)
     assert (rows[2].equal, rows[2].first_diff) == (True, None)
+
+
+@pytest.mark.parametrize("how,inclusive", [("sum", True), ("max", False), ("min", False)])
+def test_running_agg_ranges_equal_one_window(spark, how, inclusive):
+    # a third of the rows crowd into a narrow stretch of keys; small ranges force the split path
+    rng = np.random.default_rng(7)
+    keys = np.concatenate([np.arange(1000, 1300), rng.choice(np.arange(2000, 100000), 600, replace=False)])
+    vals = rng.integers(-50, 50, len(keys))
+    df = spark.createDataFrame([(int(k), int(v) if i % 17 else None) for i, (k, v) in enumerate(zip(keys, vals))],
+                               "k long, v long")
+    got = M.running_agg(df, "k", ["v"], how, inclusive, rows_per_range=64).select("k", "cum_v")
+    frame = W.orderBy("k").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
+    want = df.select("k", fn("v").over(frame).alias("cum_v"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert M.order_ranges(df, "k", rows_per_range=64).select("_range").distinct().count() > 10
