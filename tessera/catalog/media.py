@@ -98,7 +98,11 @@ def q_audio_segment(spark, sf):
     return s.select("page_id", "status", "start_ms", "end_ms", F.octet_length("frames").alias("n_bytes"))
 
 
-@register("split_good_bad")
+@register("split_good_bad", """
+SELECT status, count(*) AS n_files FROM (
+  SELECT CASE WHEN substr(html, 1, 4) = 'RIFF' AND substr(html, 9, 4) = 'WAVE' THEN 'ok' ELSE 'not_wav' END AS status
+  FROM pages
+  UNION ALL SELECT 'ok' AS status FROM pages) GROUP BY status""")
 def q_split_good_bad(spark, sf):
     # Every page once as raw bytes (not a WAV file) and once wrapped as WAV: the
     # bad rows are reported, not fatal, and both kinds are counted.
