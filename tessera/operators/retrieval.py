@@ -153,40 +153,62 @@ def mean_pool(df: DataFrame, group: str, vec: str, decimals: int | None = None)
     return avg.groupBy(group).agg(F.transform(pooled, lambda s: s["x"]).alias(vec))
 
 
-def _dense_scores(batches, ids, qmat, k, metric, cid, cvec, qid_name):
+MAX_SCORE_CELLS = 1 << 24    # corpus rows x queries scored at once in one task (128 MB of doubles)
+
+
+def _dense_scores(batches, ids, qmat, k, metric, cid, cvec, qid_name, max_cells=MAX_SCORE_CELLS):
+    """Exact top-k per query over all corpus rows of one task.
+
+    Corpus rows are scored in slices of at most ``max_cells`` scores; each slice's
+    top-k is merged into a running top-k (score, then smaller id), so the task
+    emits k rows per query once, however many rows it scanned.
+    """
     import numpy as np
     import pandas as pd
 
+    nq = len(ids)
     qn = (qmat * qmat).sum(axis=1)
+    step = max(1, max_cells // max(nq, 1))
+    best_key = best_cid = None           # (<=k, nq): sort key (lower is better) and corpus id
     for pdf in batches:
         if pdf.empty:
             continue
         pdf = pdf.sort_values(cid, kind="stable")
-        c = np.stack(pdf[cvec].to_numpy()).astype(np.float64)
-        cids = pdf[cid].to_numpy()
-        dots = c @ qmat.T
-        if metric == "ip":
-            s = np.round(dots, SCORE_DECIMALS)
-            order = np.argsort(-s, axis=0, kind="stable")[:k]
-        else:
-            d = np.maximum((c * c).sum(axis=1)[:, None] + qn[None, :] - 2 * dots, 0.0)
-            s = np.round(d, SCORE_DECIMALS)
-            order = np.argsort(s, axis=0, kind="stable")[:k]
-        kk = order.shape[0]
-        cols = np.tile(np.arange(len(ids)), kk)
-        rows = order.reshape(-1)
-        yield pd.DataFrame({qid_name: ids[cols], cid: cids[rows], "score": s[rows, cols]})
+        c_all = np.stack(pdf[cvec].to_numpy()).astype(np.float64)
+        cids_all = pdf[cid].to_numpy().astype(np.int64)
+        for lo in range(0, len(c_all), step):
+            c, cids = c_all[lo:lo + step], cids_all[lo:lo + step]
+            dots = c @ qmat.T
+            if metric == "ip":
+                key = -np.round(dots, SCORE_DECIMALS)
+            else:
+                key = np.round(np.maximum((c * c).sum(axis=1)[:, None] + qn[None, :] - 2 * dots, 0.0), SCORE_DECIMALS)
+            order = np.argsort(key, axis=0, kind="stable")[:k]     # rows are in id order: ties keep the smaller id
+            cols = np.arange(nq)[None, :]
+            key_k, cid_k = key[order, cols], cids[order]
+            if best_key is not None:
+                key_k, cid_k = np.vstack([best_key, key_k]), np.vstack([best_cid, cid_k])
+                merged = np.lexsort((cid_k, key_k), axis=0)[:k]
+                key_k, cid_k = key_k[merged, cols], cid_k[merged, cols]
+            best_key, best_cid = key_k, cid_k
+    if best_key is None:
+        return
+    kk = best_key.shape[0]
+    qcols = np.tile(np.arange(nq), kk)
+    score = best_key.reshape(-1) * (-1.0 if metric == "ip" else 1.0) + 0.0
+    yield pd.DataFrame({qid_name: ids[qcols], cid: best_cid.reshape(-1), "score": score})
 
 
 def knn_dense(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "ip",
               query_id: str = "qid", query_vec: str = "embedding", corpus_id: str = "vec_id",
-              corpus_vec: str = "embedding", block_rows: int = MAX_QUERY_ROWS_PER_BROADCAST) -> DataFrame:
+              corpus_vec: str = "embedding", block_rows: int = MAX_QUERY_ROWS_PER_BROADCAST,
+              score_cells: int = MAX_SCORE_CELLS) -> DataFrame:
     """Exact top-k by inner product (higher first) or squared L2 (lower first).
 
     The query matrix is broadcast in blocks of at most ``block_rows`` rows; each
-    corpus Arrow batch is scored with one matrix product per block and keeps its
-    local top-k per query; a WindowGroupLimit-planned ranking keeps the global
-    top-k. Ties go to the smaller corpus id. Scores are rounded to 6 places.
+    task scores its corpus rows with bounded matrix products and keeps one
+    running top-k per query, so k rows per query and task cross the shuffle; a
+    WindowGroupLimit-planned ranking keeps the global top-k. Ties go to the smaller corpus id. Scores are rounded to 6 places.
     """
     import numpy as np
 
@@ -209,7 +231,7 @@ def knn_dense(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, met
 
         def fn(batches, bc=bc):
             i, m = bc.value
-            yield from _dense_scores(batches, i, m, k, metric, corpus_id, corpus_vec, query_id)
+            yield from _dense_scores(batches, i, m, k, metric, corpus_id, corpus_vec, query_id, score_cells)
 
         parts.append(c.mapInPandas(fn, schema))
     cand = parts[0]

@@ -211,3 +211,24 @@ def test_running_agg_ranges_equal_one_window(spark, how, inclusive):
     want = df.select("k", fn("v").over(frame).alias("cum_v"))
     assert sorted(got.collect()) == sorted(want.collect())
     assert M.order_ranges(df, "k", rows_per_range=64).select("_range").distinct().count() > 10
+
+
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_knn_dense_slices_and_blocks_equal_brute_force(spark, metric):
+    # small integer vectors give many tied scores; ties go to the smaller corpus id
+    rng = np.random.default_rng(3)
+    cvec = rng.integers(-2, 3, (300, 4)).astype(float)
+    qvec = rng.integers(-2, 3, (7, 4)).astype(float)
+    corpus = spark.createDataFrame([(int(i) * 3 + 1, v.tolist()) for i, v in enumerate(cvec)],
+                                   "vec_id long, embedding array<double>").repartition(4)
+    queries = spark.createDataFrame([(int(i) + 100, v.tolist()) for i, v in enumerate(qvec)],
+                                    "qid long, embedding array<double>")
+    got = R.knn_dense(queries, corpus, k=5, metric=metric, block_rows=3, score_cells=10).collect()
+    got = sorted((r.qid, r.rank, r.vec_id, round(r.score, 6)) for r in got)
+    want = []
+    for qi, q in enumerate(qvec):
+        s = cvec @ q if metric == "ip" else ((cvec - q) ** 2).sum(axis=1)
+        key = -s if metric == "ip" else s
+        order = sorted(range(len(cvec)), key=lambda i: (key[i], i * 3 + 1))[:5]
+        want += [(qi + 100, r + 1, i * 3 + 1, round(float(s[i]), 6)) for r, i in enumerate(order)]
+    assert got == sorted(want)
