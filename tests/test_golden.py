@@ -232,3 +232,26 @@ def test_knn_dense_slices_and_blocks_equal_brute_force(spark, metric):
         order = sorted(range(len(cvec)), key=lambda i: (key[i], i * 3 + 1))[:5]
         want += [(qi + 100, r + 1, i * 3 + 1, round(float(s[i]), 6)) for r, i in enumerate(order)]
     assert got == sorted(want)
+
+
+def test_sparse_knn_and_lookup_without_broadcast_equal_broadcast(spark):
+    # beyond the broadcast bound the same results come from shuffle joins
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    chunks = R.build_chunks(docs).checkpoint()
+    a = R.knn_sparse(bench, chunks, k=3)
+    b = R.knn_sparse(bench, chunks, k=3, max_broadcast_rows=0)
+    assert sorted(a.collect()) == sorted(b.collect())
+    ta = R.lookup_text(a, chunks).select("item_id", "rank", "chunk_text")
+    tb = R.lookup_text(b, chunks, max_broadcast_rows=0).select("item_id", "rank", "chunk_text")
+    assert sorted(ta.collect()) == sorted(tb.collect())
+
+
+def test_document_bits_without_broadcast_equal_broadcast(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lm.train_bigram(docs)
+    a = sorted(lm.document_bits(docs, model).collect())
+    monkeypatch.setattr(lm, "MAX_MODEL_BROADCAST_ROWS", 0)
+    b = sorted(lm.document_bits(docs, model).collect())
+    assert [(r.doc_id, r.n_coded) for r in a] == [(r.doc_id, r.n_coded) for r in b]
+    assert all(abs(x.bits - y.bits) < 1e-6 * max(1.0, x.bits) for x, y in zip(a, b))
