@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +64,36 @@ def emit(batches: Iterator[tuple], names: list[str], types: list[pa.DataType]) -
     for cols in batches:
         arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, types)]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+
+def numbered_blocks(batches: Iterator[pa.RecordBatch], columns: list[str], block_bytes: int) -> Iterator[tuple[int, dict]]:
+    """Rows of a task dealt into blocks of at most ``block_bytes`` of ``text`` (a longer text is a
+    block of its own), as (number, lists by column). Over a stable scan every pass gives a block
+    the same number, so what is kept by block can be met with its rows again without a shuffle."""
+    names = [*columns, "text"]
+    held, size, number = {c: [] for c in names}, 0, TaskContext.get().partitionId() << 24
+    for b in batches:
+        cols = {c: b.column(c).to_pylist() for c in names}
+        for i, text in enumerate(cols["text"]):
+            if held["text"] and size + len(text) > block_bytes:
+                yield number, held
+                held, size, number = {c: [] for c in names}, 0, number + 1
+            for c in names:
+                held[c].append(cols[c][i])
+            size += len(text)
+    if held["text"]:
+        yield number, held
+
+
+def kept_by_block(df: DataFrame, name: str) -> str:
+    """Write ``df`` to a folder of the shared scratch, one subfolder for each value of ``block``."""
+    folder = new_dir(df.sparkSession, name)
+    df.repartition("block").write.partitionBy("block").parquet(folder)
+    return folder
+
+
+def block_table(fs: pafs.FileSystem, root: str, number: int) -> pa.Table | None:
+    """What ``kept_by_block`` wrote for one block, or None."""
+    folder = pafs.FileSelector(f"{root}/block={number}", allow_not_found=True)
+    files = sorted(f.path for f in fs.get_file_info(folder) if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files]) if files else None

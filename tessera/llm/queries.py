@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_output, decontam, licenses, packing, quality, secrets, simhash, warc
+from tessera.llm import binary_output, decontam, licenses, packing, pitman_yor, quality, secrets, simhash, suffix_dedup, warc
 from tessera.llm.common import new_dir, prepare, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,15 @@ def op5_warc_salvage(spark, sf_dir):
 def op8_license_scan(spark, sf_dir):
     found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
+@query
+def op3_lm_scoring(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, held_out=pitman_yor.held_out_by_id())
+
+
+@query
+def op9_suffix_array_dedup(spark, sf_dir):
+    found = suffix_dedup.remove(read(spark, sf_dir, "documents"), keep_first=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
