@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
-from tessera.catalog.sqlparts import CHUNKS, MODEL, pairs_sql
+from tessera.catalog.sqlparts import CHUNKS, MODEL, doc_bits_sql
 from tessera.operators import lm
 from tessera.session import table
 from tessera.streaming import jobs as S
@@ -28,10 +28,10 @@ def q_stream_running_metrics(spark, sf):
 
 
 @register("stream_score", f"""WITH {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")}
-SELECT sp.id AS doc_id, count(*) AS n_coded, round(sum(m.bits), 4) AS bits FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id""")
+{doc_bits_sql("_db", "documents", "doc_id", "text")}
+SELECT id AS doc_id, n_coded, round(bits, 4) AS bits FROM _db""")
 def q_stream_score(spark, sf):
     model = lm.train_bigram(table(spark, sf, "documents"))
     out = S.stream_score(spark, f"{sf}/documents.parquet", model)
-    t = spark.read.parquet(out)
+    t = S.latest_per_key(spark, out, ["doc_id"])
     return t.select("doc_id", "n_coded", F.round("bits", 4).alias("bits"))
