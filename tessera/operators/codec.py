@@ -193,11 +193,12 @@ def decode_lanes(payloads: list, lengths: list, model: ByteModel) -> list:
 # ---------------------------------------------------------------- table jobs
 
 def to_blocks(data: DataFrame, id_col: str, col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, block_no, data): payloads cut into fixed-size binary blocks (narrow)."""
-    n = F.ceil(F.octet_length(col) / block_bytes).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    x = data.select(id_col, col, F.explode(starts).alias("block_no"))
-    return x.select(id_col, "block_no", F.substring(col, F.col("block_no") * block_bytes + 1, block_bytes).alias("data"))
+    """(id, block_no, data): payloads cut into fixed-size binary blocks (narrow). An empty or null
+    payload is one empty block, so it comes back as an empty payload."""
+    x = data.select(id_col, F.coalesce(F.col(col), F.lit(b"").cast("binary")).alias("_d"))
+    n = F.greatest(F.ceil(F.octet_length("_d") / block_bytes).cast("int"), F.lit(1))
+    x = x.select(id_col, "_d", F.explode(F.sequence(F.lit(0), n - 1)).alias("block_no"))
+    return x.select(id_col, "block_no", F.substring("_d", F.col("block_no") * block_bytes + 1, block_bytes).alias("data"))
 
 
 def compress_blocks(blocks: DataFrame, model: ByteModel, id_col: str) -> DataFrame:
@@ -240,10 +241,7 @@ def decompress_blocks(blocks: DataFrame, model: ByteModel, id_col: str) -> DataF
 
 def merge_blocks(blocks: DataFrame, id_col: str, col: str = "data") -> DataFrame:
     """(id, data): blocks concatenated in block order (one output row per document)."""
-    ordered = F.array_sort(F.collect_list(F.struct("block_no", col)))
-    joined = F.aggregate(F.transform(ordered, lambda s: s[col]), F.lit(b"").cast("binary"),
-                         lambda acc, x: F.concat(acc, x))
-    return blocks.groupBy(id_col).agg(joined.alias(col))
+    return blocks.groupBy(id_col).agg(F.expr(f"listagg({col}) WITHIN GROUP (ORDER BY block_no)").alias(col))
 
 
 # ---------------------------------------------------------------- gzip

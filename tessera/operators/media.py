@@ -2,7 +2,7 @@
 
 Raw payloads stand in for decoded media: a raster is (width, height, pixel
 bytes, row-major, one byte per pixel) and audio is 8-bit mono PCM with a
-44-byte WAV header. Splits are narrow generators over binary ``substring``;
+WAV header (read by walking its chunks). Splits are narrow generators over binary ``substring``;
 merges are one output row per file, pasted with numpy in ``applyInPandas``.
 """
 
@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that must equal the reference behaviour.
 TILE_SIZE = 32            # square tiles, smaller at the right and bottom edges
@@ -19,31 +20,39 @@ AUDIO_RATE = 8000         # frames per second
 AUDIO_CHANNELS = 1
 AUDIO_SAMPWIDTH = 1       # bytes per sample
 CHUNK_SECONDS = 1.0
-WAV_HEADER_BYTES = 44
 
 
 # ------------------------------------------------------------------ tiles
 
+def _steps(n: Column) -> Column:
+    """0..n-1, none for n = 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _tiles(width: str, height: str, size: int) -> Column:
+    """Array of (row, col, x, y, w, h); edge tiles are cut to the image, an empty image has none."""
+    w, h = F.col(width), F.col(height)
+    rows, cols = F.ceil(h / size).cast("int"), F.ceil(w / size).cast("int")
+    return F.transform(_steps(rows * cols), lambda i: F.struct(
+        F.floor(i / cols).cast("int").alias("row"), (i % cols).alias("col"),
+        ((i % cols) * size).alias("x"), (F.floor(i / cols).cast("int") * size).alias("y"),
+        F.least(F.lit(size), w - (i % cols) * size).alias("w"),
+        F.least(F.lit(size), h - F.floor(i / cols).cast("int") * size).alias("h")))
+
+
 def tile_grid(images: DataFrame, id_col: str, width: str, height: str, size: int = TILE_SIZE) -> DataFrame:
-    """(id, row, col, x, y, w, h): one row per tile; edge tiles are cut to the image."""
-    rows = F.ceil(F.col(height) / size).cast("int")
-    cols = F.ceil(F.col(width) / size).cast("int")
-    g = images.select(id_col, width, height,
-                      F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"), cols.alias("_cols"))
-    g = g.select(id_col, width, height, "row", F.explode(F.sequence(F.lit(0), F.col("_cols") - 1)).alias("col"))
-    return g.select(id_col, "row", "col", (F.col("col") * size).alias("x"), (F.col("row") * size).alias("y"),
-                    F.least(F.lit(size), F.col(width) - F.col("col") * size).alias("w"),
-                    F.least(F.lit(size), F.col(height) - F.col("row") * size).alias("h"))
+    """(id, row, col, x, y, w, h): one row per tile."""
+    return images.select(id_col, F.explode(_tiles(width, height, size)).alias("t")).select(id_col, "t.*")
 
 
 def split_tiles(images: DataFrame, id_col: str, width: str, height: str, pixels: str,
                 size: int = TILE_SIZE) -> DataFrame:
-    """Tiles with their pixel bytes: each tile row is one binary slice of the raster."""
-    g = tile_grid(images, id_col, width, height, size).join(images.select(id_col, width, pixels), id_col)
-    line = lambda r: F.substring(F.col(pixels), (F.col("y") + r) * F.col(width) + F.col("x") + 1, F.col("w"))
-    rows = F.transform(F.sequence(F.lit(0), F.col("h") - 1), line)
-    return g.select(id_col, "row", "col", "x", "y", "w", "h",
-                    F.aggregate(rows, F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b)).alias("tile"))
+    """Tiles with their pixel bytes, cut beside the raster (narrow: no join, no shuffle)."""
+    line = lambda t, r: F.hex(F.substring(F.col(pixels), (t["y"] + r) * F.col(width) + t["x"] + 1, t["w"]))
+    cut = F.transform(_tiles(width, height, size), lambda t: F.struct(
+        *[t[c].alias(c) for c in ("row", "col", "x", "y", "w", "h")],
+        F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), t["h"] - 1), lambda r: line(t, r)), "")).alias("tile")))
+    return images.select(id_col, F.explode(cut).alias("t")).select(id_col, "t.*")
 
 
 def merge_tiles(tiles: DataFrame, id_col: str) -> DataFrame:
@@ -78,7 +87,7 @@ def _le(n: Column, nbytes: int) -> Column:
     return F.unhex(F.concat(*[F.substring(h, 2 * (nbytes - 1 - i) + 1, 2) for i in range(nbytes)]))
 
 
-def _read_le(b: Column, offset: int, nbytes: int) -> Column:
+def _read_le(b: Column, offset: Column | int, nbytes: int) -> Column:
     h = F.hex(F.substring(b, offset + 1, nbytes))
     return F.conv(F.concat(*[F.substring(h, 2 * (nbytes - 1 - i) + 1, 2) for i in range(nbytes)]), 16, 10).cast("long")
 
@@ -93,44 +102,67 @@ def wav_blob(pcm, rate: int = AUDIO_RATE, channels: int = AUDIO_CHANNELS, width:
                     lit(channels * width, 2), lit(8 * width, 2), F.encode(F.lit("data"), "US-ASCII"), _le(n, 4), p)
 
 
-def wav_info(blob) -> Column:
-    """struct(nchannels, sampwidth, framerate, nframes, duration) read from the header."""
-    b = F.col(blob) if isinstance(blob, str) else blob
-    ch, rate = _read_le(b, 22, 2), _read_le(b, 24, 4)
-    width = (_read_le(b, 34, 2) / 8).cast("long")
-    frames = (_read_le(b, 40, 4) / (ch * width)).cast("long")
-    return F.struct(ch.alias("nchannels"), width.alias("sampwidth"), rate.alias("framerate"),
-                    frames.alias("nframes"), (frames / rate).alias("duration"))
+@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("fmt", "data", "size")]))
+def wav_layout(blob: pd.Series) -> pd.DataFrame:
+    """Byte offsets of the ``fmt `` and ``data`` chunk bodies and the data size, found by walking
+    the RIFF chunks (others may stand before, between and after them); nulls if not such a file.
+    A data size beyond the end of the file is cut to it."""
+    rows = []
+    for b in blob:
+        found, at = {}, 12
+        if b is not None and bytes(b[:4]) == b"RIFF" and bytes(b[8:12]) == b"WAVE":
+            while at + 8 <= len(b):
+                size = int.from_bytes(b[at + 4:at + 8], "little")
+                found.setdefault(bytes(b[at:at + 4]), (at + 8, min(size, len(b) - at - 8)))
+                at += 8 + size + size % 2
+        fmt, data = found.get(b"fmt "), found.get(b"data")
+        rows.append((fmt[0], *data) if fmt and fmt[1] >= 16 and data else (None, None, None))
+    return pd.DataFrame(rows, columns=["fmt", "data", "size"]).astype("Int64")
+
+
+def _opened(audio: DataFrame, id_col: str, blob: str) -> DataFrame:
+    """(id, blob, l = layout, i = info) of readable audio and null info of other files."""
+    x = audio.select(id_col, blob, wav_layout(blob).alias("l"))
+    b, at = F.col(blob), F.col("l.fmt").cast("int")
+    ch, rate = _read_le(b, at + 2, 2), _read_le(b, at + 4, 4)
+    width = (_read_le(b, at + 14, 2) / 8).cast("long")
+    frames = F.floor(F.try_divide("l.size", ch * width)).cast("long")
+    info = F.struct(ch.alias("nchannels"), width.alias("sampwidth"), rate.alias("framerate"),
+                    frames.alias("nframes"), F.try_divide(frames, rate).alias("duration"))
+    return x.withColumn("i", F.when(F.col("l.fmt").isNotNull(), info))
+
+
+def wav_info(audio: DataFrame, id_col: str, blob: str) -> DataFrame:
+    """(id, nchannels, sampwidth, framerate, nframes, duration) read from the header chunks."""
+    return _opened(audio, id_col, blob).select(id_col, "i.*")
 
 
 def split_audio(audio: DataFrame, id_col: str, blob: str, seconds: float = CHUNK_SECONDS) -> DataFrame:
-    """(id, chunk_no, start_byte, frames): chunks of int(rate*seconds) frames, the last one shorter."""
-    info = wav_info(blob)
-    a = audio.select(id_col, blob, info.alias("i"))
+    """(id, chunk_no, start_byte, frames): chunks of int(rate*seconds) frames, the last one shorter;
+    audio without frames is one empty chunk. Files that are no audio give no rows."""
+    a = _opened(audio, id_col, blob).filter(F.col("i").isNotNull())
     frame_bytes = F.col("i.nchannels") * F.col("i.sampwidth")
-    chunk = (F.floor(F.col("i.framerate") * seconds) * frame_bytes).cast("int")
+    chunk = F.greatest((F.floor(F.col("i.framerate") * seconds) * frame_bytes).cast("int"), F.lit(1))
     total = (F.col("i.nframes") * frame_bytes).cast("int")
-    starts = F.when(total > 0, F.sequence(F.lit(0), total - 1, chunk)).otherwise(F.array().cast("array<int>"))
-    x = a.select(id_col, blob, F.posexplode(starts).alias("chunk_no", "start_byte"), chunk.alias("_chunk"))
-    return x.select(id_col, "chunk_no", "start_byte",
-                    F.substring(blob, F.col("start_byte") + WAV_HEADER_BYTES + 1, F.col("_chunk")).alias("frames"))
+    x = a.select(id_col, blob, F.posexplode(F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1, chunk)).alias("chunk_no", "start_byte"),
+                 chunk.alias("_chunk"), total.alias("_total"), (F.col("l.data") + 1).cast("int").alias("_from"))
+    n = F.least(F.col("_chunk"), F.col("_total") - F.col("start_byte"))
+    return x.select(id_col, "chunk_no", "start_byte", F.substring(blob, F.col("_from") + F.col("start_byte"), n).alias("frames"))
 
 
 def merge_audio(chunks: DataFrame, id_col: str) -> DataFrame:
     """(id, wav): chunks concatenated in chunk order under a rebuilt header."""
-    ordered = F.array_sort(F.collect_list(F.struct("chunk_no", "frames")))
-    pcm = F.aggregate(F.transform(ordered, lambda s: s["frames"]), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
+    pcm = F.expr("listagg(frames) WITHIN GROUP (ORDER BY chunk_no)")
     return chunks.groupBy(id_col).agg(pcm.alias("_pcm")).select(id_col, wav_blob("_pcm").alias("wav"))
 
 
 def audio_segment(audio: DataFrame, id_col: str, blob: str, start_s: float, duration_s: float) -> DataFrame:
     """Frames of [start, start+duration) in milliseconds; the end is clamped to the audio,
-    a negative start or one at/after the end is an error row."""
-    info = wav_info(blob)
-    a = audio.select(id_col, blob, info.alias("i"))
+    a negative start, one at/after the end, or a file that is no audio is an error row."""
+    a = _opened(audio, id_col, blob)
     dur_ms = F.col("i.nframes") * 1000 / F.col("i.framerate")
     start_ms, end_req = F.lit(int(start_s * 1000)), F.lit(int((start_s + duration_s) * 1000))
-    status = F.when(start_ms < 0, "negative_start").when(start_ms >= dur_ms, "start_past_end").otherwise("ok")
+    status = F.when(F.col("i").isNull(), "not_wav").when(start_ms < 0, "negative_start").when(start_ms >= dur_ms, "start_past_end").otherwise("ok")
     end_ms = F.least(end_req.cast("double"), dur_ms)
     fb = F.col("i.nchannels") * F.col("i.sampwidth")
     first = (F.floor(start_ms * F.col("i.framerate") / 1000) * fb).cast("int")
@@ -138,7 +170,7 @@ def audio_segment(audio: DataFrame, id_col: str, blob: str, start_s: float, dura
     ok = status == "ok"
     return a.select(id_col, status.alias("status"),
                     F.when(ok, start_ms).alias("start_ms"), F.when(ok, end_ms.cast("long")).alias("end_ms"),
-                    F.when(ok, F.substring(blob, first + WAV_HEADER_BYTES + 1, last - first)).alias("frames"))
+                    F.when(ok, F.substring(blob, (F.col("l.data") + 1).cast("int") + first, last - first)).alias("frames"))
 
 
 def bmp_blob(pixels: str, width: str, height: str) -> Column:
@@ -151,7 +183,7 @@ def bmp_blob(pixels: str, width: str, height: str) -> Column:
     row_hex = lambda r: F.concat(
         F.regexp_replace(F.hex(F.substring(F.col(pixels), (h - 1 - r) * w + 1, w)), "(..)", "$1$1$1"),
         F.repeat(F.lit("00"), pad))
-    body = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), h - 1), row_hex), ""))
+    body = F.unhex(F.array_join(F.transform(_steps(h), row_hex), ""))
     size = (w * 3 + pad) * h
     lit = lambda v, k: _le(F.lit(v), k)
     return F.concat(F.encode(F.lit("BM"), "US-ASCII"), _le(size + 54, 4), lit(0, 4), lit(54, 4), lit(40, 4),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as B
@@ -32,18 +32,20 @@ def to_patches(files: DataFrame, id_col: str, content: str, ext: str | None = No
     return x.select(id_col, F.col("patch_no").cast("int"), patch.alias("patch"), F.lit(1).alias("mask"))
 
 
+def patch_bytes(patch) -> F.Column:
+    """The bytes of a patch: its symbols up to the padding."""
+    return B.from_ints(F.filter(patch, lambda x: x < B.PAD))
+
+
 def merge_patches(patches: DataFrame, id_col: str, drop_ends: bool = True) -> DataFrame:
-    """(id, data binary): data patches in patch order, trailing pad removed.
+    """(id, data binary): data patches in patch order, padding removed.
 
-    One output row per file, so the group is the file itself.
+    Patches travel as bytes; the end patch is all padding, so it adds nothing and a file
+    without data patches comes back empty. One output row per file.
     """
-    p = patches
-    if drop_ends:
-        last = F.max("patch_no").over(Window.partitionBy(id_col))
-        p = p.withColumn("_last", last).filter((F.col("patch_no") > 0) & (F.col("patch_no") < F.col("_last")))
-    ordered = F.array_sort(F.collect_list(F.struct("patch_no", "patch")))
-    merged = F.flatten(F.transform(ordered, lambda s: s["patch"]))
-    return p.groupBy(id_col).agg(B.from_ints(B.strip_padding(merged)).alias("data"))
+    keep = F.col("patch_no") > 0 if drop_ends else F.lit(True)
+    p = patches.select(id_col, "patch_no", F.when(keep, patch_bytes("patch")).alias("_b"))
+    return p.groupBy(id_col).agg(F.coalesce(F.expr("listagg(_b) WITHIN GROUP (ORDER BY patch_no)"), F.lit(b"").cast("binary")).alias("data"))
 
 
 def verify_roundtrip(original: DataFrame, rebuilt: DataFrame, id_col: str, data: str = "data") -> DataFrame:

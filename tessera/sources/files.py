@@ -52,27 +52,45 @@ def count_good_bad(df: DataFrame, ok: str = "ok") -> DataFrame:
     return df.agg(F.count(F.when(F.col(ok), 1)).alias("n_ok"), F.count(F.when(~F.col(ok), 1)).alias("n_failed"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system Spark resolves it to."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
 def write_files(df: DataFrame, root: str, name_col: str, content_col: str) -> DataFrame:
     """Write each row's binary ``content_col`` as the file ``root/name_col`` (lazy).
 
-    Spark has no raw-bytes file sink, so tasks write through ``pyarrow.fs``,
-    which resolves local paths and cluster stores (HDFS, S3, GCS) from the URI.
-    A rerun of a task rewrites the same names, so retries are idempotent.
-    Returns (path, n_bytes) rows; run an action to perform the writes.
+    Spark has no raw-bytes file sink, so tasks write through ``pyarrow.fs`` to the very file
+    system that Spark resolves ``root`` to (a path without scheme included). A file appears by
+    renaming once it is whole, and a rerun of a task rewrites the same names, so retries are
+    idempotent. Returns (path, n_bytes) rows; run an action to perform the writes.
     """
+    target = qualified(df.sparkSession, root)
 
     def write(batches):
+        import uuid
+
         import pandas as pd
         from pyarrow import fs
 
-        filesystem, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
-        filesystem.create_dir(base, recursive=True)
+        if target.startswith("file:"):
+            filesystem, base = fs.LocalFileSystem(), "/" + target[len("file:"):].strip("/")
+        else:
+            filesystem, base = fs.FileSystem.from_uri(target)
+        made = set()
         for pdf in batches:
             paths, sizes = [], []
             for name, data in zip(pdf[name_col], pdf[content_col]):
                 p = f"{base.rstrip('/')}/{name}"
-                with filesystem.open_output_stream(p) as f:
+                folder = p.rsplit("/", 1)[0]
+                if folder not in made:
+                    filesystem.create_dir(folder, recursive=True)
+                    made.add(folder)
+                temp = f"{folder}/.{uuid.uuid4().hex}.tmp"
+                with filesystem.open_output_stream(temp) as f:
                     f.write(bytes(data))
+                filesystem.move(temp, p)
                 paths.append(p)
                 sizes.append(len(data))
             yield pd.DataFrame({"path": paths, "n_bytes": sizes})
