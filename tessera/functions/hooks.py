@@ -2,8 +2,8 @@
 
 Both hooks run vectorised over Arrow batches. The embedding hook is an
 iterator pandas UDF, so a model is loaded once per Python worker and reused for
-every batch. The defaults need no model files: hashed token vectors, and the
-corpus bigram model for next-symbol probabilities.
+every batch. The defaults need no model files and run on the JVM: hashed token
+vectors (``hashed_embedding``) and a join with the corpus bigram model.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import WORD_SPLIT
+from tessera.functions.text import WORD_SPLIT, lower_words
 
 EMBED_DIM = 256
 
@@ -31,17 +31,13 @@ def hashed_token_encoder(dim: int = EMBED_DIM) -> Callable[[list[str]], np.ndarr
     import regex
 
     split = regex.compile(WORD_SPLIT.replace("(?U)", ""))
-    cache: dict[str, int] = {}
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), np.float64)
-        for r, t in enumerate(texts):
-            for w in split.split(t.lower()):
-                if w:
-                    b = cache.get(w)
-                    if b is None:
-                        b = cache[w] = _bucket(w, dim)
-                    out[r, b] += 1.0
+        rows = [[w for w in split.split(t.lower()) if w] for t in texts]
+        place = {w: _bucket(w, dim) for w in set().union(*rows)}       # each word of the batch hashed once
+        for r, ws in enumerate(rows):
+            out[r] = np.bincount([place[w] for w in ws], minlength=dim)
         n = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
@@ -61,51 +57,42 @@ def embed_udf(encoder_factory: Callable[[], Callable[[list[str]], np.ndarray]] =
     return embed
 
 
-def predict_symbols(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    predictor: Callable | None = None) -> DataFrame:
-    """(id, pos, p): probability the predictor gives each actual next character.
+def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = EMBED_DIM, out: str = "embedding") -> DataFrame:
+    """(id, embedding array<double>): the default encoder as joins and aggregates on the JVM.
 
-    ``predictor(texts, table)`` returns one float array per text (length - 1);
-    the default looks the bigram model up with a vectorised merge. The model
-    table (one row per seen pair, size-checked before it is shipped) travels
-    as a broadcast variable.
+    Lower-cased words are hashed (md5) into ``dim`` buckets and counted where the row is read;
+    a row's vector has at most ``dim`` entries. Texts without words give the zero vector.
     """
-    from tessera.plans.hints import is_bounded
-    from tessera.operators.lm import MAX_MODEL_BROADCAST_ROWS
-
-    if not is_bounded(model, MAX_MODEL_BROADCAST_ROWS):
-        raise ValueError("model table too large for the predictor hook; use lm.document_bits (join form)")
-    spark = docs.sparkSession
-    table = model.select("a", "b", "p").toPandas()
-    bc = spark.sparkContext.broadcast(table)
-    fn = predictor or _bigram_predictor
+    bucket = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % dim
+    words = df.select(F.col(id_col).alias("_id"), F.explode(lower_words(text_col)).alias("w"))
+    n = words.select("_id", bucket.cast("int").alias("i")).groupBy("_id", "i").agg(F.count(F.lit(1)).alias("n"))
+    v = n.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"),
+                             F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("m")[i] / F.col("norm"), F.lit(0.0)))
+    return df.select(id_col).join(v.withColumnRenamed("_id", id_col), id_col, "left").select(id_col, dense.alias(out))
+
+
+def predict_symbols(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+                    predictor_factory: Callable | None = None) -> DataFrame:
+    """(id, pos, p): probability of each actual next character.
+
+    ``predictor_factory()`` runs once per Python worker and returns a function from a list of
+    texts to one float array per text (length - 1); it brings its own model. Without one the
+    bigram ``model`` table is joined, unseen pairs included, at any model size.
+    """
+    if predictor_factory is None:
+        from tessera.operators.lm import symbol_pairs, with_bits
+        pairs = docs.select(id_col, F.posexplode(symbol_pairs(text_col)).alias("_i", "_p")).select(
+            id_col, (F.col("_i") + 1).alias("pos"), F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
+        return with_bits(pairs, model).select(id_col, "pos", "p")
 
     def run(batches):
-        t = bc.value
+        fn = predictor_factory()
         for pdf in batches:
-            probs = fn(pdf[text_col].tolist(), t)
-            ids = np.repeat(pdf[id_col].to_numpy(), [len(p) for p in probs])
-            pos = np.concatenate([np.arange(1, len(p) + 1) for p in probs]) if probs else np.array([], int)
-            yield pd.DataFrame({id_col: ids, "pos": pos.astype(np.int32),
-                                "p": np.concatenate(probs) if probs else np.array([], float)})
+            probs = [np.asarray(p, float) for p in fn(pdf[text_col].fillna("").tolist())]
+            lengths = [len(p) for p in probs]
+            yield pd.DataFrame({id_col: np.repeat(pdf[id_col].to_numpy(), lengths),
+                                "pos": np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in lengths] or [np.zeros(0, np.int32)]),
+                                "p": np.concatenate(probs or [np.zeros(0)])})
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, pos int, p double")
-
-
-def _bigram_predictor(texts: list[str], table: pd.DataFrame) -> list[np.ndarray]:
-    rows = []
-    for i, t in enumerate(texts):
-        if len(t) > 1:
-            rows.append(pd.DataFrame({"i": i, "a": list(t[:-1]), "b": list(t[1:])}))
-    if not rows:
-        return [np.array([], float) for _ in texts]
-    pairs = pd.concat(rows, ignore_index=True)
-    pairs["_k"] = np.arange(len(pairs))
-    j = pairs.merge(table, on=["a", "b"], how="left").sort_values("_k")
-    p = j["p"].to_numpy()
-    out, start = [], 0
-    for t in texts:
-        n = max(len(t) - 1, 0)
-        out.append(p[start:start + n])
-        start += n
-    return out

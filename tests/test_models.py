@@ -22,9 +22,19 @@ def test_embed_udf_unit_vectors(spark):
 def test_predictor_hook_equals_join_form(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = lm.train_bigram(docs)
-    hook = H.predict_symbols(docs, model).groupBy("doc_id").agg(F.round(F.sum(-F.log2("p")), 6).alias("bits"))
-    join = lm.document_bits(docs, model).select("doc_id", F.round("bits", 6).alias("bits"))
-    assert hook.exceptAll(join).count() == 0 and join.exceptAll(hook).count() == 0
+    default = {r.doc_id: r.bits for r in H.predict_symbols(docs, model).groupBy("doc_id").agg(F.sum(-F.log2("p")).alias("bits")).collect()}
+    join = {r.doc_id: r.bits for r in lm.document_bits(docs, model).collect()}
+    assert all(abs(default[d] - b) < 1e-6 * b for d, b in join.items())
+    plugged = H.predict_symbols(docs, predictor_factory=lambda: lambda texts: [[0.25] * max(len(t) - 1, 0) for t in texts])
+    per = {r.doc_id: (r.n, r.bits) for r in plugged.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(-F.log2("p")).alias("bits")).collect()}
+    assert all(per[r.doc_id] == (r.n_coded, 2.0 * r.n_coded) for r in lm.document_bits(docs, model).collect() if r.n_coded)
+
+
+def test_default_encoder_equals_the_hook(spark):
+    df = spark.createDataFrame([(1, "the cat the"), (2, ""), (3, "Ünï cat"), (4, None)], "id long, text string")
+    jvm = {r.id: r.embedding for r in H.hashed_embedding(df, "id", "text").collect()}
+    hook = {r.id: r.v for r in df.select("id", H.embed_udf()("text").alias("v")).collect()}
+    assert jvm.keys() == hook.keys() and all(np.allclose(jvm[i], hook[i]) for i in jvm)
 
 
 def test_generation_is_deterministic(spark):
