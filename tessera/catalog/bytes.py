@@ -10,7 +10,8 @@ from tessera.catalog.sqlparts import MODEL
 from tessera.functions import bytes as B
 from tessera.operators import lm
 from tessera.operators import patches as P
-from tessera.operators.retrieval import assign_consecutive_ids
+from tessera.operators import trainset as TS
+from tessera.operators.ordering import global_rank
 from tessera.session import table
 
 PAGE_EXT = "html"
@@ -63,14 +64,15 @@ def q_verify_roundtrip(spark, sf):
 
 @register("strip_padding", f"""WITH {PAGES}
 SELECT page_id, CAST(octet_length(b) AS INTEGER) AS n_bytes,
-       CAST(16 * m AS INTEGER) AS padded_len FROM _pn""")
+       CAST(16 * m AS INTEGER) AS padded_len, md5(b) AS content_md5 FROM _pn""")
 def q_strip_padding(spark, sf):
     p = _patches(spark, sf)
-    last = F.max("patch_no").over(Window.partitionBy("page_id"))
-    data = p.withColumn("_l", last).filter((F.col("patch_no") > 0) & (F.col("patch_no") < F.col("_l")))
-    flat = data.groupBy("page_id").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("patch_no", "patch"))), lambda s: s["patch"])).alias("a"))
-    return flat.select("page_id", F.size(B.strip_padding("a")).alias("n_bytes"), F.size("a").alias("padded_len"))
+    flat = p.filter(F.col("patch_no") > 0).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("patch_no", "patch"))).alias("s"))
+    data = F.flatten(F.transform(F.slice("s", 1, F.size("s") - 1), lambda s: s["patch"]))     # without the end patch
+    flat = flat.select("page_id", data.alias("a"))
+    return flat.select("page_id", F.size(B.strip_padding("a")).alias("n_bytes"), F.size("a").alias("padded_len"),
+                       F.md5(B.from_ints(B.strip_padding("a"))).alias("content_md5"))
 
 
 @register("ordered_merge", """
@@ -82,86 +84,75 @@ def q_ordered_merge(spark, sf):
                                     F.array_join(F.transform(ordered, lambda s: s["text"]), "\n").alias("merged"))
 
 
-def _batched(spark, sf):
-    pages = assign_consecutive_ids(_pages(spark, sf), out="_row")
-    return pages.select("page_id", F.floor(F.col("_row") / BATCH).cast("int").alias("batch_no"),
-                        (B.n_data_patches("content") + 2).alias("n_patches"))
+def _windows(spark, sf):
+    """(page_id, row, patches): each page's flat patch array cut to its training window, with its rank."""
+    cut = TS.truncate_windows(_patches(spark, sf), "page_id")
+    arrays = TS.file_patch_arrays(cut, "page_id")
+    ranks = global_rank(table(spark, sf, "pages").select("page_id"), ["page_id"], out="row")
+    return arrays.join(ranks, "page_id").select("page_id", "row", F.flatten("patches").alias("symbols"))
 
 
-_BATCHED_SQL = f"""{PAGES},
-_bt AS (SELECT page_id, CAST((row_number() OVER (ORDER BY page_id) - 1) // {BATCH} AS INTEGER) AS batch_no, m + 2 AS n_patches FROM _pn)"""
+# Symbols of a page as a list of byte values, 256 for padding: extension patch, data patches, end patch;
+# cut to its window of at most 1024 patches.
+_SYMBOLS_SQL = f"""{PAGES},
+_t AS (SELECT page_id, h, m, m + 2 AS n_patches,
+              ('0x' || substr(md5('{SEED}:trunc:' || CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS c,
+              ('0x' || substr(md5('{SEED}:trunc:' || CAST(page_id AS VARCHAR)), 9, 8))::BIGINT AS u FROM _pn),
+_c AS (SELECT *, CASE WHEN n_patches <= 1024 THEN 'whole' WHEN c = 0 THEN 'head'
+                      WHEN c = 1 AND n_patches > 1025 THEN 'body' ELSE 'tail' END AS choice FROM _t),
+_w AS (SELECT page_id, choice, n_patches, CAST(CASE choice WHEN 'body' THEN 1 + u % (n_patches - 1024) WHEN 'tail' THEN n_patches - 1024 ELSE 0 END AS INTEGER) AS start_patch,
+              list_concat(list_concat({pad16_sql(ints_sql("hex(encode('" + PAGE_EXT + "'))"))}, {ints_sql("h")}),
+                          list_transform(range(m * 16 - length(h) // 2 + 16), lambda x: 256)) AS s FROM _c),
+sym AS (SELECT page_id, choice, n_patches, start_patch, CAST(least(n_patches, 1024) AS INTEGER) AS kept_patches,
+               s[start_patch * 16 + 1 : (start_patch + least(n_patches, 1024)) * 16] AS symbols,
+               CAST((row_number() OVER (ORDER BY page_id) - 1) // {BATCH} AS INTEGER) AS batch_no FROM _w)"""
+
 
+def _md5_of(symbols):
+    return F.md5(F.array_join(symbols, ","))
 
-@register("pad_batch", f"""WITH {_BATCHED_SQL}
-SELECT page_id, batch_no, n_patches, max(n_patches) OVER (PARTITION BY batch_no) AS padded_patches,
-       max(n_patches) OVER (PARTITION BY batch_no) - n_patches AS pad_patches FROM _bt""")
+
+@register("truncate_window", f"""WITH {_SYMBOLS_SQL}
+SELECT page_id, n_patches, choice, start_patch, kept_patches, md5(array_to_string(symbols, ',')) AS symbols_md5 FROM sym""")
+def q_truncate_window(spark, sf):
+    cut = TS.truncate_windows(_patches(spark, sf), "page_id")
+    a = TS.file_patch_arrays(cut, "page_id")
+    b = TS.window_bounds(_pages(spark, sf).select("page_id", (B.n_data_patches("content") + 2).alias("n_patches")), "page_id")
+    return b.join(a, "page_id").select("page_id", "n_patches", "choice", "start_patch", "kept_patches",
+                                       _md5_of(F.flatten("patches")).alias("symbols_md5"))
+
+
+@register("pad_batch", f"""WITH {_SYMBOLS_SQL},
+_m AS (SELECT *, max(len(symbols)) OVER (PARTITION BY batch_no) AS longest FROM sym)
+SELECT page_id, batch_no, CAST(longest AS INTEGER) AS length,
+       md5(array_to_string(list_concat(symbols, list_transform(range(longest - len(symbols)), lambda x: 256)), ',')) AS padded_md5,
+       md5(array_to_string(list_concat(list_transform(range(len(symbols) // 16), lambda x: 1), list_transform(range((longest - len(symbols)) // 16), lambda x: 0)), ',')) AS mask_md5
+FROM _m""")
 def q_pad_batch(spark, sf):
-    b = _batched(spark, sf)
-    mx = F.max("n_patches").over(Window.partitionBy("batch_no"))
-    return b.select("page_id", "batch_no", "n_patches", mx.alias("padded_patches"),
-                    (mx - F.col("n_patches")).alias("pad_patches"))
+    b = TS.pad_batches(_windows(spark, sf), "row", "symbols", BATCH)
+    return b.select("page_id", F.col("batch_no").cast("int"), F.size("padded").alias("length"),
+                    _md5_of(F.col("padded")).alias("padded_md5"), _md5_of(F.col("mask")).alias("mask_md5"))
 
 
-@register("batch_max_length", f"""WITH {_BATCHED_SQL}
-SELECT batch_no, CAST(max((n_patches - 2) * 16) + 32 AS INTEGER) AS max_length, count(*) AS n_files FROM _bt GROUP BY batch_no""")
+@register("batch_max_length", f"""WITH {_SYMBOLS_SQL}
+SELECT batch_no, CAST(max(len(symbols)) AS INTEGER) AS max_length, count(*) AS n_files FROM sym GROUP BY batch_no""")
 def q_batch_max_length(spark, sf):
-    b = _batched(spark, sf)
-    return b.groupBy("batch_no").agg(
-        (F.max((F.col("n_patches") - 2) * B.PATCH_SIZE) + 2 * B.PATCH_SIZE).cast("int").alias("max_length"),
-        F.count(F.lit(1)).alias("n_files"))
-
-
-@register("left_shift_mask", f"""WITH {_BATCHED_SQL},
-_m AS (SELECT page_id, unnest(range(0, padded)) AS i, n_patches FROM (
-         SELECT page_id, n_patches, max(n_patches) OVER (PARTITION BY batch_no) AS padded FROM _bt)),
-_k AS (SELECT page_id, i, CAST(i < n_patches AS INTEGER) AS mask FROM _m),
-_l AS (SELECT page_id, i, mask, lead(mask, 1, 0) OVER (PARTITION BY page_id ORDER BY i) AS nxt FROM _k)
-SELECT page_id, CAST(sum(CASE WHEN mask = 1 AND nxt = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_predictors,
-       CAST(sum(CASE WHEN mask = 1 AND i > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_targets,
-       CAST(sum(1 - mask) AS BIGINT) AS n_padding FROM _l GROUP BY page_id""")
+    w = TS.minibatch(_windows(spark, sf), "row", BATCH)
+    return w.groupBy(F.col("batch_no").cast("int").alias("batch_no")).agg(
+        F.max(F.size("symbols")).alias("max_length"), F.count(F.lit(1)).alias("n_files"))
+
+
+@register("left_shift_mask", f"""WITH {_SYMBOLS_SQL},
+_m AS (SELECT *, max(len(symbols)) OVER (PARTITION BY batch_no) // 16 AS padded, len(symbols) // 16 AS n FROM sym),
+_k AS (SELECT page_id, list_transform(range(padded), lambda i: CASE WHEN i < n - 1 THEN 1 ELSE 0 END) AS predict,
+              list_transform(range(padded), lambda i: CASE WHEN i > 0 AND i < n THEN 1 ELSE 0 END) AS target FROM _m)
+SELECT page_id, md5(array_to_string(predict, ',')) AS predict_md5, md5(array_to_string(target, ',')) AS target_md5,
+       CAST(list_sum(predict) AS BIGINT) AS n_predictors FROM _k""")
 def q_left_shift_mask(spark, sf):
-    b = _batched(spark, sf)
-    padded = F.max("n_patches").over(Window.partitionBy("batch_no"))
-    m = b.withColumn("_padded", padded).select(
-        "page_id", "n_patches", F.explode(F.sequence(F.lit(0), F.col("_padded") - 1)).alias("i"))
-    m = m.withColumn("mask", (F.col("i") < F.col("n_patches")).cast("int"))
-    nxt = F.lead("mask", 1, 0).over(Window.partitionBy("page_id").orderBy("i"))
-    m = m.withColumn("nxt", nxt)
-    return m.groupBy("page_id").agg(
-        F.sum(((F.col("mask") == 1) & (F.col("nxt") == 1)).cast("int")).cast("long").alias("n_predictors"),
-        F.sum(((F.col("mask") == 1) & (F.col("i") > 0)).cast("int")).cast("long").alias("n_targets"),
-        F.sum(1 - F.col("mask")).cast("long").alias("n_padding"))
-
-
-def _hash_u32(salt: str, id_col: str, part: int):
-    h = F.md5(F.concat(F.lit(f"{SEED}:{salt}:"), F.col(id_col).cast("string")))
-    return F.conv(F.substring(h, 1 + 8 * part, 8), 16, 10).cast("long")
-
-
-@register("truncate_window", f"""WITH {PAGES},
-_t AS (SELECT page_id, m + 2 AS n_patches,
-              ('0x' || substr(md5('{SEED}:trunc:' || CAST(page_id AS VARCHAR)), 1, 8))::BIGINT % 3 AS c,
-              ('0x' || substr(md5('{SEED}:trunc:' || CAST(page_id AS VARCHAR)), 9, 8))::BIGINT AS u FROM _pn),
-_c AS (SELECT page_id, n_patches,
-              CASE WHEN n_patches <= 1024 THEN 'whole' WHEN c = 0 THEN 'head'
-                   WHEN c = 1 AND n_patches > 1025 THEN 'body' ELSE 'tail' END AS choice, u FROM _t)
-SELECT page_id, n_patches, choice,
-       CAST(CASE choice WHEN 'whole' THEN 0 WHEN 'head' THEN 0 WHEN 'body' THEN 1 + u % (n_patches - 1024)
-            ELSE n_patches - 1024 END AS INTEGER) AS start_patch,
-       CAST(least(n_patches, 1024) AS INTEGER) AS kept_patches FROM _c""")
-def q_truncate_window(spark, sf):
-    p = _pages(spark, sf).select("page_id", (B.n_data_patches("content") + 2).alias("n_patches"))
-    c = _hash_u32("trunc", "page_id", 0) % 3
-    u = _hash_u32("trunc", "page_id", 1)
-    n = F.col("n_patches")
-    choice = (F.when(n <= B.PATCH_LENGTH, "whole").when(c == 0, "head")
-              .when((c == 1) & (n > B.PATCH_LENGTH + 1), "body").otherwise("tail"))
-    p = p.withColumn("choice", choice)
-    start = (F.when(F.col("choice").isin("whole", "head"), 0)
-             .when(F.col("choice") == "body", 1 + u % (n - B.PATCH_LENGTH))
-             .otherwise(n - B.PATCH_LENGTH))
-    return p.select("page_id", "n_patches", "choice", start.cast("int").alias("start_patch"),
-                    F.least(n, F.lit(B.PATCH_LENGTH)).cast("int").alias("kept_patches"))
+    b = TS.pad_batches(_windows(spark, sf), "row", "symbols", BATCH)
+    m = b.select("page_id", TS.left_shift_mask("mask").alias("predict"), TS.target_mask("mask").alias("target"))
+    return m.select("page_id", _md5_of(F.col("predict")).alias("predict_md5"), _md5_of(F.col("target")).alias("target_md5"),
+                    F.aggregate("predict", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_predictors"))
 
 
 _BYTE_VALUES = f"""{PAGES},
@@ -170,22 +161,22 @@ _v AS (SELECT page_id, {ints_sql("h")} AS v FROM _pn)"""
 
 @register("mask_msb", f"""WITH {_BYTE_VALUES}
 SELECT page_id, CAST(len(v) AS INTEGER) AS n_bytes, CAST(len(list_filter(v, lambda x: x > 127)) AS INTEGER) AS n_masked,
-       CAST(list_sum(list_transform(v, lambda x: CASE WHEN x > 127 THEN x & 127 ELSE x END)) AS BIGINT) AS masked_sum
+       md5(array_to_string(list_transform(v, lambda x: CASE WHEN x > 127 THEN x & 127 ELSE x END), ',')) AS masked_md5
 FROM _v""")
 def q_mask_msb(spark, sf):
     v = _pages(spark, sf).select("page_id", B.to_ints("content").alias("v"))
     m = B.mask_msb("v")
     return v.select("page_id", F.size("v").alias("n_bytes"), B.count_non_ascii("v").alias("n_masked"),
-                    F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + x).alias("masked_sum"))
+                    _md5_of(m).alias("masked_md5"))
 
 
 @register("shift_right_bytes", f"""WITH {_BYTE_VALUES}
 SELECT page_id, CAST(len(v) AS INTEGER) AS n_bytes,
-       CAST(list_sum(list_transform(v, lambda x: x >> 1)) AS BIGINT) AS shifted_sum FROM _v""")
+       md5(array_to_string(list_transform(v, lambda x: x >> 1), ',')) AS shifted_md5 FROM _v""")
 def q_shift_right_bytes(spark, sf):
     v = _pages(spark, sf).select("page_id", B.to_ints("content").alias("v"))
     return v.select("page_id", F.size("v").alias("n_bytes"),
-                    F.aggregate(B.shift_right("v"), F.lit(0).cast("long"), lambda a, x: a + x).alias("shifted_sum"))
+                    _md5_of(B.shift_right("v")).alias("shifted_md5"))
 
 
 @register("masked_byte_count", f"""WITH {_BYTE_VALUES}
@@ -203,12 +194,12 @@ _bits AS (SELECT page_id, ltrim(array_to_string(list_transform(v, lambda x: lpad
 @register("bits_to_bytes", f"""WITH {_BITS_SQL}
 SELECT page_id, CAST(length(bits) AS INTEGER) AS n_bits,
        CAST((length(bits) + 7) // 8 * 8 - length(bits) AS INTEGER) AS pad,
-       CAST((length(bits) + 7) // 8 AS INTEGER) AS n_bytes FROM _bits""")
+       CAST((length(bits) + 7) // 8 AS INTEGER) AS n_bytes, md5(b) AS data_md5 FROM _bits JOIN _pn USING (page_id)""")
 def q_bits_to_bytes(spark, sf):
     bits = _bits(spark, sf)
     s = B.bits_to_bytes("bits")
     return bits.select("page_id", F.length("bits").alias("n_bits"), s["pad"].alias("pad"),
-                       F.octet_length(s["data"]).alias("n_bytes"))
+                       F.octet_length(s["data"]).alias("n_bytes"), F.md5(s["data"]).alias("data_md5"))
 
 
 def _bits(spark, sf):
@@ -226,38 +217,44 @@ def q_bytes_to_bits(spark, sf):
     return bits.select("page_id", (back == F.col("bits")).alias("roundtrip_ok"), F.length("bits").alias("n_bits"))
 
 
+# A document's UTF-8 bytes as coded blocks of at most 65,535: an over-long one is split, an empty one is one empty block.
 _BLOCKS_SQL = """
-_bl AS (SELECT doc_id, encode(text) AS payload, CAST(length(text) % 8 AS INTEGER) AS pad, CAST(length(text) AS INTEGER) AS len FROM documents),
-_bs AS (SELECT *, CASE WHEN len > 65535 THEN 'bad_length' ELSE 'ok' END AS status FROM _bl)"""
+_bd AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS n FROM documents),
+_bn AS (SELECT doc_id, b, n, unnest(range(0, greatest(CAST(ceil(n / 65535) AS INTEGER), 1))) AS k FROM _bd),
+_bl AS (SELECT doc_id, CAST(k AS INTEGER) AS block_no, unhex(substr(hex(b), k * 131070 + 1, 131070)) AS payload FROM _bn),
+_bs AS (SELECT doc_id, block_no, payload, CAST(octet_length(payload) % 8 AS INTEGER) AS pad, CAST(octet_length(payload) AS INTEGER) AS len FROM _bl)"""
 
 
 def _blocks(spark, sf):
-    d = table(spark, sf, "documents")
-    x = d.select("doc_id", F.encode("text", "UTF-8").alias("payload"), (F.length("text") % 8).alias("pad"),
-                 F.length("text").alias("len"))
-    x = x.withColumn("status", B.block_status("pad", "len", "payload"))
-    return x.withColumn("blob", F.when(F.col("status") == "ok", B.block_blob("pad", "len", "payload")))
+    from tessera.operators import codec as C
+    d = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    b = C.to_blocks(d, "doc_id", "data", B.MAX_BLOCK_LENGTH).withColumnRenamed("data", "payload")
+    return b.select("doc_id", "block_no", "payload", (F.octet_length("payload") % 8).alias("pad"), F.octet_length("payload").alias("length"))
+
+
+def _stored_blocks(spark, sf):
+    from tessera.session import scratch_path
+    from tessera.sources import tables as TB
+    path = scratch_path(spark, "blocks")
+    TB.write_blocks(_blocks(spark, sf), path)
+    return TB.read_blocks(spark, path)
 
 
 @register("write_blocks", f"""WITH {_BLOCKS_SQL}
-SELECT doc_id, status,
-       CASE WHEN status = 'ok' THEN lpad(hex(pad), 2, '0') || lpad(hex(len), 4, '0') END AS header_hex,
-       CASE WHEN status = 'ok' THEN CAST(octet_length(payload) + 3 AS INTEGER) END AS blob_bytes,
-       CASE WHEN status = 'ok' THEN md5(unhex(lpad(hex(pad), 2, '0') || lpad(hex(len), 4, '0')) || payload) END AS blob_md5
-FROM _bs""")
+SELECT doc_id, block_no, lpad(hex(pad), 2, '0') || lpad(hex(len), 4, '0') AS header_hex, CAST(octet_length(payload) + 3 AS INTEGER) AS blob_bytes,
+       md5(unhex(lpad(hex(pad), 2, '0') || lpad(hex(len), 4, '0')) || payload) AS blob_md5 FROM _bs""")
 def q_write_blocks(spark, sf):
-    b = _blocks(spark, sf)
-    return b.select("doc_id", "status", F.hex(F.substring("blob", 1, 3)).alias("header_hex"),
+    b = _stored_blocks(spark, sf)
+    return b.select("doc_id", "block_no", F.hex(F.substring("blob", 1, 3)).alias("header_hex"),
                     F.octet_length("blob").alias("blob_bytes"), F.md5("blob").alias("blob_md5"))
 
 
 @register("scan_blocks", f"""WITH {_BLOCKS_SQL}
-SELECT doc_id, pad, len AS length, true AS payload_ok FROM _bs WHERE status = 'ok'""")
+SELECT doc_id, block_no, pad, len AS length, md5(payload) AS payload_md5 FROM _bs""")
 def q_scan_blocks(spark, sf):
-    b = _blocks(spark, sf).filter(F.col("status") == "ok")
-    r = b.select("doc_id", "payload", B.read_block("blob").alias("r"))
-    return r.select("doc_id", F.col("r.pad").alias("pad"), F.col("r.length").alias("length"),
-                    (F.col("r.payload") == F.col("payload")).alias("payload_ok"))
+    b = _stored_blocks(spark, sf)
+    return b.select("doc_id", "block_no", F.col("pad_bits").alias("pad"), F.col("n_symbols").alias("length"),
+                    F.md5("payload_bytes").alias("payload_md5"))
 
 
 _TRACE_SQL = f"""{PAGES},
@@ -275,35 +272,35 @@ _OPS_SQL = "[" + ", ".join(f"'{o}'" for o in P.OPCODES) + "]"
 _REGS_SQL = "[" + ", ".join(f"'{r}'" for r in P.REGISTERS) + "]"
 
 
+# Page bytes are text, whose codes lie beyond the 21 opcodes: records are folded into the valid ranges.
 @register("opcode_name", f"""WITH {_TRACE_SQL},
-_i AS (SELECT r[3] AS op, r[4] AS a1, r[5] AS a2, r[6] AS a3 FROM _rec),
-_n AS (SELECT CASE WHEN op > 20 OR (a1 > 10 AND op <> 11) OR a2 > 10 OR a3 > 10 THEN NULL ELSE
+_i AS (SELECT r[3] % 22 AS op, r[4] % 11 AS a1, r[5] % 11 AS a2, r[6] % 11 AS a3 FROM _rec),
+_n AS (SELECT CASE WHEN op > 20 THEN NULL ELSE
          trim({_OPS_SQL}[op + 1] || ' ' || CASE WHEN op = 11 THEN CAST(a1 AS VARCHAR) WHEN a1 = 0 THEN '' ELSE {_REGS_SQL}[a1] END
               || ' ' || CASE WHEN a2 = 0 THEN '' ELSE {_REGS_SQL}[a2] END || ' ' || CASE WHEN a3 = 0 THEN '' ELSE {_REGS_SQL}[a3] END) END AS asm FROM _i)
 SELECT asm, count(*) AS n FROM _n GROUP BY asm""")
 def q_opcode_name(spark, sf):
     t = P.decode_trace(_pages(spark, sf), "page_id", "content")
-    return t.groupBy(P.opcode_name("ir").alias("asm")).agg(F.count(F.lit(1)).alias("n"))
+    folded = F.transform("ir", lambda x, i: F.when(i == 0, x % 22).otherwise(x % 11))
+    return t.select(folded.alias("ir")).groupBy(P.opcode_name("ir").alias("asm")).agg(F.count(F.lit(1)).alias("n"))
 
 
 _GREEDY_SQL = f"""{MODEL},
 _am AS (SELECT a, b AS pred FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY n_ab DESC, b) AS r FROM model) WHERE r = 1),
 _dc AS (SELECT doc_id, lang, string_split(text, '') AS c FROM documents),
 _dp AS (SELECT doc_id, lang, len(c) AS n, unnest(c[1 : len(c) - 1]) AS a, unnest(c[2 : len(c)]) AS b FROM _dc),
-_bm AS (SELECT _dp.doc_id, _dp.lang, any_value(n) AS n_total, count(*) FILTER (WHERE _am.pred = _dp.b) AS n_matched
-        FROM _dp LEFT JOIN _am ON _dp.a = _am.a GROUP BY _dp.doc_id, _dp.lang)"""
+_bm AS (SELECT d.doc_id, d.lang, length(d.text) AS n_total, count(*) FILTER (WHERE _am.pred = _dp.b) AS n_matched
+        FROM documents d LEFT JOIN _dp ON d.doc_id = _dp.doc_id LEFT JOIN _am ON _dp.a = _am.a GROUP BY ALL)"""
 
 
 def _greedy_match(spark, sf):
     docs = table(spark, sf, "documents")
     model = lm.train_bigram(docs)
     best = lm.ranked(model).filter(F.col("sym_rank") == 1).select("a", F.col("b").alias("pred"))
-    arrays = docs.select("doc_id", "lang", F.length("text").alias("n"), lm.symbol_pairs("text").alias("pa"))
-    pairs = arrays.select("doc_id", "lang", "n", F.explode("pa").alias("p")).select(
-        "doc_id", "lang", "n", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    j = pairs.join(F.broadcast(best), "a", "left")  # one row per context symbol: bounded by the alphabet
-    return j.groupBy("doc_id", "lang", F.col("n").alias("n_total")).agg(
-        F.count(F.when(F.col("pred") == F.col("b"), 1)).alias("n_matched"))
+    hits = lm.pair_counts(docs, "doc_id", "text").join(best, "a", "left").groupBy("doc_id").agg(
+        F.sum(F.when(F.col("pred") == F.col("b"), F.col("n")).otherwise(0)).alias("n_matched"))
+    sizes = docs.select("doc_id", "lang", F.length("text").alias("n_total"))
+    return sizes.join(hits, "doc_id", "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
 
 
 @register("byte_match", f"""WITH {_GREEDY_SQL}

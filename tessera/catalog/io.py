@@ -6,23 +6,19 @@ read back, so the check covers the write and the read.
 
 from __future__ import annotations
 
-import os
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.catalog.sqlparts import CHUNKS, words_sql
 from tessera.operators import patches as P
 from tessera.operators import retrieval as R
-from tessera.session import checkpoint_dir, table
+from tessera.session import scratch_path, stored, table
 from tessera.sources import files as FS
 from tessera.sources import tables as TB
 
 
 def _scratch(spark, name):
-    return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:8]}")
+    return scratch_path(spark, name)
 
 
 @register("save_index", f"WITH {CHUNKS} SELECT chunk_id, doc_id, chunk_no, chunk_text FROM chunks")
@@ -78,10 +74,8 @@ def q_write_payload(spark, sf):
         F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.encode("html", "UTF-8").alias("content"))
     patches = P.to_patches(pages, "path", "content", ext_value="html")
-    last = F.max("patch_no").over(Window.partitionBy("path"))
-    data = patches.withColumn("_l", last).filter((F.col("patch_no") > 0) & (F.col("patch_no") < F.col("_l")))
-    symbols = data.groupBy("path").agg(F.flatten(F.transform(
-        F.array_sort(F.collect_list(F.struct("patch_no", "patch"))), lambda s: s["patch"])).alias("symbols"))
+    data = F.filter(F.array_sort(F.collect_list(F.struct("patch_no", "patch"))), lambda s: s["patch_no"] > 0)
+    symbols = patches.groupBy("path").agg(F.flatten(F.transform(data, lambda s: s["patch"])).alias("symbols"))
     out = _scratch(spark, "payload")
     TB.write_payload(symbols, out)
     back = spark.read.parquet(out)
@@ -92,34 +86,42 @@ def q_write_payload(spark, sf):
 SELECT CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS INTEGER) AS epoch, round(avg(CAST(value > 10 AS INTEGER)), 4) AS acc,
        round(avg(value), 4) AS loss FROM events GROUP BY 1""")
 def q_append_metrics_log(spark, sf):
-    # Each week of epochs is appended as it would be at the end of training that week;
-    # together the appends hold every epoch once.
     from tessera.catalog.metrics import _epochs
-    ep = _epochs(spark, sf).withColumn("_week", F.floor(F.col("epoch") / 7)).checkpoint()
+    ep = stored(_epochs(spark, sf), "epochs")
     out = _scratch(spark, "metrics_log")
-    weeks = [r[0] for r in ep.select("_week").distinct().orderBy("_week").collect()]
-    for w in weeks:
-        TB.append_metrics_log(ep.filter(F.col("_week") == w).drop("_week"), out)
+    TB.append_metrics_log(ep.filter("epoch < 0"), out)             # the log starts empty
+    TB.append_metrics_log(ep, out)
     return spark.read.parquet(out)
 
 
-@register("scan_text_files")
+_NAMED_SQL = "SELECT md5(text) AS content_md5, CAST(octet_length(encode(text)) AS BIGINT) AS length"
+
+
+def _document_files(spark, sf, name):
+    """Documents written as one text file each: <lang>/<source>_<doc_id>.txt."""
+    out = _scratch(spark, name)
+    docs = table(spark, sf, "documents")
+    named = docs.select(F.concat("lang", F.lit("/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+                        F.encode("text", "UTF-8").alias("content"))
+    FS.write_files(named, out, "name", "content").write.format("noop").mode("overwrite").save()
+    return out
+
+
+@register("scan_text_files", "SELECT lang, doc_id, md5(text) AS content_md5, CAST(length(text) AS INTEGER) AS n_chars FROM documents")
 def q_scan_text_files(spark, sf):
-    out = _scratch(spark, "text_files")
-    table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(out)
-    t = FS.read_text_files(spark, out)
-    return t.select("path", F.length("text").alias("n_chars"))
+    t = FS.read_text_files(spark, _document_files(spark, sf, "text_files"), glob="*.txt")
+    return t.select(F.element_at(F.split("path", "/"), -2).alias("lang"),
+                    F.regexp_extract("path", r"_(\d+)\.txt$", 1).cast("long").alias("doc_id"),
+                    F.md5("text").alias("content_md5"), F.length("text").alias("n_chars"))
 
 
-@register("scan_binary_glob")
+@register("scan_binary_glob", f"""{_NAMED_SQL}, source || '.txt' AS label, 'txt' AS ext FROM documents WHERE lang = 'en'""")
 def q_scan_binary_glob(spark, sf):
-    f = FS.read_binary_files(spark, sf, glob="*.parquet", recursive=False)
-    return f.select("path", "length", "ext", "label")
+    f = FS.read_binary_files(spark, _document_files(spark, sf, "binary_files") + "/en", glob="*.txt", recursive=False)
+    return f.select(F.md5("content").alias("content_md5"), "length", F.substring_index("label", "/", -1).alias("label"), "ext")
 
 
-@register("scan_recursive")
+@register("scan_recursive", f"{_NAMED_SQL}, doc_id FROM documents")
 def q_scan_recursive(spark, sf):
-    out = _scratch(spark, "tree")
-    table(spark, sf, "documents").select("lang", "source", "text").write.partitionBy("lang", "source").text(out)
-    f = FS.read_binary_files(spark, out, recursive=True, ext_regex=r"(?i)\.txt$")
-    return f.select("path", "length")
+    f = FS.read_binary_files(spark, _document_files(spark, sf, "tree"), recursive=True, ext_regex=FS.ext_filter(["TXT"]))
+    return f.select(F.md5("content").alias("content_md5"), "length", F.regexp_extract("path", r"_(\d+)\.txt$", 1).cast("long").alias("doc_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
-from tessera.catalog.sqlparts import MODEL, RAG_CONTEXT, pairs_sql
+from tessera.catalog.sqlparts import MODEL, RAG_CONTEXT, doc_bits_sql, pairs_sql
 from tessera.operators import lm
 from tessera.operators import retrieval as R
 from tessera.plans.rag import retrieve_with_context
@@ -28,20 +28,32 @@ def q_train_ngram(spark, sf):
 
 
 @register("entropy_bits", f"""WITH {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")},
-_db AS (SELECT sp.id AS doc_id, count(*) AS n_coded, sum(m.bits) AS bits
-        FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id)
+{doc_bits_sql("_db", "documents", "doc_id", "text")}
 SELECT d.doc_id, CAST(length(d.text) AS INTEGER) AS n_chars, _db.n_coded, round(_db.bits, 4) AS bits,
-       round(length(d.text) * 8 / _db.bits, 6) AS theoretical_ratio_chars,
-       round(octet_length(encode(d.text)) * 8 / _db.bits, 6) AS theoretical_ratio_bytes
-FROM documents d JOIN _db ON d.doc_id = _db.doc_id""")
+       CASE WHEN _db.bits > 0 THEN round(length(d.text) * 8 / _db.bits, 6) END AS theoretical_ratio_chars,
+       CASE WHEN _db.bits > 0 THEN round(octet_length(encode(d.text)) * 8 / _db.bits, 6) END AS theoretical_ratio_bytes
+FROM documents d JOIN _db ON d.doc_id = _db.id""")
 def q_entropy_bits(spark, sf):
     docs = table(spark, sf, "documents")
     bits = lm.document_bits(docs, _model(spark, sf))
-    return docs.select("doc_id", "text").join(bits, "doc_id").select(
-        "doc_id", F.length("text").alias("n_chars"), "n_coded", F.round("bits", 4).alias("bits"),
-        F.round(F.length("text") * 8 / F.col("bits"), 6).alias("theoretical_ratio_chars"),
-        F.round(F.octet_length("text") * 8 / F.col("bits"), 6).alias("theoretical_ratio_bytes"))
+    sizes = docs.select("doc_id", F.length("text").alias("n_chars"), F.octet_length("text").alias("_bytes"))
+    return sizes.join(bits, "doc_id").select(
+        "doc_id", "n_chars", "n_coded", F.round("bits", 4).alias("bits"),
+        F.round(F.try_divide(F.col("n_chars") * 8, "bits"), 6).alias("theoretical_ratio_chars"),
+        F.round(F.try_divide(F.col("_bytes") * 8, "bits"), 6).alias("theoretical_ratio_bytes"))
+
+
+_TURNS_SQL = "turns AS (SELECT conv_id * 1000 + turn AS turn_id, text FROM conversations)"
+
+
+@register("heldout_bits", f"""WITH {MODEL}, {_TURNS_SQL},
+{doc_bits_sql("_tb", "turns", "turn_id", "text")}
+SELECT id AS turn_id, n_coded, round(bits, 4) AS bits FROM _tb""")
+def q_heldout_bits(spark, sf):
+    """Conversation turns scored by the model of the documents: pairs and contexts it has not seen count."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    b = lm.document_bits(turns, _model(spark, sf), id_col="turn_id")
+    return b.select("turn_id", "n_coded", F.round("bits", 4).alias("bits"))
 
 
 @register("shift_context", f"""WITH {pairs_sql("sp", "documents", "doc_id", "text")}
@@ -51,13 +63,14 @@ def q_shift_context(spark, sf):
 
 
 @register("symbol_prob_join", f"""WITH {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")},
-_pc AS (SELECT id AS doc_id, a, b, count(*) AS n FROM sp GROUP BY ALL)
-SELECT _pc.doc_id, _pc.a, _pc.b, _pc.n, round(m.p, 12) AS p FROM _pc JOIN model m ON _pc.a = m.a AND _pc.b = m.b""")
+{pairs_sql("sp", "conversations", "conv_id", "text")},
+_pc AS (SELECT id AS conv_id, a, b, count(*) AS n FROM sp GROUP BY ALL),
+_ctx AS (SELECT DISTINCT a, n_a FROM model), _v AS (SELECT max(vocab) AS v FROM model)
+SELECT _pc.conv_id, _pc.a, _pc.b, _pc.n, round(coalesce(m.p, 1 / (coalesce(c.n_a, 0) + v)), 12) AS p
+FROM _pc CROSS JOIN _v LEFT JOIN model m ON _pc.a = m.a AND _pc.b = m.b LEFT JOIN _ctx c ON _pc.a = c.a""")
 def q_symbol_prob_join(spark, sf):
-    pc = lm.pair_counts(table(spark, sf, "documents"), "doc_id", "text")
-    m = _model(spark, sf).select("a", "b", F.round("p", 12).alias("p"))
-    return pc.join(m, ["a", "b"]).select("doc_id", "a", "b", "n", "p")
+    pc = lm.pair_counts(table(spark, sf, "conversations"), "conv_id", "text")
+    return lm.with_bits(pc, _model(spark, sf)).select("conv_id", "a", "b", "n", F.round("p", 12).alias("p"))
 
 
 @register("symbol_cdf", f"""WITH {MODEL}
@@ -159,8 +172,8 @@ def q_rag_entropy_gain(spark, sf):
 # ------------------------------------------------------------------ model hooks
 
 @register("predictor_udf", f"""WITH {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")}
-SELECT sp.id AS doc_id, count(*) AS n_coded, round(sum(m.bits), 4) AS bits FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id""")
+{doc_bits_sql("_db", "documents", "doc_id", "text")}
+SELECT id AS doc_id, n_coded, round(bits, 4) AS bits FROM _db WHERE n_coded > 0""")
 def q_predictor_udf(spark, sf):
     from tessera.functions.hooks import predict_symbols
     docs = table(spark, sf, "documents")
@@ -168,21 +181,27 @@ def q_predictor_udf(spark, sf):
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_coded"), F.round(F.sum(-F.log2("p")), 4).alias("bits"))
 
 
+ACCUMULATION_STEPS = 4      # batches whose losses make one optimiser step
+
+
 @register("mean_loss", f"""WITH {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")},
-_d AS (SELECT sp.id AS doc_id, sum(m.bits) / count(*) AS loss FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id),
+{doc_bits_sql("_db", "documents", "doc_id", "text")},
+_d AS (SELECT id AS doc_id, CASE WHEN n_coded > 0 THEN bits / n_coded END AS loss FROM _db),
 _b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_no, loss FROM _d),
-_m AS (SELECT batch_no, avg(loss) / 1 AS batch_loss FROM _b GROUP BY batch_no)
-SELECT count(*) AS n_batches, round(avg(batch_loss), 6) AS mean_loss FROM _m""")
+_m AS (SELECT batch_no, avg(loss) / {ACCUMULATION_STEPS} AS batch_loss FROM _b GROUP BY batch_no),
+_s AS (SELECT batch_no // {ACCUMULATION_STEPS} AS step, sum(batch_loss) AS step_loss FROM _m GROUP BY 1)
+SELECT (SELECT count(*) FROM _m) AS n_batches, count(*) AS n_steps, round(avg(step_loss), 6) AS mean_loss FROM _s""")
 def q_mean_loss(spark, sf):
-    from tessera.operators.trainset import global_rank
+    from tessera.operators.ordering import global_rank
     docs = table(spark, sf, "documents")
-    bits = lm.document_bits(docs, _model(spark, sf)).select("doc_id", (F.col("bits") / F.col("n_coded")).alias("loss"))
+    bits = lm.document_bits(docs, _model(spark, sf)).select("doc_id", F.try_divide("bits", "n_coded").alias("loss"))
     ranked = global_rank(bits, ["doc_id"], out="r")
-    accumulation_steps = 1
     per_batch = ranked.groupBy(F.floor(F.col("r") / 8).alias("batch_no")).agg(
-        (F.avg("loss") / accumulation_steps).alias("batch_loss"))
-    return per_batch.agg(F.count(F.lit(1)).alias("n_batches"), F.round(F.avg("batch_loss"), 6).alias("mean_loss"))
+        (F.avg("loss") / ACCUMULATION_STEPS).alias("batch_loss"))
+    steps = per_batch.groupBy(F.floor(F.col("batch_no") / ACCUMULATION_STEPS).alias("step")).agg(
+        F.sum("batch_loss").alias("step_loss"), F.count(F.lit(1)).alias("n"))
+    return steps.agg(F.sum("n").cast("long").alias("n_batches"), F.count(F.lit(1)).alias("n_steps"),
+                     F.round(F.avg("step_loss"), 6).alias("mean_loss"))
 
 
 @register("classify_bytes")

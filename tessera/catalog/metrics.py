@@ -59,7 +59,7 @@ SELECT doc_id, cum_original_bytes, cum_compressed_bytes,
        round({_ratio_sql("cum_original_bytes", "cum_compressed_bytes")}, 6) AS running_ratio FROM _c""")
 def q_running_ratio(spark, sf):
     s = doc_compression_stats(spark, sf).select("doc_id", "original_bytes", "compressed_bytes")
-    r = M.running_sums(s, "doc_id", ["original_bytes", "compressed_bytes"])
+    r = M.running_sums(s, ["doc_id"], ["original_bytes", "compressed_bytes"])
     return r.select("doc_id", F.col("cum_original_bytes").cast("long"), F.col("cum_compressed_bytes").cast("long"),
                     F.round(M.ratio(F.col("cum_original_bytes"), F.col("cum_compressed_bytes")), 6).alias("running_ratio"))
 
@@ -102,8 +102,7 @@ def q_accuracy(spark, sf):
     p = s.join(table(spark, sf, "labels"), "doc_id").select(
         "lang", "quality",
         (F.col("original_bytes") >= QUALITY_MIN_RATIO * F.col("compressed_bytes")).cast("int").alias("pred"))
-    eq = (F.col("pred") == F.col("quality")).cast("int")
-    return p.rollup("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(eq), 6).alias("accuracy"))
+    return M.accuracy(p, "pred", "quality", by=["lang"], total=True).withColumn("accuracy", F.round("accuracy", 6))
 
 
 # Per-epoch metrics: each day of the event log stands in for one epoch.
@@ -124,10 +123,11 @@ SELECT (SELECT epoch FROM epochs ORDER BY acc DESC, epoch LIMIT 1) AS best_acc_e
        (SELECT epoch FROM epochs ORDER BY loss, epoch LIMIT 1) AS best_loss_epoch, (SELECT min(loss) FROM epochs) AS best_loss""")
 def q_best_epoch(spark, sf):
     ep = _epochs(spark, sf)
-    a = F.max_by("epoch", F.struct(F.col("acc"), -F.col("epoch")))
-    l_ = F.max_by("epoch", F.struct(-F.col("loss"), -F.col("epoch")))
-    return ep.agg(a.alias("best_acc_epoch"), F.max("acc").alias("best_acc"),
-                  l_.alias("best_loss_epoch"), F.min("loss").alias("best_loss"))
+    acc = M.best_epoch(ep, "epoch", "acc").select(F.col("best_epoch").alias("best_acc_epoch"), F.col("best_value").alias("best_acc"))
+    loss = M.best_epoch(ep, "epoch", "loss", higher_is_better=False).select(
+        F.col("best_epoch").alias("best_loss_epoch"), F.col("best_value").alias("best_loss"))
+    one = F.lit(1).alias("_k")                       # one row on each side
+    return acc.select(one, "*").join(loss.select(one, "*"), "_k").drop("_k")
 
 
 @register("best_so_far", f"""WITH {_EPOCHS_SQL},

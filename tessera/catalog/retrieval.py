@@ -61,16 +61,24 @@ def q_rank_hits(spark, sf):
                                               T.preview("chunk_text").alias("preview"))
 
 
-@register("drop_missing_hits", f"""WITH {KNN_SPARSE_HITS.replace("WHERE rank <= 3", "WHERE rank <= 5")},
-_grid AS (SELECT b.item_id, CAST(r AS INTEGER) AS rank FROM benchmark b, range(1, 6) t(r)),
+# Nation names share no word with the corpus: their neighbours are all absent.
+_ASKED_SQL = """asked AS (SELECT item_id, text FROM benchmark
+           UNION ALL SELECT 1000000 + CAST(n_nationkey AS BIGINT) AS item_id, n_name AS text FROM nation)"""
+
+
+@register("drop_missing_hits", f"""WITH {_ASKED_SQL},
+{KNN_SPARSE_HITS.replace("WHERE rank <= 3", "WHERE rank <= 5").replace("FROM benchmark", "FROM asked")},
+_grid AS (SELECT b.item_id, CAST(r AS INTEGER) AS rank FROM asked b, range(1, 6) t(r)),
 _pad AS (SELECT g.item_id, g.rank, coalesce(h.chunk_id, -1) AS chunk_id FROM _grid g LEFT JOIN hits h ON g.item_id = h.item_id AND g.rank = h.rank)
 SELECT item_id, rank, chunk_id FROM _pad WHERE chunk_id <> -1""")
 def q_drop_missing_hits(spark, sf):
     # Fixed-width result grid as a flat index returns it: absent neighbours are -1.
-    b = table(spark, sf, "benchmark").select("item_id", F.explode(F.sequence(F.lit(1), F.lit(R.DEFAULT_TOP_K))).alias("rank"))
-    hits = R.knn_sparse(table(spark, sf, "benchmark"), _chunks(spark, sf), k=R.DEFAULT_TOP_K)
-    padded = b.join(hits.select("item_id", "rank", "chunk_id"), ["item_id", "rank"], "left") \
-              .withColumn("chunk_id", F.coalesce("chunk_id", F.lit(-1).cast("long")))
+    nations = table(spark, sf, "nation").select((F.col("n_nationkey").cast("long") + 1_000_000).alias("item_id"), F.col("n_name").alias("text"))
+    asked = table(spark, sf, "benchmark").select("item_id", "text").unionByName(nations)
+    grid = asked.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(R.DEFAULT_TOP_K))).alias("rank"))
+    hits = R.knn_sparse(asked, _chunks(spark, sf), k=R.DEFAULT_TOP_K)
+    padded = grid.join(hits.select("item_id", "rank", "chunk_id"), ["item_id", "rank"], "left") \
+                 .withColumn("chunk_id", F.coalesce("chunk_id", F.lit(-1).cast("long")))
     return padded.filter(F.col("chunk_id") != -1).select("item_id", "rank", "chunk_id")
 
 
@@ -150,11 +158,35 @@ FROM _w GROUP BY chunk_id"""
 
 @register("embed_udf", "WITH " + _EMBED_SQL)
 def q_embed_udf(spark, sf):
-    from tessera.functions.hooks import embed_udf
-    c = _chunks(spark, sf).select("chunk_id", embed_udf()("chunk_text").alias("v"))
+    from tessera.functions.hooks import hashed_embedding
+    c = hashed_embedding(_chunks(spark, sf), "chunk_id", "chunk_text", out="v")
     nz = F.filter(F.col("v"), lambda x: x > 0)
     top = F.array_max(F.col("v"))
-    idx = F.transform(F.col("v"), lambda x, i: F.when(F.round(x, 9) == F.round(F.array_max(F.col("v")), 9), i))
-    first = F.array_min(F.filter(idx, lambda i: i.isNotNull()))
-    return c.select("chunk_id", F.size(nz).cast("long").alias("n_nonzero"), F.round(top, 6).alias("max_weight"),
-                    first.cast("int").alias("top_bucket"))
+    r = c.select("chunk_id", F.size(nz).cast("long").alias("n_nonzero"), F.round(top, 6).alias("max_weight"),
+                 F.transform("v", lambda x: F.round(x, 9)).alias("r"))
+    return r.select("chunk_id", "n_nonzero", "max_weight", (F.array_position("r", F.array_max("r")) - 1).cast("int").alias("top_bucket"))
+
+
+def _embedded_sql(name: str, src: str, id_col: str, text_col: str) -> str:
+    return f"""
+{name}_t AS (SELECT {id_col} AS id, unnest(list_filter(string_split_regex(lower({text_col}), '\\s+'), lambda x: x <> '')) AS token FROM {src}),
+{name}_b AS (SELECT id, ('0x' || substr(md5(token), 1, 8))::BIGINT % 256 AS bucket, count(*) AS n FROM {name}_t GROUP BY ALL),
+{name} AS (SELECT id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS w FROM {name}_b)"""
+
+
+@register("dense_retrieval", f"""WITH {CHUNKS},
+{_embedded_sql("_q", "benchmark", "item_id", "text")}, {_embedded_sql("_c", "chunks", "chunk_id", "chunk_text")},
+_s AS (SELECT i.item_id, c.chunk_id, round(coalesce(s.score, 0.0), 6) AS score FROM benchmark i CROSS JOIN chunks c
+       LEFT JOIN (SELECT _q.id AS item_id, _c.id AS chunk_id, sum(_q.w * _c.w) AS score FROM _q JOIN _c USING (bucket) GROUP BY ALL) s
+       ON s.item_id = i.item_id AND s.chunk_id = c.chunk_id),
+_r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM _s)
+SELECT r.item_id, r.rank, r.chunk_id, r.score, c.chunk_text FROM _r r JOIN chunks c ON r.chunk_id = c.chunk_id WHERE r.rank <= {R.RAG_TOP_K}""")
+def q_dense_retrieval(spark, sf):
+    """Documents -> chunks -> vectors, stored as the index with its vectors; questions -> vectors -> top-k -> text."""
+    from tessera.functions.hooks import hashed_embedding
+    from tessera.session import stored
+    chunks = _chunks(spark, sf)
+    index = stored(chunks.join(hashed_embedding(chunks, "chunk_id", "chunk_text"), "chunk_id"), "vector-index")
+    asked = hashed_embedding(table(spark, sf, "benchmark"), "item_id", "text")
+    hits = R.knn_dense(asked, index, k=R.RAG_TOP_K, query_id="item_id", corpus_id="chunk_id")
+    return R.lookup_text(hits, index).select("item_id", "rank", "chunk_id", "score", "chunk_text")

@@ -70,13 +70,28 @@ ctx AS (
   FROM hits h LEFT JOIN chunks c ON h.chunk_id = c.chunk_id GROUP BY h.item_id
 )"""
 
+def doc_bits_sql(name: str, src: str, id_col: str, text_col: str) -> str:
+    """CTE ``name`` (id, n_coded, bits): every row of ``src`` priced by ``model``; pairs the model
+    has not seen cost -log2 1 / (c(a) + V), texts without a coded symbol 0."""
+    return f"""
+{pairs_sql(name + "_sp", src, id_col, text_col)},
+{name}_pc AS (SELECT id, a, b, count(*) AS n FROM {name}_sp GROUP BY ALL),
+{name}_ctx AS (SELECT DISTINCT a, n_a FROM model),
+{name}_v AS (SELECT coalesce(max(vocab), 0) AS v FROM model),
+{name}_pr AS (
+  SELECT p.id, p.n, coalesce(m.bits, log2(greatest(coalesce(c.n_a, 0) + v, 1))) AS bits
+  FROM {name}_pc p CROSS JOIN {name}_v LEFT JOIN model m ON p.a = m.a AND p.b = m.b LEFT JOIN {name}_ctx c ON p.a = c.a),
+{name} AS (
+  SELECT d.{id_col} AS id, CAST(coalesce(sum(q.n), 0) AS BIGINT) AS n_coded, coalesce(sum(q.n * q.bits), 0.0) AS bits
+  FROM {src} d LEFT JOIN {name}_pr q ON d.{id_col} = q.id GROUP BY d.{id_col})"""
+
+
 DOC_STATS = f"""
 {MODEL},
-{pairs_sql("sp", "documents", "doc_id", "text")},
-_db AS (SELECT sp.id AS doc_id, sum(m.bits) AS bits FROM sp JOIN model m ON sp.a = m.a AND sp.b = m.b GROUP BY sp.id),
+{doc_bits_sql("_db", "documents", "doc_id", "text")},
 stats AS (
   SELECT d.doc_id, d.lang, d.source, CAST(length(d.text) AS INTEGER) AS n_chars,
          CAST(octet_length(encode(d.text)) AS BIGINT) AS original_bytes, round(_db.bits, 4) AS bits,
          CAST(ceil(round(_db.bits, 4) / 8) AS BIGINT) AS compressed_bytes
-  FROM documents d JOIN _db ON d.doc_id = _db.doc_id
+  FROM documents d JOIN _db ON d.doc_id = _db.id
 )"""

@@ -30,12 +30,12 @@ def q_take_n(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "text").orderBy("doc_id").limit(TAKE_N)
 
 
-@register("guard_text", """
-SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 50000 THEN 'too_long' ELSE 'ok' END AS status
+@register("guard_text", r"""
+SELECT doc_id, CASE WHEN text IS NULL OR NOT regexp_matches(text, '[^\s\x0b\x1c-\x1f]') THEN 'empty' WHEN length(text) > 50000 THEN 'too_long' ELSE 'ok' END AS status
 FROM documents
 UNION ALL
 SELECT 1000000000 + conv_id * 1000 + turn AS doc_id,
-       CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN length(text) > 50000 THEN 'too_long' ELSE 'ok' END AS status
+       CASE WHEN text IS NULL OR NOT regexp_matches(text, '[^\s\x0b\x1c-\x1f]') THEN 'empty' WHEN length(text) > 50000 THEN 'too_long' ELSE 'ok' END AS status
 FROM conversations""")
 def q_guard_text(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", T.guard_status("text").alias("status"))

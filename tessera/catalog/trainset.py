@@ -19,10 +19,10 @@ tfiles AS (SELECT 'conv/' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn // 2 A
                   role AS ext, 'conv/' || CAST(conv_id AS VARCHAR) || '_' || CAST(turn // 2 AS VARCHAR) AS stem FROM conversations)"""
 
 
-def doc_files(spark, sf):
+def doc_files(spark, sf, *keep):
     d = table(spark, sf, "documents")
     path = F.concat_ws("", "lang", F.lit("/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), "lang")
-    return TS.path_columns(d.select("doc_id", path.alias("path")))
+    return TS.path_columns(d.select("doc_id", path.alias("path"), *keep))
 
 
 def turn_files(spark, sf):
@@ -43,9 +43,10 @@ def q_filter_ext(spark, sf):
 
 
 @register("scan_multi_ext", f"""WITH {DOC_FILES_SQL}
-SELECT path FROM files WHERE regexp_matches(path, '(?i)\\.(de|fr)$')""")
+SELECT path FROM files WHERE ext IN ('de', 'fr')""")
 def q_scan_multi_ext(spark, sf):
-    return doc_files(spark, sf).filter(F.col("path").rlike(r"(?i)\.(de|fr)$")).select("path")
+    from tessera.sources.files import ext_filter
+    return doc_files(spark, sf).filter(F.col("path").rlike(ext_filter(["DE", "fr"]))).select("path")
 
 
 @register("label_ids", f"""WITH {DOC_FILES_SQL}
@@ -81,14 +82,16 @@ def q_pair_bidirectional(spark, sf):
 SELECT path, CAST(octet_length(encode(text)) AS INTEGER) AS n_bytes FROM files JOIN documents USING (doc_id)
 UNION ALL SELECT 'web/page_' || CAST(page_id AS VARCHAR) || '.html' AS path, CAST(octet_length(encode(html)) AS INTEGER) AS n_bytes FROM pages""")
 def q_union_folders(spark, sf):
-    d = doc_files(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(
-        "path", F.octet_length("text").alias("n_bytes"))
+    d = doc_files(spark, sf, F.octet_length("text").alias("n_bytes")).select("path", "n_bytes")
     p = table(spark, sf, "pages").select(
         F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.octet_length("html").alias("n_bytes"))
     return d.unionByName(p)
 
 
+ODD_BATCH = 7        # leaves a remainder at the usual table sizes
+
+
 _SHUFFLE_SQL = f"""{DOC_FILES_SQL},
 sh AS (SELECT path, CAST(row_number() OVER (ORDER BY md5('{TS.SEED}:' || path), path) - 1 AS BIGINT) AS shuffle_rank FROM files)"""
 
@@ -109,9 +112,9 @@ def q_train_eval_split(spark, sf):
 
 
 @register("drop_remainder", f"""WITH {_SHUFFLE_SQL}
-SELECT path, shuffle_rank FROM sh WHERE shuffle_rank < (SELECT count(*) - count(*) % {TS.BATCH_SIZE} FROM files)""")
+SELECT path, shuffle_rank FROM sh WHERE shuffle_rank < (SELECT count(*) - count(*) % {ODD_BATCH} FROM files)""")
 def q_drop_remainder(spark, sf):
-    return TS.drop_remainder(_shuffled(spark, sf), "shuffle_rank")
+    return TS.drop_remainder(_shuffled(spark, sf), "shuffle_rank", ODD_BATCH)
 
 
 @register("minibatch", f"""WITH {_SHUFFLE_SQL}

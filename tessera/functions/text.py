@@ -15,6 +15,7 @@ TITLE_PREFIX = "Title: "  # "Title: {title}\n{text}"
 # Python str.split() splits on Unicode white space and on the separators
 # U+001C..U+001F; Java's (?U)\s covers the first, the class adds the second.
 WORD_SPLIT = r"(?U)[\s\x1c-\x1f]+"
+VISIBLE = r"(?U)[^\s\x1c-\x1f]"      # any character that is not white space
 
 
 def col_(c) -> Column:
@@ -60,7 +61,7 @@ def guard_status(text, max_chars: int = MAX_TEXT_CHARS) -> Column:
     """'empty' for blank text, 'too_long' above the limit, else 'ok'."""
     t = col_(text)
     return (
-        F.when(t.isNull() | (F.trim(t) == ""), F.lit("empty"))
+        F.when(t.isNull() | ~t.rlike(VISIBLE), F.lit("empty"))
         .when(F.length(t) > max_chars, F.lit("too_long"))
         .otherwise(F.lit("ok"))
     )

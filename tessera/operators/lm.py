@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.plans.hints import bounded_broadcast
+from tessera.session import stored
 
 # Fixed values that must equal the reference behaviour.
 TOP_K_PROBE = 5                                   # top-5 membership check of the true symbol
 FLOAT32_EPS = float(np.finfo(np.float32).eps)     # machine epsilon used by the pdf normaliser
-MAX_MODEL_BROADCAST_ROWS = 4_000_000              # bigram model rows shipped to every task at most
 
 
 def symbol_pairs(text) -> Column:
@@ -45,12 +45,8 @@ def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     pairs = corpus.select(F.explode(symbol_pairs(text_col)).alias("p"))
     counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
         F.count(F.lit(1)).alias("n_ab"))
-    # The counts feed the vocabulary, a size check and several joins: store them
-    # once in the shared checkpoint folder (one row per seen pair) instead of
-    # recounting the corpus for every use.
-    from tessera.session import checkpoint_dir
-    checkpoint_dir(corpus.sparkSession)
-    counts = counts.checkpoint()
+    # The counts feed the vocabulary and several joins: stored once, one row per seen pair.
+    counts = stored(counts, "bigram-counts")
     vocab = counts.select(F.count_distinct("b")).scalar()
     return with_probabilities(counts, vocab)
 
@@ -67,18 +63,30 @@ def context_totals(model: DataFrame) -> DataFrame:
     return model.groupBy("a").agg(F.first("n_a").alias("n_a"), F.first("vocab").alias("vocab"))
 
 
+def with_bits(pairs: DataFrame, model: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``p`` and ``bits``. A pair the model has not seen gets
+    1 / (c(a) + V), c(a) = 0 for a context it has not seen either: a held-out symbol is
+    never dropped."""
+    vocab = F.coalesce(model.select(F.max("vocab")).scalar(), F.lit(0))
+    seen = bounded_broadcast(model.select("a", "b", F.col("p").alias("_p")))
+    ctx = bounded_broadcast(context_totals(model).select("a", F.col("n_a").alias("_n")))
+    p = F.coalesce(F.col("_p"), 1 / F.greatest(F.coalesce(F.col("_n"), F.lit(0)) + vocab, F.lit(1)))
+    return (pairs.join(seen, ["a", "b"], "left").join(ctx, "a", "left")
+            .withColumn("p", p).withColumn("bits", -F.log2("p")).drop("_p", "_n"))
+
+
 def document_bits(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(id, n_coded, bits): -sum log2 P over every coded symbol of each document.
 
-    Each symbol row probes the broadcast model (size-checked); the per-document
-    sum is combined inside the partition, so only one row per document and
-    partition crosses the shuffle.
+    Symbol pairs are counted per document first (combined where the document is read),
+    then priced once per distinct pair. Documents without a coded symbol (null, empty or
+    one character) have 0 symbols and 0 bits. Only ids and counts are shuffled.
     """
-    m = bounded_broadcast(model.select("a", "b", "bits"), MAX_MODEL_BROADCAST_ROWS)
-    scored = exploded_pairs(docs, id_col, text_col).join(m, ["a", "b"], "inner")
-    return scored.groupBy(F.col("id").alias(id_col)).agg(
-        F.count(F.lit(1)).alias("n_coded"), F.sum("bits").alias("bits"))
+    priced = with_bits(pair_counts(docs, id_col, text_col), model)
+    per = priced.groupBy(id_col).agg(F.sum("n").alias("n_coded"), F.sum(F.col("n") * F.col("bits")).alias("bits"))
+    return docs.select(id_col).join(per, id_col, "left").select(
+        id_col, F.coalesce("n_coded", F.lit(0)).alias("n_coded"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
 
 
 def pair_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -105,12 +113,11 @@ def topk_membership(docs: DataFrame, model: DataFrame, k: int = TOP_K_PROBE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_coded, n_in_topk, topk_rate): how often the true symbol is among the k most likely."""
     top = ranked(model).filter(F.col("sym_rank") <= k).select("a", "b", F.lit(1).alias("hit"))
-    j = exploded_pairs(docs, id_col, text_col).join(bounded_broadcast(top, MAX_MODEL_BROADCAST_ROWS),
-                                                    ["a", "b"], "left")
-    return j.groupBy(F.col("id").alias(id_col)).agg(
-        F.count(F.lit(1)).alias("n_coded"),
-        F.count("hit").alias("n_in_topk"),
-    ).withColumn("topk_rate", F.round(F.col("n_in_topk") / F.col("n_coded"), 6))
+    j = pair_counts(docs, id_col, text_col).join(bounded_broadcast(top), ["a", "b"], "left")
+    per = j.groupBy(id_col).agg(F.sum("n").alias("n_coded"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("n_in_topk"))
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return docs.select(id_col).join(per, id_col, "left").select(id_col, z("n_coded"), z("n_in_topk")).withColumn(
+        "topk_rate", F.round(F.try_divide("n_in_topk", "n_coded"), 6))
 
 
 def nucleus_filter(model: DataFrame, top_p: float) -> DataFrame:
@@ -185,9 +192,9 @@ def rag_bits(items: DataFrame, contexts: DataFrame, model: DataFrame, lam: float
     cp = pair_counts(contexts, id_col, ctx_col).withColumnRenamed("n", "c_ab")
     ca = cp.groupBy(id_col, "a").agg(F.sum("c_ab").alias("c_a"))
     corpus_a = context_totals(model).select("a", F.col("n_a").alias("m_a"))
-    m = bounded_broadcast(model.select("a", "b", F.col("n_ab").alias("m_ab")), MAX_MODEL_BROADCAST_ROWS)
+    m = bounded_broadcast(model.select("a", "b", F.col("n_ab").alias("m_ab")))
     j = (ip.join(cp, [id_col, "a", "b"], "left").join(ca, [id_col, "a"], "left")
-         .join(m, ["a", "b"], "left").join(bounded_broadcast(corpus_a, MAX_MODEL_BROADCAST_ROWS), "a", "left"))
+         .join(m, ["a", "b"], "left").join(bounded_broadcast(corpus_a), "a", "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     p_base = (z("m_ab") + 1) / (z("m_a") + vocab)
     p_ctx = (z("c_ab") + 1) / (z("c_a") + vocab)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import running_agg
+
 BLOCK_HEADER_BYTES = 3       # 1 byte pad bits + 2 bytes big-endian length
-RUNNING_MAX_RANGES = 100_000          # offset table rows shipped to every task at most
-RUNNING_ROWS_PER_RANGE = 2_000_000     # about this many rows per running-window range
 
 
 def ratio(original: Column, compressed: Column) -> Column:
@@ -46,76 +46,20 @@ def metric_rollup(stats: DataFrame, keys: list[str], comp: str = "compressed_byt
     ).withColumn("ratio", ratio(F.col("original_bytes"), F.col("compressed_bytes")))
 
 
-def order_ranges(df: DataFrame, order_col: str, max_ranges: int = RUNNING_MAX_RANGES,
-                 rows_per_range: int = RUNNING_ROWS_PER_RANGE) -> DataFrame:
-    """``df`` with ``_range``: consecutive ranges of ``order_col`` holding about equal row counts.
-
-    Range bounds are approximate quantiles of the order key (``QuantileDiscretizer``,
-    a binary search per row on the JVM), so a dense stretch of keys is split like
-    any other; there are about n / ``rows_per_range`` ranges, at most ``max_ranges``.
-    Nulls sort first, as in an ascending window, so they join the first range.
-    """
-    from pyspark.ml.feature import QuantileDiscretizer
-
-    n = df.count()
-    k = min(max_ranges, max(1, -(-n // rows_per_range)))
-    if k == 1:
-        return df.withColumn("_range", F.lit(0.0))
-    key = df.withColumn("_okey", F.coalesce(F.col(order_col).cast("double"), F.lit(float("-inf"))))
-    qd = QuantileDiscretizer(numBuckets=k, inputCol="_okey", outputCol="_range", relativeError=0.25 / k)
-    return qd.fit(key).transform(key).drop("_okey")
-
-
-_RUNNING = {"sum": F.sum, "max": F.max, "min": F.min}
-
-
-def running_agg(df: DataFrame, order_col: str, cols: list[str], how: str = "sum", inclusive: bool = True,
-                prefix: str = "cum_", max_ranges: int = RUNNING_MAX_RANGES,
-                rows_per_range: int = RUNNING_ROWS_PER_RANGE) -> DataFrame:
-    """Running sum / max / min of ``cols`` in ``order_col`` order without a single-partition window.
-
-    Rows are split into ordered ranges of about equal size (``order_ranges``).
-    Range totals get an exclusive running total over that small table (at most
-    ``max_ranges`` rows: a fixed bound) and are broadcast back; inside a range a
-    partitioned running window finishes the value. ``inclusive=False`` leaves the
-    current row out (frame up to the previous row).
-    """
-    from tessera.session import checkpoint_dir
-
-    fn = _RUNNING[how]
-    checkpoint_dir(df.sparkSession)
-    df = df.checkpoint()   # the input feeds the ranges and the totals: compute it once
-    x = order_ranges(df, order_col, max_ranges, rows_per_range)
-    tot = x.groupBy("_range").agg(*[fn(c).alias(f"_t_{c}") for c in cols])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offs = tot.select("_range", *[fn(f"_t_{c}").over(before).alias(f"_o_{c}") for c in cols])
-    within = Window.partitionBy("_range").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, 0 if inclusive else -1)
-    out = x.join(F.broadcast(offs), "_range")
-    for c in cols:
-        o, w = F.col(f"_o_{c}"), fn(c).over(within)
-        if how == "sum":
-            v = F.when(o.isNull() & w.isNull(), F.lit(None)).otherwise(F.coalesce(o, F.lit(0)) + F.coalesce(w, F.lit(0)))
-        else:
-            v = (F.greatest if how == "max" else F.least)(o, w)   # both skip nulls
-        out = out.withColumn(f"{prefix}{c}", v)
-    return out.drop("_range", *[f"_o_{c}" for c in cols])
-
-
-def running_sums(df: DataFrame, order_col: str, cols: list[str],
-                 max_ranges: int = RUNNING_MAX_RANGES) -> DataFrame:
-    """Cumulative sums ``cum_<col>`` (current row included) in ``order_col`` order."""
-    return running_agg(df, order_col, cols, "sum", True, "cum_", max_ranges)
+def running_sums(df: DataFrame, order: list[str], cols: list[str]) -> DataFrame:
+    """Cumulative sums ``cum_<col>`` (current row included) in ``order``."""
+    return running_agg(df, order, cols, "sum", True, "cum_")
 
 
 def space_saved(original: Column, compressed: Column) -> Column:
     return F.when(original != 0, 100 * (1 - compressed / original)).otherwise(F.lit(0.0))
 
 
-def accuracy(df: DataFrame, pred: str, label: str, by: list[str] | None = None) -> DataFrame:
+def accuracy(df: DataFrame, pred: str, label: str, by: list[str] | None = None, total: bool = False) -> DataFrame:
+    """Rows and share of correct predictions, per group; ``total`` adds the overall row (ROLLUP)."""
     acc = F.avg((F.col(pred) == F.col(label)).cast("int")).alias("accuracy")
     n = F.count(F.lit(1)).alias("n")
-    return df.groupBy(*(by or [])).agg(n, acc)
+    return (df.rollup if total else df.groupBy)(*(by or [])).agg(n, acc)
 
 
 def best_epoch(metrics: DataFrame, epoch: str, metric: str, higher_is_better: bool = True) -> DataFrame:
@@ -127,7 +71,7 @@ def best_epoch(metrics: DataFrame, epoch: str, metric: str, higher_is_better: bo
 
 def best_so_far(metrics: DataFrame, epoch: str, metric: str, higher_is_better: bool = True) -> DataFrame:
     """Running best before each epoch and whether the epoch improved on it (one row per epoch)."""
-    prev = running_agg(metrics, epoch, [metric], "max" if higher_is_better else "min", inclusive=False,
+    prev = running_agg(metrics, [epoch], [metric], "max" if higher_is_better else "min", inclusive=False,
                        prefix="_prev_")
     better = (F.col(metric) > F.col("prev_best")) if higher_is_better else (F.col(metric) < F.col("prev_best"))
     return prev.withColumnRenamed(f"_prev_{metric}", "prev_best").withColumn(

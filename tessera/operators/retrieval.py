@@ -1,9 +1,9 @@
 """Chunking, chunk ids, sparse and dense exact top-k retrieval, context assembly.
 
-Retrieval is a batch job: queries are a table, the index is a table, and the
-search is a join. Sparse retrieval uses an inverted-index equi-join on the
-token; dense retrieval scores vectors with numpy inside Arrow batches and
-keeps a local top-k per partition before the global top-k.
+Retrieval is a batch job: queries are a table, the index is a table. The queries
+are a stated set, shipped in blocks of bounded size against all index rows; each
+task scores its rows in numpy inside Arrow batches and keeps a local top-k per
+query before the global top-k.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators.ordering import assign_consecutive_ids
 from tessera.plans.hints import bounded_broadcast
+from tessera.session import stored
 
+# Fixed values that must equal the reference behaviour.
 DEFAULT_TOP_K = 5      # retriever default
 RAG_TOP_K = 3          # retrieval-conditioned compression default
 SCORE_DECIMALS = 6     # scores are rounded before ranking so ties are engine-independent
@@ -28,70 +31,139 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return w.select("doc_id", F.posexplode(T.chunk_array("_words", size, overlap)).alias("chunk_no", "chunk_text"))
 
 
-def assign_consecutive_ids(df: DataFrame, start: int | F.Column = 0, out: str = "chunk_id") -> DataFrame:
-    """Ids start..start+n-1 in input order (partition order, then row order).
-
-    Input order is the document order of the source, as when a corpus is
-    indexed while it is iterated. No row is shuffled: each row gets its index
-    inside its partition, and one count per partition (a table with as many
-    rows as partitions) gives the partition offsets, which are broadcast.
-    ``df`` must come from a scan and narrow operators, so that a recomputed
-    partition has the same rows in the same order.
-    """
-    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__mono", F.monotonically_increasing_id())
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__pid", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    start_c = start if isinstance(start, F.Column) else F.lit(start)
-    # monotonically_increasing_id = (partition id << 33) + row index in the partition
-    local = F.col("__mono") - F.shiftleft(F.col("__pid").cast("long"), 33)
-    return (
-        tagged.join(F.broadcast(offsets), "__pid")
-        .withColumn(out, (F.col("__off") + local + start_c).cast("long"))
-        .drop("__pid", "__mono", "__off")
-    )
-
-
 def build_chunks(docs: DataFrame, start_id: int | F.Column = 0, **kw) -> DataFrame:
-    """Chunk table (chunk_id, doc_id, chunk_no, chunk_text) with consecutive ids."""
-    return assign_consecutive_ids(chunk_documents(docs, **kw), start=start_id)
+    """Chunk table (chunk_id, doc_id, chunk_no, chunk_text) with consecutive ids in
+    (doc_id, chunk_no) order: the stored index, so documents are chunked once per job."""
+    return assign_consecutive_ids(chunk_documents(docs, **kw), ["doc_id", "chunk_no"], start=start_id)
 
 
 def sparse_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, token, weight): term frequency of lower-cased words, L2-normalised per id.
-
-    Token rows are clustered by id once; the count and the norm then reuse that
-    partitioning (no second exchange).
-    """
+    """(id, token, weight): term frequency of lower-cased words, L2-normalised per id."""
     toks = df.select(F.col(id_col).alias("id"), F.explode(T.lower_words(text_col)).alias("token"))
-    tf = toks.repartition("id").groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy("id")))
-    return tf.select("id", "token", (F.col("tf") / norm).alias("weight"))
+    tf = toks.groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    norm = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
+    return tf.join(norm, "id").select("id", "token", (F.col("tf") / F.col("norm")).alias("weight"))
+
+
+QUERY_BLOCK_BYTES = 32 << 20      # query weights or vectors shipped to every task at once
+MAX_SCORE_CELLS = 1 << 24         # corpus rows x queries scored at once in one task (128 MB of doubles)
+
+
+class _TopK:
+    """Running top-k per query over corpus rows scored in slices: higher score first, then smaller id."""
+
+    def __init__(self, n_queries: int, k: int):
+        import numpy as np
+        self.np, self.k, self.cols = np, k, np.arange(n_queries)[None, :]
+        self.key = self.ids = None
+
+    def add(self, key, ids) -> None:
+        """``key`` (rows, queries), smaller is better, rows in id order; inf marks no match."""
+        np, k = self.np, self.k
+        if len(key) > 4 * k:                   # keep rows that can be among the k best, ties included
+            bound = np.partition(key, k - 1, axis=0)[k - 1]
+            rows = np.flatnonzero((key <= bound).any(axis=1))
+            key, ids = key[rows], ids[rows]
+        order = np.argsort(key, axis=0, kind="stable")[:k]
+        key_k, ids_k = key[order, self.cols], ids[order]
+        if self.key is not None:
+            key_k, ids_k = np.vstack([self.key, key_k]), np.vstack([self.ids, ids_k])
+            best = np.lexsort((ids_k, key_k), axis=0)[:k]
+            key_k, ids_k = key_k[best, self.cols], ids_k[best, self.cols]
+        self.key, self.ids = key_k, ids_k
+
+    def rows(self):
+        """(query number, corpus id, key) of what was found."""
+        np = self.np
+        if self.key is None:
+            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
+        found = np.isfinite(self.key)
+        q = np.broadcast_to(self.cols, self.key.shape)
+        return q[found], self.ids[found], self.key[found]
+
+
+def _blocks(df: DataFrame, key: str, size: F.Column, block_bytes: int) -> list[DataFrame]:
+    """``df`` cut by a hash of ``key`` into parts of about ``block_bytes`` (sum of ``size``)."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    n = max(1, -(-int(total) // block_bytes))
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)] if n > 1 else [df]
 
 
 def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = RAG_TOP_K,
                query_id: str = "item_id", query_text: str = "text",
                corpus_id: str = "chunk_id", corpus_text: str = "chunk_text",
-               max_broadcast_rows: int = 2_000_000) -> DataFrame:
+               block_bytes: int = QUERY_BLOCK_BYTES) -> DataFrame:
     """Exact top-k by cosine of term-frequency vectors: (query_id, rank, corpus_id, score).
 
-    Query token weights are broadcast when their row count is within bound, so
-    the corpus side stays clustered by its id: the (query, doc) sums are then
-    complete inside each partition, and only the per-partition top-k per query
-    crosses the shuffle to the final ranking.
+    The queries are the stated set, shipped in blocks of bounded size. A corpus row's words
+    are counted and normalised where the row is read, so no token row is shuffled and no
+    (query, row) pair is written: each task scores its rows against the query terms in
+    bounded matrix products, keeps k rows per query, and only those cross the shuffle.
+    Rows that share no word with a query are never its hits.
     """
-    q = sparse_weights(queries, query_id, query_text).select(
-        F.col("id").alias("qid"), "token", F.col("weight").alias("qw"))
-    c = sparse_weights(corpus, corpus_id, corpus_text).select(
-        F.col("id").alias("cid"), "token", F.col("weight").alias("cw"))
-    pairs = c.join(bounded_broadcast(q, max_broadcast_rows), "token")
-    scores = pairs.groupBy("qid", "cid").agg(
-        F.round(F.sum(F.col("qw") * F.col("cw")), SCORE_DECIMALS).alias("score"))
-    return top_k(scores, "qid", "score", "cid", k, descending=True).select(
+    spark = corpus.sparkSession
+    weights = sparse_weights(queries, query_id, query_text)
+    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), T.lower_words(corpus_text).alias("words"))
+    cand = None
+    for block in _blocks(weights, "id", F.octet_length("token") + 24, block_bytes):
+        rows = block.collect()
+        if not rows:
+            continue
+        bc = spark.sparkContext.broadcast(_query_terms([(r.id, r.token, r.weight) for r in rows]))
+
+        def score(batches, bc=bc):
+            yield from _sparse_scores(batches, *bc.value, k)
+
+        part = c.mapInArrow(score, "qid long, cid long, score double")
+        cand = part if cand is None else cand.unionByName(part)
+    if cand is None:
+        cand = spark.createDataFrame([], "qid long, cid long, score double")
+    return top_k(cand, "qid", "score", "cid", k, descending=True).select(
         F.col("qid").alias(query_id), "rank", F.col("cid").alias(corpus_id), "score")
 
 
+def _query_terms(rows):
+    """(ids, term -> column, sparse weights as (term, query, weight) arrays) of one query block."""
+    import numpy as np
+
+    ids = sorted({r[0] for r in rows})
+    place = {q: i for i, q in enumerate(ids)}
+    terms: dict[str, int] = {}
+    t = np.array([terms.setdefault(r[1], len(terms)) for r in rows])
+    q = np.array([place[r[0]] for r in rows])
+    w = np.array([r[2] for r in rows])
+    order = np.argsort(t, kind="stable")
+    first = np.searchsorted(t[order], np.arange(len(terms) + 1))
+    return np.array(ids, np.int64), terms, q[order], w[order], first
+
+
+def _sparse_scores(batches, ids, terms, q, w, first, k):
+    import numpy as np
+    import pyarrow as pa
+
+    best = _TopK(len(ids), k)
+    step = max(1, MAX_SCORE_CELLS // len(ids))
+    for b in batches:
+        cids = b.column("cid").to_numpy()
+        words = b.column("words").to_pylist()
+        order = np.argsort(cids, kind="stable")
+        for at in range(0, len(order), step):
+            part = order[at:at + step]
+            score = np.zeros((len(part), len(ids)))
+            for row, i in enumerate(part.tolist()):
+                tf: dict[str, int] = {}
+                for x in words[i] or ():
+                    tf[x] = tf.get(x, 0) + 1
+                norm = sum(n * n for n in tf.values()) ** 0.5
+                for x in tf.keys() & terms.keys():
+                    a, z = first[terms[x]], first[terms[x] + 1]
+                    score[row, q[a:z]] += w[a:z] * (tf[x] / norm)
+            key = np.where(score > 0, -np.round(score, SCORE_DECIMALS), np.inf)
+            best.add(key, cids[part])
+    n, cid, key = best.rows()
+    yield pa.RecordBatch.from_arrays([pa.array(ids[n]), pa.array(cid.astype(np.int64)), pa.array(-key + 0.0)], names=["qid", "cid", "score"])
+
+
 def top_k(df: DataFrame, group: str, score: str, tie: str, k: int, descending: bool = True) -> DataFrame:
     """Rows ranked 1..k per group; ties broken by the smaller ``tie`` id.
 
@@ -104,18 +176,15 @@ def top_k(df: DataFrame, group: str, score: str, tie: str, k: int, descending: b
 
 
 def lookup_text(hits: DataFrame, chunks: DataFrame, id_col: str = "chunk_id",
-                text_col: str = "chunk_text", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                text_col: str = "chunk_text") -> DataFrame:
     """Attach chunk text to hits; unknown ids keep a NULL text (left join).
 
-    Hits are few (k per query) and the chunk table is the whole index, so the
-    chunks are first cut down by a semi-join against the (size-checked,
-    broadcast) hit ids; the left join then pairs two small sides.
+    Hits are few (k per query) and the chunk table is the whole index, so the hits are
+    stored once and the chunks cut down by a semi-join against their ids (broadcast if
+    their stored size is within bound) before the left join pairs two small sides.
     """
-    from tessera.session import checkpoint_dir
-
-    checkpoint_dir(hits.sparkSession)
-    hits = hits.checkpoint()          # computed once, stored in the shared checkpoint folder
-    ids = bounded_broadcast(hits.select(id_col).distinct(), max_broadcast_rows)
+    hits = stored(hits, "hits")
+    ids = bounded_broadcast(hits.select(id_col).distinct())
     needed = chunks.select(id_col, text_col).join(ids, id_col, "left_semi")
     return hits.join(needed, id_col, "left")
 
@@ -130,9 +199,6 @@ def rag_context(hits_with_text: DataFrame, query_id: str = "item_id", text_col:
 
 # ---------------------------------------------------------------- dense vectors
 
-MAX_QUERY_ROWS_PER_BROADCAST = 50_000
-
-
 def l2_normalize(v) -> F.Column:
     arr = T.col_(v)
     n = F.sqrt(F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
@@ -153,89 +219,68 @@ def mean_pool(df: DataFrame, group: str, vec: str, decimals: int | None = None)
     return avg.groupBy(group).agg(F.transform(pooled, lambda s: s["x"]).alias(vec))
 
 
-MAX_SCORE_CELLS = 1 << 24    # corpus rows x queries scored at once in one task (128 MB of doubles)
-
-
-def _dense_scores(batches, ids, qmat, k, metric, cid, cvec, qid_name, max_cells=MAX_SCORE_CELLS):
-    """Exact top-k per query over all corpus rows of one task.
-
-    Corpus rows are scored in slices of at most ``max_cells`` scores; each slice's
-    top-k is merged into a running top-k (score, then smaller id), so the task
-    emits k rows per query once, however many rows it scanned.
-    """
+def _dense_scores(batches, ids, qmat, k, metric, cid, cvec, qid_name, max_cells):
+    """Exact top-k per query over all corpus rows of one task, scored in slices of at most
+    ``max_cells``; the task emits k rows per query once, however many rows it scanned."""
     import numpy as np
     import pandas as pd
 
-    nq = len(ids)
     qn = (qmat * qmat).sum(axis=1)
-    step = max(1, max_cells // max(nq, 1))
-    best_key = best_cid = None           # (<=k, nq): sort key (lower is better) and corpus id
+    step = max(1, max_cells // len(ids))
+    best = _TopK(len(ids), k)
     for pdf in batches:
         if pdf.empty:
             continue
         pdf = pdf.sort_values(cid, kind="stable")
         c_all = np.stack(pdf[cvec].to_numpy()).astype(np.float64)
-        cids_all = pdf[cid].to_numpy().astype(np.int64)
+        cids = pdf[cid].to_numpy().astype(np.int64)
         for lo in range(0, len(c_all), step):
-            c, cids = c_all[lo:lo + step], cids_all[lo:lo + step]
+            c = c_all[lo:lo + step]
             dots = c @ qmat.T
             if metric == "ip":
                 key = -np.round(dots, SCORE_DECIMALS)
             else:
                 key = np.round(np.maximum((c * c).sum(axis=1)[:, None] + qn[None, :] - 2 * dots, 0.0), SCORE_DECIMALS)
-            order = np.argsort(key, axis=0, kind="stable")[:k]     # rows are in id order: ties keep the smaller id
-            cols = np.arange(nq)[None, :]
-            key_k, cid_k = key[order, cols], cids[order]
-            if best_key is not None:
-                key_k, cid_k = np.vstack([best_key, key_k]), np.vstack([best_cid, cid_k])
-                merged = np.lexsort((cid_k, key_k), axis=0)[:k]
-                key_k, cid_k = key_k[merged, cols], cid_k[merged, cols]
-            best_key, best_cid = key_k, cid_k
-    if best_key is None:
-        return
-    kk = best_key.shape[0]
-    qcols = np.tile(np.arange(nq), kk)
-    score = best_key.reshape(-1) * (-1.0 if metric == "ip" else 1.0) + 0.0
-    yield pd.DataFrame({qid_name: ids[qcols], cid: best_cid.reshape(-1), "score": score})
+            best.add(key, cids[lo:lo + step])
+    n, found, key = best.rows()
+    yield pd.DataFrame({qid_name: ids[n], cid: found, "score": key * (-1.0 if metric == "ip" else 1.0) + 0.0})
 
 
 def knn_dense(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_TOP_K, metric: str = "ip",
               query_id: str = "qid", query_vec: str = "embedding", corpus_id: str = "vec_id",
-              corpus_vec: str = "embedding", block_rows: int = MAX_QUERY_ROWS_PER_BROADCAST,
+              corpus_vec: str = "embedding", block_bytes: int = QUERY_BLOCK_BYTES,
               score_cells: int = MAX_SCORE_CELLS) -> DataFrame:
     """Exact top-k by inner product (higher first) or squared L2 (lower first).
 
-    The query matrix is broadcast in blocks of at most ``block_rows`` rows; each
-    task scores its corpus rows with bounded matrix products and keeps one
+    The queries are the stated set, shipped in blocks of bounded bytes whatever the vector
+    width; each task scores its corpus rows with bounded matrix products and keeps one
     running top-k per query, so k rows per query and task cross the shuffle; a
-    WindowGroupLimit-planned ranking keeps the global top-k. Ties go to the smaller corpus id. Scores are rounded to 6 places.
+    WindowGroupLimit-planned ranking keeps the global top-k. Ties go to the smaller corpus
+    id. Scores are rounded to 6 places. No queries give no rows.
     """
     import numpy as np
 
     if metric not in ("ip", "l2"):
         raise ValueError("metric must be 'ip' or 'l2'")
     spark = corpus.sparkSession
-    q = queries.select(F.col(query_id).alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
-    q = assign_consecutive_ids(q, out="_qrow")
-    n_q = q.count()
+    q = queries.select(F.col(query_id).cast("long").alias("_qid"), F.col(query_vec).cast("array<double>").alias("_qv"))
     schema = f"{query_id} long, {corpus_id} long, score double"
     c = corpus.select(F.col(corpus_id).cast("long").alias(corpus_id),
                       F.col(corpus_vec).cast("array<double>").alias(corpus_vec))
-    parts = []
-    for lo in range(0, max(n_q, 1), block_rows):
-        block = q.filter((F.col("_qrow") >= lo) & (F.col("_qrow") < lo + block_rows)).toPandas()
-        if block.empty:
+    cand = None
+    for block in _blocks(q, "_qid", F.size("_qv") * 8 + 8, block_bytes):
+        rows = block.collect()
+        if not rows:
             continue
-        ids = block["_qid"].to_numpy().astype(np.int64)
-        bc = spark.sparkContext.broadcast((ids, np.stack(block["_qv"].to_numpy()).astype(np.float64)))
+        bc = spark.sparkContext.broadcast((np.array([r._qid for r in rows], np.int64), np.array([r._qv for r in rows], np.float64)))
 
         def fn(batches, bc=bc):
             i, m = bc.value
             yield from _dense_scores(batches, i, m, k, metric, corpus_id, corpus_vec, query_id, score_cells)
 
-        parts.append(c.mapInPandas(fn, schema))
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        part = c.mapInPandas(fn, schema)
+        cand = part if cand is None else cand.unionByName(part)
+    if cand is None:
+        cand = spark.createDataFrame([], schema)
     return top_k(cand, query_id, "score", corpus_id, k, descending=(metric == "ip")).select(
         query_id, "rank", corpus_id, "score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieval import assign_consecutive_ids
+from tessera.operators.ordering import global_rank
 
 # Fixed values that must equal the reference behaviour.
 EVAL_SPLIT = 0.01     # share of shuffled files that go to evaluation
@@ -29,9 +29,9 @@ def label_ids(files: DataFrame, label: str = "label") -> DataFrame:
     return global_rank(d, [label], out="label_id")
 
 
-def label_join(files: DataFrame, labels: DataFrame, label: str = "label", max_labels: int = 1_000_000) -> DataFrame:
+def label_join(files: DataFrame, labels: DataFrame, label: str = "label") -> DataFrame:
     from tessera.plans.hints import bounded_broadcast
-    return files.join(bounded_broadcast(labels, max_labels), label)
+    return files.join(bounded_broadcast(labels), label)
 
 
 def pairs_unidirectional(files: DataFrame, input_ext: str, target_ext: str) -> DataFrame:
@@ -55,18 +55,6 @@ def seeded_key(id_col: str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def global_rank(df: DataFrame, order: list[str], out: str = "rank") -> DataFrame:
-    """0-based position in ``order`` (keys must be unique), distributed.
-
-    Range partitioning and a sort inside each partition give the global order;
-    per-partition counts turn local positions into global ones. No single-task
-    window over all rows.
-    """
-    n = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
-    return assign_consecutive_ids(ordered, out=out)
-
-
 def seeded_shuffle(df: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     return global_rank(df.withColumn("_key", seeded_key(id_col, seed)), ["_key", id_col], out="shuffle_rank").drop("_key")
 
@@ -88,6 +76,51 @@ def minibatch(ranked: DataFrame, rank: str, size: int = BATCH_SIZE) -> DataFrame
     return ranked.withColumn("batch_no", F.floor(F.col(rank) / size).cast("long"))
 
 
+def window_bounds(files: DataFrame, id_col: str, n_patches: str = "n_patches", max_patches: int = 1024, seed: int = SEED) -> DataFrame:
+    """Training window of each file: the whole, or by a seeded draw its head, body or tail of
+    ``max_patches`` patches (choice, start_patch, kept_patches)."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:trunc:"), F.col(id_col).cast("string")))
+    u32 = lambda k: F.conv(F.substring(draw, 1 + 8 * k, 8), 16, 10).cast("long")
+    n, c = F.col(n_patches), u32(0) % 3
+    x = files.withColumn("choice", F.when(n <= max_patches, "whole").when(c == 0, "head")
+                         .when((c == 1) & (n > max_patches + 1), "body").otherwise("tail"))
+    start = (F.when(F.col("choice").isin("whole", "head"), 0)
+             .when(F.col("choice") == "body", 1 + u32(1) % (n - max_patches)).otherwise(n - max_patches))
+    return x.withColumn("start_patch", start.cast("int")).withColumn("kept_patches", F.least(n, F.lit(max_patches)).cast("int"))
+
+
+def truncate_windows(patches: DataFrame, id_col: str, max_patches: int = 1024, seed: int = SEED) -> DataFrame:
+    """The patches of each file that lie in its training window."""
+    sizes = patches.groupBy(id_col).agg((F.max("patch_no") + 1).alias("n_patches"))
+    w = window_bounds(sizes, id_col, "n_patches", max_patches, seed).select(id_col, "start_patch", "kept_patches")
+    at = F.col("patch_no") - F.col("start_patch")
+    return patches.join(w, id_col).filter((at >= 0) & (at < F.col("kept_patches"))).drop("start_patch", "kept_patches")
+
+
+def pad_batches(ranked: DataFrame, rank: str, symbols: str, batch: int = BATCH_SIZE, patch: int = 16, pad: int = 256) -> DataFrame:
+    """Minibatches padded to their longest sequence: batch_no, padded (array<int>) and mask (one
+    flag a patch: 1 data, 0 padding)."""
+    b = minibatch(ranked, rank, batch)
+    longest = b.groupBy("batch_no").agg(F.max(F.size(symbols)).alias("_longest"))
+    x = b.join(longest, "batch_no")
+    gap = F.col("_longest") - F.size(symbols)
+    return (x.withColumn("padded", F.concat(symbols, F.array_repeat(F.lit(pad), gap)))
+            .withColumn("mask", F.concat(F.array_repeat(F.lit(1), (F.size(symbols) / patch).cast("int")),
+                                         F.array_repeat(F.lit(0), (gap / patch).cast("int")))).drop("_longest"))
+
+
+def left_shift_mask(mask: str) -> Column:
+    """1 where a patch predicts a data patch after it: the mask, shifted left by one, and itself."""
+    m = F.col(mask)
+    after = F.concat(F.slice(m, 2, F.greatest(F.size(m) - 1, F.lit(0))), F.array(F.lit(0)))
+    return F.zip_with(m, after, lambda x, y: x * y)
+
+
+def target_mask(mask: str) -> Column:
+    """1 where a data patch is predicted: all but the first."""
+    return F.transform(mask, lambda x, i: F.when(i > 0, x).otherwise(0))
+
+
 def file_patch_arrays(patches: DataFrame, id_col: str) -> DataFrame:
     """(id, patches array<array<int>>): a file's patches in order (one row per file)."""
     ordered = F.array_sort(F.collect_list(F.struct("patch_no", "patch")))

@@ -1,8 +1,9 @@
-"""Join-side decisions made from measured sizes.
+"""Join-side decisions made from sizes the planner already knows.
 
-``broadcast()`` is only applied to a side whose row count has been checked
-against a bound; beyond the bound the plain DataFrame is returned and Spark
-plans a shuffle join, with AQE splitting skewed partitions at run time.
+``broadcast()`` is only applied to a side whose size estimate (bytes of its stored
+files, as pruned by the plan) is within a bound; otherwise the plain DataFrame is
+returned and Spark plans the join itself, with AQE splitting skewed partitions. No
+job runs for the decision, and both plans give the same rows.
 """
 
 from __future__ import annotations
@@ -10,18 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on rows of a side we are willing to ship to every executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
+# Upper bound on the estimated bytes of a side we are willing to ship to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if it has at most ``max_rows`` rows, else leave it to the planner.
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; very large where it has none (an RDD source)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The count runs on a limited plan, so it reads at most ``max_rows + 1`` rows.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
-
-def is_bounded(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if its estimate is at most ``max_bytes``, else leave it to the planner."""
+    return F.broadcast(df) if estimated_bytes(df) <= max_bytes else df

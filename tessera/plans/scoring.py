@@ -18,8 +18,9 @@ def doc_compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     bits = lm.document_bits(docs, lm.train_bigram(docs))
-    return docs.select("doc_id", "lang", "source", "text").join(bits, "doc_id").select(
-        "doc_id", "lang", "source", F.length("text").alias("n_chars"),
-        F.octet_length("text").cast("long").alias("original_bytes"),
-        F.round("bits", 4).alias("bits"),
+    # lengths are taken before the join: no text crosses a shuffle
+    sizes = docs.select("doc_id", "lang", "source", F.length("text").alias("n_chars"),
+                        F.octet_length("text").cast("long").alias("original_bytes"))
+    return sizes.join(bits, "doc_id").select(
+        "doc_id", "lang", "source", "n_chars", "original_bytes", F.round("bits", 4).alias("bits"),
         F.ceil(F.round("bits", 4) / 8).cast("long").alias("compressed_bytes"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,42 +87,51 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and materialised intermediate tables.
+    """Shared folder for checkpoints and stored intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared storage). Only when
-    that is unset, as in local tests, a fresh scratch folder is created.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared storage), else from a folder
+    set with ``setCheckpointDir``. Only a local session may have neither: it gets a fresh
+    scratch folder. A cluster without a shared folder is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
-# Text-heavy stand-in tables and their ids: tokenising and byte work happens right
-# after the scan, so these are spread over all cores when the scan is too coarse.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, fully qualified (scheme included)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex[:12]}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once for all its
+    consumers, safe from lost executors, and of known size for the planner."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Text-heavy stand-in tables: tokenising and byte work happens right
+# after the scan, so a scan with fewer splits than cores is spread over the cores first.
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the stand-in tables; Catalyst prunes columns and pushes filters."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    key = TEXT_TABLES.get(name)
-    return spread(df, key) if key else df
-
+    return spread(df) if name in TEXT_TABLES else df
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a coarse scan at least one partition per core.
 
-    A small file with few row groups scans as few partitions and would leave
-    cores idle in the tokenising stage; it is range-partitioned by ``key`` and
-    sorted inside each partition, which keeps rows in key order and is
-    deterministic on recomputation. A large input (enough scan splits) is
-    returned untouched: no shuffle is added at scale.
-    """
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a coarse scan out to the cores. Parallelism only: no result depends on the
+    partitions or the row order of a scan (ids and ranks follow keys)."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:
-        return df
-    return df.repartitionByRange(n, key).sortWithinPartitions(key)
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

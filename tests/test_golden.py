@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bytes as B
 from tessera.functions import text as T
-from tessera.operators import lm, media as MD, metrics as M, patches as P, retrieval as R, trainset as TS
+from tessera.operators import lm, media as MD, metrics as M, ordering as O, patches as P, retrieval as R, trainset as TS
 
 
 def one(spark, expr, **cols):
@@ -35,6 +35,7 @@ def test_compose_preview_guard(spark):
     assert one(spark, T.preview(F.lit("a" * 200))) == "a" * 200
     assert one(spark, T.preview(F.lit("a" * 201))) == "a" * 200 + "..."
     assert one(spark, T.guard_status(F.lit("  "))) == "empty"
+    assert one(spark, T.guard_status(F.lit("\n\t\u00a0\x1c"))) == "empty"
     assert one(spark, T.guard_status(F.lit("x" * 50000))) == "ok"
     assert one(spark, T.guard_status(F.lit("x" * 50001))) == "too_long"
 
@@ -86,13 +87,9 @@ def test_strip_padding(spark):
 
 
 def test_left_shift_mask(spark):
-    df = spark.createDataFrame([(1, i, m) for i, m in enumerate([1, 1, 1, 0])], "id long, i int, mask int")
-    from pyspark.sql import Window
-    w = Window.partitionBy("id").orderBy("i")
-    out = df.select("i", ((F.col("mask") == 1) & (F.lead("mask", 1, 0).over(w) == 1)).cast("int").alias("pred"),
-                    ((F.col("mask") == 1) & (F.col("i") > 0)).cast("int").alias("tgt")).orderBy("i").collect()
-    assert [r.pred for r in out] == [1, 1, 0, 0]
-    assert [r.tgt for r in out] == [0, 1, 1, 0]
+    df = spark.createDataFrame([([1, 1, 1, 0],)], "mask array<int>")
+    out = df.select(TS.left_shift_mask("mask").alias("p"), TS.target_mask("mask").alias("t")).first()
+    assert (out.p, out.t) == ([1, 1, 0, 0], [0, 1, 1, 0])
 
 
 def test_normalize_pdf(spark):
@@ -198,19 +195,38 @@ def test_verify_roundtrip_reports_first_difference(spark):
 
 
 @pytest.mark.parametrize("how,inclusive", [("sum", True), ("max", False), ("min", False)])
-def test_running_agg_ranges_equal_one_window(spark, how, inclusive):
-    # a third of the rows crowd into a narrow stretch of keys; small ranges force the split path
+def test_running_agg_equals_one_window(spark, how, inclusive):
+    # string keys, a third of the rows on one key: the tie column splits it
     rng = np.random.default_rng(7)
-    keys = np.concatenate([np.arange(1000, 1300), rng.choice(np.arange(2000, 100000), 600, replace=False)])
+    keys = ["hot"] * 300 + [f"k{i:04d}" for i in rng.choice(5000, 600, replace=False)]
     vals = rng.integers(-50, 50, len(keys))
-    df = spark.createDataFrame([(int(k), int(v) if i % 17 else None) for i, (k, v) in enumerate(zip(keys, vals))],
-                               "k long, v long")
-    got = M.running_agg(df, "k", ["v"], how, inclusive, rows_per_range=64).select("k", "cum_v")
-    frame = W.orderBy("k").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    df = spark.createDataFrame([(k, i, int(v) if i % 17 else None) for i, (k, v) in enumerate(zip(keys, vals))],
+                               "k string, i long, v long").repartition(5)
+    got = O.running_agg(df, ["k", "i"], ["v"], how, inclusive).select("i", "cum_v")
+    frame = W.orderBy("k", "i").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
     fn = {"sum": F.sum, "max": F.max, "min": F.min}[how]
-    want = df.select("k", fn("v").over(frame).alias("cum_v"))
+    want = df.select("i", fn("v").over(frame).alias("cum_v"))
     assert sorted(got.collect()) == sorted(want.collect())
-    assert M.order_ranges(df, "k", rows_per_range=64).select("_range").distinct().count() > 10
+    assert O.in_order(df, ["k", "i"]).filter("k = 'hot'").select(O.PART).distinct().count() > 1
+
+
+def test_ranks_stay_unique_with_all_columns(spark, tmp_path):
+    orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    s = TS.seeded_shuffle(orders, "o_orderkey")
+    s.write.parquet(str(tmp_path / "s"))
+    s = spark.read.parquet(str(tmp_path / "s"))
+    n = orders.count()
+    r = s.agg(F.count_distinct("shuffle_rank"), F.min("shuffle_rank"), F.max("shuffle_rank"), F.count("*")).first()
+    assert tuple(r) == (n, 0, n - 1, n) and set(s.columns) == {*orders.columns, "shuffle_rank"}
+
+
+def test_chunk_ids_do_not_depend_on_the_scan(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    bounds = [0, 3, 50, 51, 120, 190, 10**9]
+    for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "six"))
+    six = spark.read.parquet(str(tmp_path / "six"))
+    assert sorted(R.build_chunks(docs).collect()) == sorted(R.build_chunks(six).collect())
 
 
 @pytest.mark.parametrize("metric", ["ip", "l2"])
@@ -223,7 +239,7 @@ def test_knn_dense_slices_and_blocks_equal_brute_force(spark, metric):
                                    "vec_id long, embedding array<double>").repartition(4)
     queries = spark.createDataFrame([(int(i) + 100, v.tolist()) for i, v in enumerate(qvec)],
                                     "qid long, embedding array<double>")
-    got = R.knn_dense(queries, corpus, k=5, metric=metric, block_rows=3, score_cells=10).collect()
+    got = R.knn_dense(queries, corpus, k=5, metric=metric, block_bytes=120, score_cells=10).collect()
     got = sorted((r.qid, r.rank, r.vec_id, round(r.score, 6)) for r in got)
     want = []
     for qi, q in enumerate(qvec):
@@ -234,24 +250,83 @@ def test_knn_dense_slices_and_blocks_equal_brute_force(spark, metric):
     assert got == sorted(want)
 
 
-def test_sparse_knn_and_lookup_without_broadcast_equal_broadcast(spark):
-    # beyond the broadcast bound the same results come from shuffle joins
+def test_sparse_knn_blocks_and_no_matches(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
-    chunks = R.build_chunks(docs).checkpoint()
-    a = R.knn_sparse(bench, chunks, k=3)
-    b = R.knn_sparse(bench, chunks, k=3, max_broadcast_rows=0)
+    bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text")
+    asked = bench.union(spark.createDataFrame([(900, "zzzzzz"), (901, ""), (902, None)], "item_id long, text string"))
+    chunks = R.build_chunks(docs)
+    a = R.knn_sparse(asked, chunks, k=3)
+    b = R.knn_sparse(asked, chunks, k=3, block_bytes=3000)
     assert sorted(a.collect()) == sorted(b.collect())
-    ta = R.lookup_text(a, chunks).select("item_id", "rank", "chunk_text")
-    tb = R.lookup_text(b, chunks, max_broadcast_rows=0).select("item_id", "rank", "chunk_text")
-    assert sorted(ta.collect()) == sorted(tb.collect())
+    assert a.filter("item_id >= 900").count() == 0
+    assert R.knn_sparse(asked.limit(0), chunks).collect() == []
+    e = spark.createDataFrame([], "qid long, embedding array<double>")
+    assert R.knn_dense(e, spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")).collect() == []
 
 
 def test_document_bits_without_broadcast_equal_broadcast(spark, monkeypatch):
+    from tessera.plans import hints
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = lm.train_bigram(docs)
     a = sorted(lm.document_bits(docs, model).collect())
-    monkeypatch.setattr(lm, "MAX_MODEL_BROADCAST_ROWS", 0)
+    monkeypatch.setattr(hints, "estimated_bytes", lambda df: 1 << 60)
     b = sorted(lm.document_bits(docs, model).collect())
     assert [(r.doc_id, r.n_coded) for r in a] == [(r.doc_id, r.n_coded) for r in b]
     assert all(abs(x.bits - y.bits) < 1e-6 * max(1.0, x.bits) for x, y in zip(a, b))
+
+
+def test_unseen_symbols_and_short_documents_are_scored(spark):
+    train = spark.createDataFrame([(1, "abababab")], "doc_id long, text string")
+    model = lm.train_bigram(train)                       # a->b 4, b->a 3, two successors
+    docs = spark.createDataFrame([(1, "abzzab"), (2, "zzzz"), (3, "a"), (4, ""), (5, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_coded, r.bits) for r in lm.document_bits(docs, model).collect()}
+    ab, b_new, z_new = -np.log2(5 / 6), np.log2(3 + 2), np.log2(2)
+    assert got[1] == (5, pytest.approx(2 * ab + b_new + 2 * z_new))
+    assert got[2] == (3, pytest.approx(3 * z_new))
+    assert got[3] == got[4] == got[5] == (0, 0.0)
+    t = {r.doc_id: (r.n_coded, r.n_in_topk) for r in lm.topk_membership(docs, model).collect()}
+    assert t[1] == (5, 2) and t[2] == (3, 0) and t[5] == (0, 0)
+
+
+def test_empty_payloads_come_back(spark):
+    files = spark.createDataFrame([(1, b"", "wav"), (2, b"\x00ab", "wav")], "id long, content binary, ext string")
+    back = {r.id: bytes(r.data) for r in P.merge_patches(P.to_patches(files, "id", "content", ext="ext"), "id").collect()}
+    assert back == {1: b"", 2: b"\x00ab"}
+    a = files.select("id", MD.wav_blob("content").alias("wav"))
+    merged = {r.id: bytes(r.wav) for r in MD.merge_audio(MD.split_audio(a, "id", "wav"), "id").collect()}
+    assert merged == {r.id: bytes(r.wav) for r in a.collect()}
+    flat = spark.createDataFrame([(1, 70, 0, b""), (2, 0, 5, b"")], "id long, width int, height int, pixels binary")
+    assert MD.split_tiles(flat, "id", "width", "height", "pixels").collect() == []
+
+
+def test_wav_chunks_before_data(spark):
+    pcm = bytes(range(200)) * 100
+    plain = spark.createDataFrame([(1, pcm)], "id long, pcm binary").select(MD.wav_blob("pcm")).first()[0]
+    plain = bytes(plain)
+    listed = plain[:12] + b"LIST" + (5).to_bytes(4, "little") + b"INFOx\0" + plain[12:36] + b"fact" + (4).to_bytes(4, "little") + b"\0" * 4 + plain[36:]
+    a = spark.createDataFrame([(1, plain), (2, listed), (3, b"RIFFxxxxWAVE"), (4, b"no")], "id long, wav binary")
+    info = {r.id: (r.nchannels, r.sampwidth, r.framerate, r.nframes) for r in MD.wav_info(a, "id", "wav").collect()}
+    assert info[1] == info[2] == (1, 1, 8000, 20000) and info[3][0] is None and info[4][0] is None
+    merged = {r.id: bytes(r.wav) for r in MD.merge_audio(MD.split_audio(a, "id", "wav"), "id").collect()}
+    assert merged == {1: plain, 2: plain}
+    seg = {r.id: (r.status, r.frames and bytes(r.frames)) for r in MD.audio_segment(a, "id", "wav", 0.5, 1.0).collect()}
+    assert seg[1] == seg[2] == ("ok", pcm[4000:12000]) and seg[3][0] == seg[4][0] == "not_wav"
+
+
+def test_long_documents_are_split_into_blocks(spark, tmp_path):
+    from tessera.operators import codec as C
+    from tessera.sources import tables as TB
+    docs = spark.createDataFrame([(1, b"x" * 70000), (2, b"")], "doc_id long, data binary")
+    b = C.to_blocks(docs, "doc_id", "data", B.MAX_BLOCK_LENGTH).withColumnRenamed("data", "payload")
+    TB.write_blocks(b.withColumn("pad", F.lit(0)).withColumn("length", F.octet_length("payload")), str(tmp_path / "b"))
+    r = sorted((x.doc_id, x.block_no, x.n_symbols) for x in TB.read_blocks(spark, str(tmp_path / "b")).collect())
+    assert r == [(1, 0, 65535), (1, 1, 4465), (2, 0, 0)]
+
+
+def test_training_arrays(spark):
+    rows = spark.createDataFrame([(0, list(range(16))), (1, list(range(48))), (2, [7] * 16)], "r long, s array<int>")
+    got = sorted(TS.pad_batches(rows, "r", "s", 2).select(
+        "r", "padded", "mask", TS.left_shift_mask("mask").alias("p"), TS.target_mask("mask").alias("t")).collect())
+    assert got[0].padded == list(range(16)) + [256] * 32 and got[0].mask == [1, 0, 0] and got[0].p == [0, 0, 0]
+    assert got[1].mask == [1, 1, 1] and got[1].p == [1, 1, 0] and got[1].t == [0, 1, 1]
+    assert got[2].padded == [7] * 16 and got[2].mask == [1]
