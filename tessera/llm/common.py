@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tessera.session import apply_defaults, checkpoint_dir
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; long texts make a batch heavy.
-BATCH_ROWS = "1000"
-BATCH_BYTES = "33554432"
+BATCH_ROWS = "8000"
+BATCH_BYTES = "16777216"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -88,11 +88,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         for b in batches:
             which, cols = [], ([], [], [], [], [])
-            for i, text in enumerate(b.column("text").to_pylist()):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode(b.column("text").to_pylist())):
+                ids += end
                 for at in range(0, len(ids), 4 * window):
                     part = ids[at:at + 4 * window]
                     which.append(i)

@@ -1,53 +1,140 @@
 """Token ids of whole texts by a public byte-level BPE tokenizer, for tasks.
 
 The tokenizer splits a text into pre-tokens that never run from a visible character into white
-space, so a text may be cut before any white space that follows a surely visible character and
-its parts encoded one by one. Most parts (a space and a word) come again and again: their ids,
-as bytes, are kept, and a text is the concatenation of its parts' bytes.
+space, nor from a letter into punctuation. So a text may be cut before white space that follows
+a visible character, and a word from the punctuation behind it, and the parts encoded one by
+one by the library. Parts come again and again: the ids of each are kept, and the ids of a
+batch of texts are gathered from them with numpy.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_PARTS = 400_000       # the cache starts anew beyond this many parts
-KEPT_LENGTH = 64           # longer parts are encoded without being kept
+KEPT_PARTS = 600_000       # parts kept as new, and as many again that were new before
 
 #: White space and invisible characters on which Unicode tables differ: texts that hold them
 #: are cut only between plainly visible characters and single blanks.
-_ODD = re.compile("[\x00-\x08\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
-_PARTS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
+_ODD_CLASS = r"\x00-\x08\x0b-\x1f\x7f-\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}"
+_ODD = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), _ODD_CLASS) + "]")
+#: Not plain: such a character, or white space before a blank or a line end.
+_NOT_PLAIN = rf"[ \n\t][ \n]|[{_ODD_CLASS}]"
 _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?=[ \n])")
+_PARTS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_TAIL = ".,;:!?"
+_TOGETHER = 1 << 12        # parts encoded in one call
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers. Strings of special
-    tokens inside a text are ordinary text; no special tokens are added."""
+    """Ids as little-endian unsigned 32-bit integers. Strings of special tokens inside a text are
+    ordinary text; no special tokens are added."""
 
     def __init__(self, path: str):
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-
-        def ids(part: str) -> bytes:
-            found = tokenizer.encode(part, add_special_tokens=False).ids
-            return b"".join(i.to_bytes(4, "little") for i in found)
-
-        class Parts(dict):
-            def __missing__(self, part):
-                out = ids(part)
-                if len(part) <= KEPT_LENGTH:
-                    if len(self) >= KEPT_PARTS:
-                        self.clear()
-                    self[part] = out
-                return out
-
-        self._get = Parts().__getitem__
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True
+        self._line_end, = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part; those not kept are encoded, each once, a word apart from its punctuation."""
+        if len(self._new) > KEPT_PARTS:
+            self._old, self._new = self._new, {}
+        new, old = self._new, self._old
+        out = list(map(new.get, parts))
+        missing = [i for i, x in enumerate(out) if x is None]
+        split = {}
+        for i in missing:
+            p = parts[i]
+            if p in old:
+                new[p] = old[p]
+                continue
+            word = p.rstrip(_TAIL)
+            split[p] = (word, p[len(word):]) if len(word) < len(p) and word and _WORD.match(word[-1]) else (p, "")
+        self._encode(list(dict.fromkeys(x for pair in split.values() for x in pair if x and x not in new)))
+        for p, (word, tail) in split.items():
+            if tail:
+                new[p] = new[word] + new[tail]
+            elif not p:
+                new[p] = b""
+        for i in missing:
+            out[i] = new[parts[i]]
+        return out
+
+    def _encode(self, parts: list[str]) -> None:
+        """Encode parts by the library, many at once: a line end between two parts is a token of its
+        own, and its id occurs in no part without a line end."""
+        alone = [p for p in parts if "\n" in p or p[-1] in " \t" or _ODD.search(p)]
+        aside = set(alone)
+        rest = [p for p in parts if p not in aside]
+        for at in range(0, len(rest), _TOGETHER):
+            some = rest[at:at + _TOGETHER]
+            ids = np.array(self._tokenizer.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self._line_end)
+            if len(cuts) != len(some) - 1:
+                raise RuntimeError("a part ran into its neighbour")
+            lo = [0, *(cuts + 1).tolist()]
+            raw = ids.tobytes()
+            self._new.update(zip(some, (raw[4 * a:4 * b] for a, b in zip(lo, [*cuts.tolist(), len(ids)]))))
+        for p in alone:
+            self._new[p] = np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        at = 0
+        while at < len(texts):                       # bounded characters at a time
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 24):
+                size += len(texts[upto])
+                upto += 1
+            column = pa.array(texts[at:upto], pa.large_string())
+            odd = pc.match_substring_regex(column, _NOT_PLAIN).to_numpy(zero_copy_only=False)
+            plain = np.flatnonzero(~odd)
+            for i, x in zip((plain + at).tolist(), self._gather(column.take(pa.array(plain)), [texts[i] for i in (plain + at).tolist()])):
+                out[i] = x
+            for i in (np.flatnonzero(odd) + at).tolist():
+                parts = _SAFE_CUT.split(texts[i]) if _ODD.search(texts[i]) else _PARTS.findall(texts[i])
+                out[i] = b"".join(self._ids(parts))
+            at = upto
+        return out
+
+    def _gather(self, column: pa.Array, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        # One blank before each line end makes every piece but the first of a text follow a blank:
+        # its own (the part is the blank and the piece) or, before a line end, the one added here.
+        pieces = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        coded = pieces.values.dictionary_encode()
+        n = len(coded.dictionary)
+        whole = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, n], pa.int64()), coded.dictionary), pa.scalar("\x00", pa.large_string()))[0].as_py()
+        parts = [p if p[:1] == "\n" else " " + p for p in whole.split("\x00")]
+        which = coded.indices.to_numpy().astype(np.int64)
+        cuts = pieces.offsets.to_numpy()
+        heads = [t.split(" ", 1)[0].split("\n", 1)[0] for t in texts]      # without a blank in front
+        names = list(dict.fromkeys(heads))
+        number = {h: len(parts) + k for k, h in enumerate(names)}
+        which[cuts[:-1]] = [number[h] for h in heads]
+        ids = self._ids(parts + names)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        first = np.cumsum(size) - size
+        n = size[which]
+        end = np.cumsum(n)
+        tokens = flat[np.repeat(first[which] - (end - n), n) + np.arange(int(end[-1]))]
+        stop = np.concatenate([[0], end])[cuts]
+        return [tokens[a:b].tobytes() for a, b in zip(stop[:-1].tolist(), stop[1:].tolist())]
 
     def encode(self, text: str) -> bytes:
-        parts = _SAFE_CUT.split(text) if _ODD.search(text) else _PARTS.findall(text)
-        return b"".join(map(self._get, parts))
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
