@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.operators import codec as C
+from tessera.operators import retrieval as R
 from tessera.plans import compression as J
+from tessera.session import scratch_path, table
+from tessera.sources import tables as TB
 
 
 @register("compress_corpus")
@@ -17,12 +20,38 @@ def q_compress_corpus(spark, sf):
 
 @register("decompress_corpus", "SELECT doc_id, text FROM documents")
 def q_decompress_corpus(spark, sf):
+    """Blocks and model are stored; another session loads both and decodes."""
     data = J.corpus_bytes(spark, sf)
     blocks, model = J.compress_corpus(data)
-    out = J.decompress_corpus(blocks, model)
+    folder = scratch_path(spark, "coded")
+    TB.save_byte_model(spark, model, f"{folder}/models")
+    blocks.write.parquet(f"{folder}/blocks")
+    other = spark.newSession()
+    stored_blocks = other.read.parquet(f"{folder}/blocks")
+    out = J.decompress_corpus(stored_blocks, TB.load_byte_model(other, f"{folder}/models", model.model_id))
     return out.select("doc_id", F.decode("data", "UTF-8").alias("text"))
 
 
+@register("rag_compress_roundtrip", "SELECT item_id, text FROM benchmark")
+def q_rag_compress_roundtrip(spark, sf):
+    """Benchmark items coded under a model steered by their retrieved chunks; only chunk ids are in the
+    block. Another session loads index, model and blocks, looks the context up and decodes."""
+    folder = scratch_path(spark, "rag-coded")
+    chunks = R.build_chunks(table(spark, sf, "documents"))
+    TB.save_index(chunks, f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+    items = table(spark, sf, "benchmark")
+    hits = R.knn_sparse(items, index, k=R.RAG_TOP_K)
+    model = J.fit_model(J.corpus_bytes(spark, sf))
+    TB.save_byte_model(spark, model, f"{folder}/models")
+    rows = J.with_context(items.select("item_id", F.encode("text", "UTF-8").alias("data")), hits, index, "item_id")
+    C.compress_with_context(rows, model, "item_id").write.parquet(f"{folder}/blocks")
+    other = spark.newSession()
+    blocks = J.context_of_blocks(other.read.parquet(f"{folder}/blocks"), other.read.parquet(f"{folder}/index"), "item_id")
+    back = C.decompress_with_context(blocks, TB.load_byte_model(other, f"{folder}/models", model.model_id), "item_id")
+    return back.select("item_id", F.decode("data", "UTF-8").alias("text"))
+
+
 @register("codec_ratio")
 def q_codec_ratio(spark, sf):
     data = J.corpus_bytes(spark, sf)

@@ -93,12 +93,51 @@ class ByteModel:
             raise ValueError("model frequencies must be >= 1 and sum to 2**16 per context")
         return cls(freq, cum)
 
+    def to_rows(self) -> pd.DataFrame:
+        """(model_id, ctx, sym, freq, cum): 65,536 rows."""
+        ctx, sym = np.divmod(np.arange(65536), 256)
+        return pd.DataFrame({"model_id": self.model_id, "ctx": ctx.astype(np.int32), "sym": sym.astype(np.int32),
+                             "freq": self.freq[ctx, sym].astype(np.int64), "cum": self.cum[ctx, sym].astype(np.int64)})
+
     def slot_table(self) -> np.ndarray:
         if self._slots is None:
             f = self.freq.astype(np.int64)
             self._slots = np.stack([np.repeat(np.arange(256, dtype=np.uint8), f[c]) for c in range(256)])
         return self._slots
 
+    def intervals(self, lanes, c, s):
+        """Frequency and lower end of symbol s after byte c."""
+        return self.freq[c, s], self.cum[c, s]
+
+    def symbols(self, lanes, c, slot):
+        return self.slot_table()[c, slot]
+
+
+class LaneModels:
+    """One byte model for each lane: the corpus model mixed with the byte pairs of the lane's context.
+
+    P = lam * P_context + (1 - lam) * P_corpus, P_context(b|a) = (c(a,b) + 1) / (c(a) + 256), as integer
+    frequencies that sum to 2**16: built from the same bytes, encoder and decoder have the same table.
+    """
+
+    def __init__(self, base: ByteModel, contexts: list, lam: float):
+        self.freq = np.empty((len(contexts), 256, 256), np.uint64)
+        corpus = base.freq.astype(np.float64) / M
+        for i, text in enumerate(contexts):
+            a = np.frombuffer(text, np.uint8).astype(np.int64)
+            n = np.bincount(a[:-1] * 256 + a[1:], minlength=65536).reshape(256, 256)
+            p = lam * (n + 1) / (n.sum(axis=1, keepdims=True) + 256) + (1 - lam) * corpus
+            f = 1 + np.floor((M - 256) * p).astype(np.int64)
+            f[np.arange(256), f.argmax(axis=1)] += M - f.sum(axis=1)
+            self.freq[i] = f
+        self.cum = np.cumsum(self.freq, axis=2) - self.freq
+
+    def intervals(self, lanes, c, s):
+        return self.freq[lanes, c, s], self.cum[lanes, c, s]
+
+    def symbols(self, lanes, c, slot):
+        return ((self.cum[lanes, c] <= slot[:, None]).sum(axis=1) - 1).astype(np.uint8)
+
 
 # ---------------------------------------------------------------- rANS lanes
 
@@ -126,7 +165,7 @@ def encode_lanes(seqs: list, model: ByteModel) -> list:
                 active += 1
             k = active
             s, c = S[:k, t], P[:k, t]
-            f = model.freq[c, s]
+            f, low = model.intervals(idx[:k], c, s)
             xmax = np.uint64((RANS_L >> SCALE_BITS) << 8) * f
             xs = x[:k]
             for _ in range(2):
@@ -136,7 +175,7 @@ def encode_lanes(seqs: list, model: ByteModel) -> list:
                 ptr[m] -= 1
                 buf[m, ptr[m]] = (xs[m] & np.uint64(0xFF)).astype(np.uint8)
                 xs[m] >>= np.uint64(8)
-            x[:k] = ((xs // f) << np.uint64(SCALE_BITS)) + (xs % f) + model.cum[c, s]
+            x[:k] = ((xs // f) << np.uint64(SCALE_BITS)) + (xs % f) + low
         for _ in range(4):
             ptr -= 1
             buf[np.arange(n), ptr] = (x & np.uint64(0xFF)).astype(np.uint8)
@@ -148,7 +187,6 @@ def encode_lanes(seqs: list, model: ByteModel) -> list:
 
 def decode_lanes(payloads: list, lengths: list, model: ByteModel) -> list:
     """Decode payloads of known symbol counts in parallel lanes."""
-    slots = model.slot_table()
     result = [b""] * len(payloads)
     order = np.argsort([-n for n in lengths], kind="stable")
     for g in range(0, len(order), LANE_GROUP):
@@ -174,8 +212,9 @@ def decode_lanes(payloads: list, lengths: list, model: ByteModel) -> list:
             xs = x[:k]
             c = prev[:k]
             slot = xs & np.uint64(M - 1)
-            s = slots[c, slot]
-            xs = model.freq[c, s] * (xs >> np.uint64(SCALE_BITS)) + slot - model.cum[c, s]
+            s = model.symbols(idx[:k], c, slot)
+            f, low = model.intervals(idx[:k], c, s)
+            xs = f * (xs >> np.uint64(SCALE_BITS)) + slot - low
             for _ in range(2):
                 m = np.nonzero(xs < np.uint64(RANS_L))[0]
                 if m.size == 0:
@@ -244,6 +283,51 @@ def merge_blocks(blocks: DataFrame, id_col: str, col: str = "data") -> DataFrame
     return blocks.groupBy(id_col).agg(F.expr(f"listagg({col}) WITHIN GROUP (ORDER BY block_no)").alias(col))
 
 
+# ---------------------------------------------------------------- conditioned on retrieved context
+
+CONTEXT_LANES = 32            # rows coded together: each has a table of its own (1 MB in use)
+
+
+def _conditioned(rows: DataFrame, model: ByteModel, lam: float, schema: str, work) -> DataFrame:
+    """``work(models, part)`` over slices of at most CONTEXT_LANES rows that have a ``context`` column."""
+    bc = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), CONTEXT_LANES):
+                part = pdf.iloc[at:at + CONTEXT_LANES]
+                contexts = [b"" if c is None else str(c).encode() for c in part["context"]]
+                yield work(LaneModels(bc.value, contexts, lam), part)
+
+    return rows.mapInPandas(run, schema)
+
+
+def compress_with_context(rows: DataFrame, model: ByteModel, id_col: str, lam: float = 0.25) -> DataFrame:
+    """Blocks (id, context_ids, model_id, lam, n_symbols, payload) of rows (id, data, context_ids, context).
+    The context steers the model and is not coded itself: a decoder looks it up by its ids."""
+    mid = model.model_id
+
+    def work(models, part):
+        data = [bytes(d) for d in part["data"]]
+        return pd.DataFrame({id_col: part[id_col], "context_ids": part["context_ids"], "model_id": mid, "lam": lam,
+                             "n_symbols": [len(d) for d in data], "payload": encode_lanes(data, models)})
+
+    return _conditioned(rows.select(id_col, "data", "context_ids", "context"), model, lam,
+                        f"{id_col} long, context_ids array<long>, model_id string, lam double, n_symbols int, payload binary", work)
+
+
+def decompress_with_context(blocks: DataFrame, model: ByteModel, id_col: str, lam: float = 0.25) -> DataFrame:
+    """(id, data) of blocks joined with their ``context`` again; rejects blocks of another model or weight."""
+    mid = model.model_id
+
+    def work(models, part):
+        if (part["model_id"] != mid).any() or (part["lam"] != lam).any():
+            raise ValueError(f"a block was not coded with model {mid} and weight {lam}")
+        return pd.DataFrame({id_col: part[id_col], "data": decode_lanes([bytes(p) for p in part["payload"]], list(part["n_symbols"]), models)})
+
+    return _conditioned(blocks.select(id_col, "model_id", "lam", "n_symbols", "payload", "context"), model, lam, f"{id_col} long, data binary", work)
+
+
 # ---------------------------------------------------------------- gzip
 
 @F.pandas_udf(T.BinaryType())

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as B
+from tessera.operators import codec as C
 from tessera.operators import retrieval as R
 
 
@@ -85,6 +86,27 @@ def write_payload(files: DataFrame, path: str, id_col: str = "path", symbols: st
     out.write.mode("overwrite").parquet(path)
 
 
+def save_byte_model(spark: SparkSession, model: C.ByteModel, path: str) -> str:
+    """Add a byte model to the model store; returns its id. Saving it again replaces equal rows."""
+    (spark.createDataFrame(model.to_rows()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model_id").parquet(path))
+    return model.model_id
+
+
+def load_byte_model(spark: SparkSession, path: str, model_id: str) -> C.ByteModel:
+    """The stored byte model of an id (as blocks carry it)."""
+    rows = spark.read.schema("ctx int, sym int, freq long, cum long, model_id string").parquet(path)
+    model = C.ByteModel.from_table(rows.filter(F.col("model_id") == model_id))
+    if model.model_id != model_id:
+        raise ValueError(f"stored model {model_id} is damaged")
+    return model
+
+
+def save_bigram_model(model: DataFrame, path: str) -> None:
+    """The n-gram model table as trained (a, b, n_ab, n_a, vocab, p, bits)."""
+    model.write.mode("overwrite").parquet(path)
+
+
 def append_metrics_log(metrics: DataFrame, path: str) -> None:
     """Append one epoch's metrics rows to the log table."""
     metrics.write.mode("append").parquet(path)

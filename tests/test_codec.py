@@ -60,3 +60,27 @@ def test_empty_documents_round_trip(spark):
     data = spark.createDataFrame([(1, b""), (2, b"abc" * 20000), (3, b"\x00")], "doc_id long, data binary")
     blocks, model = J.compress_corpus(data)
     assert {r.doc_id: bytes(r.data) for r in J.decompress_corpus(blocks, model).collect()} == {1: b"", 2: b"abc" * 20000, 3: b"\x00"}
+
+
+def test_lane_models_round_trip_and_gain():
+    rng = np.random.default_rng(5)
+    words = [b"alpha ", b"beta ", b"gamma "]
+    texts = [b"".join(words[i] for i in rng.integers(0, 3, n)) for n in (0, 1, 40, 300)]
+    contexts = [b"", b"alpha beta gamma " * 20, b"beta gamma alpha " * 50, b"x"]
+    models = C.LaneModels(MODEL, contexts, 0.5)
+    pay = C.encode_lanes(texts, models)
+    assert C.decode_lanes(pay, [len(t) for t in texts], models) == texts
+    assert len(pay[2]) < len(C.encode_lanes([texts[2]], MODEL)[0])
+
+
+def test_stored_models(spark, tmp_path):
+    import pytest
+    from tessera.sources import tables as TB
+    path = str(tmp_path / "models")
+    ids = [TB.save_byte_model(spark, _model(i), path) for i in (1, 2, 1)]
+    assert len(set(ids)) == 2
+    for i, mid in ((1, ids[0]), (2, ids[1])):
+        got = TB.load_byte_model(spark.newSession(), path, mid)
+        assert (got.freq == _model(i).freq).all() and (got.cum == _model(i).cum).all()
+    with pytest.raises(ValueError):
+        TB.load_byte_model(spark, path, "none")
