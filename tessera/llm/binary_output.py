@@ -35,25 +35,23 @@ READ_BYTES = 8 << 20        # one read of the index-driven reader
 _POLY = 0x82F63B78
 
 
-def _crc_tables(n: int = 8) -> np.ndarray:
-    base = np.arange(256, dtype=np.uint32)
+def _byte_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
     for _ in range(8):
-        base = np.where(base & 1, (base >> 1) ^ np.uint32(_POLY), base >> 1).astype(np.uint32)
-    tables = [base]
-    for _ in range(n - 1):
-        prev = tables[-1]
-        tables.append((prev >> 8) ^ base[prev & 0xFF])
-    return np.array(tables, np.uint32)
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(_POLY), table >> 1).astype(np.uint32)
+    return table
 
 
-_TABLE = _crc_tables()
+_TABLE = _byte_table()
+_PAIR_TABLE = _TABLE[np.arange(1 << 16) & 0xFF]                      # two bytes at once
+_PAIR_TABLE = _TABLE[(_PAIR_TABLE ^ (np.arange(1 << 16, dtype=np.uint32) >> 8)) & 0xFF] ^ (_PAIR_TABLE >> 8)
 _STRIDE = 1 << 10
 
 
 def _zero_operator(n: int) -> np.ndarray:
     """Matrix (32 columns) that carries a CRC register over n zero bytes."""
     cols = np.uint32(1) << np.arange(32, dtype=np.uint32)
-    step = (cols >> 8) ^ _TABLE[0][cols & 0xFF]           # one zero byte
+    step = (cols >> 8) ^ _TABLE[cols & 0xFF]              # one zero byte
     out = cols.copy()
     while n:
         if n & 1:
@@ -69,11 +67,12 @@ def _apply(op: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def crc32c_many(parts: list[bytes]) -> list[int]:
-    """CRC-32C of each part. The parts are cut into strides that advance together, byte by byte,
+    """CRC-32C of each part. The parts are cut into strides that advance together, two bytes a step,
     as numpy lanes; strides of one part are then combined by carrying over zero bytes."""
     if not parts:
         return []
-    data = np.frombuffer(b"".join(parts), np.uint8)
+    data = np.frombuffer(b"".join(parts) + b"\0\0", np.uint8)
+    pairs = data[:-1] | data[1:].astype(np.uint32) << np.uint32(8)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     lanes = np.maximum(1, -(-size // _STRIDE))
     owner = np.repeat(np.arange(len(parts)), lanes)
@@ -86,10 +85,12 @@ def crc32c_many(parts: list[bytes]) -> list[int]:
     order = np.argsort(-length, kind="stable")
     start, length = start[order], length[order]
     reg = np.where(k[order] == 0, np.uint32(0xFFFFFFFF), np.uint32(0))
-    live = len(order) - np.searchsorted(length[::-1], np.arange(1, int(length[0]) + 1 if len(length) else 1), "left")
-    for i, n in enumerate(live.tolist()):
+    odd = np.flatnonzero(length & 1)
+    reg[odd] = (reg[odd] >> 8) ^ _TABLE[(reg[odd] & 0xFF) ^ data[start[odd]]]
+    start, steps = start + (length & 1), length >> 1                # steps fall from lane to lane
+    for i, n in enumerate((len(order) - np.searchsorted(steps[::-1], np.arange(1, int(steps[0]) + 1), "left")).tolist()):
         r = reg[:n]
-        reg[:n] = (r >> 8) ^ _TABLE[0][(r & 0xFF) ^ data[start[:n] + i]]
+        reg[:n] = (r >> 16) ^ _PAIR_TABLE[(r & 0xFFFF) ^ pairs[start[:n] + 2 * i]]
     back = np.empty_like(reg)
     back[order] = reg
     crc = back[k == 0].copy()
@@ -107,8 +108,8 @@ def masked(crc: int) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def _varints(ids: np.ndarray) -> bytes:
-    """LEB128 of 32-bit ids."""
+def _varints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """LEB128 bytes of 32-bit ids, and where each id ends."""
     size = 1 + (ids >= 1 << 7).astype(np.int64) + (ids >= 1 << 14) + (ids >= 1 << 21) + (ids >= 1 << 28)
     end = np.cumsum(size)
     out = np.empty(int(end[-1]) if len(end) else 0, np.uint8)
@@ -118,33 +119,40 @@ def _varints(ids: np.ndarray) -> bytes:
             break
         more = (size[on] > i + 1).astype(np.uint8) << 7
         out[end[on] - size[on] + i] = ((ids[on] >> np.uint32(7 * i)) & 0x7F).astype(np.uint8) | more
-    return out.tobytes()
+    return out, end
 
 
-def _from_varints(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8)
+def _from_varints(raw: np.ndarray) -> np.ndarray:
     last = np.flatnonzero(raw < 128)
     first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
     out = np.zeros(len(last), np.uint32)
     for i in range(5):
         at = first + i
-        on = at <= last
-        if not on.any():
+        on = np.flatnonzero(at <= last)
+        if not len(on):
             break
         out[on] |= (raw[at[on]] & 0x7F).astype(np.uint32) << np.uint32(7 * i)
     return out
 
 
-def serialize(doc_id: int | None, ids: np.ndarray) -> bytes:
-    return struct.pack("<Bqq", doc_id is not None, doc_id or 0, len(ids)) + _varints(ids)
+def serialize(keys: list[int | None], ids: list[np.ndarray]) -> list[bytes]:
+    """One payload per document."""
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    body, end = _varints(np.concatenate([*ids, np.zeros(0, "<u4")]))
+    cuts = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(n)])].tolist()
+    body = body.tobytes()
+    return [struct.pack("<Bqq", k is not None, k or 0, m) + body[a:b] for k, m, a, b in zip(keys, n.tolist(), cuts, cuts[1:])]
 
 
-def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
-    there, key, n = struct.unpack_from("<Bqq", payload)
-    ids = _from_varints(payload[17:])
-    if len(ids) != n:
+def parse(payloads: list[bytes]) -> list[tuple[int | None, np.ndarray]]:
+    """Keys and ids of payloads; raises ValueError if the ids are not those counted."""
+    heads = [struct.unpack_from("<Bqq", p) for p in payloads]
+    ids = _from_varints(np.frombuffer(b"".join(p[17:] for p in payloads), np.uint8))
+    ends = np.cumsum([h[2] for h in heads])
+    whole = all(len(p) == 17 or p[-1] < 128 for p in payloads)
+    if not whole or len(ids) != (ends[-1] if len(ends) else 0):
         raise ValueError("token count differs from the record's")
-    return key if there else None, ids
+    return [(k if there else None, ids[e - n:e]) for (there, k, n), e in zip(heads, ends.tolist())]
 
 
 INDEX = "file string, offset long, size long, doc_id long, n_tokens long"
@@ -164,7 +172,7 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
 
     def run(batches):
         fs, root = open_fs(folder)
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_many
         name = f"{root}/part-{TaskContext.get().partitionId():06d}.records"
         temp = f"{root}/.{uuid.uuid4().hex}.tmp"
         out, at, rows = None, 0, []
@@ -173,8 +181,8 @@ def write_records(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(temp)
             keys = b.column("doc_id").to_pylist()
-            ids = [np.frombuffer(encode(t) + end, "<u4") for t in b.column("text").to_pylist()]
-            payloads = [serialize(k, i) for k, i in zip(keys, ids)]
+            ids = [np.frombuffer(x + end, "<u4") for x in encode(b.column("text").to_pylist())]
+            payloads = serialize(keys, ids)
             heads = [struct.pack("<Q", len(p)) for p in payloads]
             for key, i, p, h, hc, pc in zip(keys, ids, payloads, heads, crc32c_many(heads), crc32c_many(payloads)):
                 frame = b"".join((h, struct.pack("<I", masked(hc)), p, struct.pack("<I", masked(pc))))
@@ -219,11 +227,11 @@ def read_records(index: DataFrame, folder: str, keep_ids: bool = True) -> DataFr
 
 def _checked(file: str, frames: list[tuple[int, bytes]], keep_ids: bool) -> pa.RecordBatch:
     heads, payloads = [f[:8] for _, f in frames], [f[12:-4] for _, f in frames]
-    out = []
     for (offset, f), p, hc, pc in zip(frames, payloads, crc32c_many(heads), crc32c_many(payloads)):
         if struct.unpack("<Q", f[:8])[0] != len(p) or struct.unpack("<I", f[8:12])[0] != masked(hc) or struct.unpack("<I", f[-4:])[0] != masked(pc):
             raise ValueError(f"damaged record in {file} at {offset}")
-        key, ids = parse(p)
+    out = []
+    for (offset, _), (key, ids) in zip(frames, parse(payloads)):
         raw = ids.astype("<u4").tobytes()
         out.append((file, offset, key, len(ids), zlib.crc32(raw), raw))
     cols = list(zip(*out))[: 6 if keep_ids else 5]
