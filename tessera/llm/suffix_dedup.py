@@ -6,7 +6,9 @@ the whole corpus would be eight times its size, so suffixes are first thinned by
 1. Anchors. Every ``length``-byte string is owned by one anchor inside it: the place of the
    smallest hash among its ``GRAM``-byte grams (rightmost of equals). Equal strings have equal
    owners, so only suffixes near anchors with equal grams need comparing. An anchor is one row:
-   hash of its gram, hash of its context (all bytes of the strings it owns), place.
+   hash of its gram, hash of its context (all bytes of the strings it owns), place. Of equal
+   contexts within a block of the scan only the first is sent on; the others are settled there
+   (a line repeated a million times is one row and one range).
 2. Rows are shuffled by gram and streamed in (gram, context) order. Contexts that occur twice
    or more settle all their strings at once. Grams with one context are done; where a gram has
    several, one copy of each context goes on.
@@ -43,7 +45,7 @@ LENGTH = 400                   # fixed value
 GRAM = 200
 BLOCK_BYTES = 32 << 20
 SEGMENT = 1 << 19              # starts whose hashes are held at once
-GROUP_CONTEXTS = 2000
+GROUP_CONTEXTS = 8192          # about 100 MB of a task while they are compared
 BATCH_CONTEXTS = 1000          # contexts of small groups ordered together
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -100,7 +102,32 @@ def _signed(x: list[int]) -> np.ndarray:
 
 
 ANCHORS = "gram long, context long, block long, place long, reach int"
-# place: document in block << 32 | first owned start; reach: anchor - first start << 16 | last - first start
+# place: document in block << 32 | first owned start; reach: last - first owned start, with bit 16 set if
+# the context occurs again in the block. A negative reach, -1 - (last - first), is a settled range of starts.
+AGAIN = 1 << 16
+
+
+def _combine(gram: np.ndarray, context: np.ndarray, place: np.ndarray, last: np.ndarray):
+    """Of equal (gram, context) in scan order: which come first, whether others follow, and the ranges
+    (place, last - first) that the others own, adjacent ones joined."""
+    order = np.lexsort((context, gram))
+    new = np.concatenate([[True], (gram[order][1:] != gram[order][:-1]) | (context[order][1:] != context[order][:-1])])
+    first = np.zeros(len(gram), bool)
+    first[order] = new                                   # a stable sort: the first in scan order leads
+    again = np.zeros(len(gram), bool)
+    again[order] = (np.bincount(np.cumsum(new) - 1) > 1)[np.cumsum(new) - 1]
+    at = np.flatnonzero(~first)
+    if not len(at):
+        return first, again, at, at
+    lo, hi = place[at], place[at] + last[at]
+    room = (1 << 16) - 512                               # a joined range still fits 16 bits
+    head = np.concatenate([[True], lo[1:] != hi[:-1] + 1])
+    run = np.flatnonzero(head)[np.cumsum(head) - 1]
+    head |= np.concatenate([[False], (lo[1:] - lo[run][1:]) // room != (lo[:-1] - lo[run][:-1]) // room])
+    start = np.flatnonzero(head)
+    return first, again, lo[start], hi[np.append(start[1:], len(at)) - 1] - lo[start]
+
+
 
 
 def _anchor_rows(src: DataFrame, length: int, gram: int) -> DataFrame:
@@ -115,12 +142,16 @@ def _anchor_rows(src: DataFrame, length: int, gram: int) -> DataFrame:
                     grams.append(digest(text[a:a + gram], 1))
                     contexts.append(digest(text[b:c + length], a - b))
                 places.append(lo | doc << 32)
-                reaches.append(p - lo << 16 | hi - lo)
+                reaches.append(hi - lo)
             if grams:
+                keys, classes, place, last = _signed(grams), _signed(contexts), np.concatenate(places), np.concatenate(reaches)
+                first, again, lo, more = _combine(keys, classes, place, last)
+                spread = (lo * 0x9E3779B1 + number) ^ lo >> 7            # settled ranges go anywhere, evenly
+                cols = [np.concatenate(x) for x in ((keys[first], spread), (classes[first], spread), (place[first], lo),
+                                                    (last[first] | np.where(again[first], AGAIN, 0), -1 - more))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(grams)), pa.array(_signed(contexts)), pa.array(np.full(len(grams), number)),
-                     pa.array(np.concatenate(places)), pa.array(np.concatenate(reaches).astype(np.int32))],
-                    names=["gram", "context", "block", "place", "reach"])
+                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), number)), pa.array(cols[2]),
+                     pa.array(cols[3].astype(np.int32))], names=["gram", "context", "block", "place", "reach"])
 
     return src.select("text").mapInArrow(run, ANCHORS)
 
@@ -134,20 +165,27 @@ def _settle(batches):
     names = ["gram", "context", "block", "place", "reach"]
     carry, told, asked = [np.zeros(0, np.int64)] * 5, np.zeros(0, bool), np.zeros(0, bool)
     for b in batches:
-        if not b.num_rows:
+        rows = [b.column(n).to_numpy().astype(np.int64) for n in names]
+        done = np.flatnonzero(rows[4] < 0)
+        if len(done):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2][done]), pa.array(rows[3][done]), pa.array((-1 - rows[4][done]).astype(np.int32)),
+                                              pa.array(np.full(len(done), EARLIER, np.int32)), pa.array(rows[0][done])],
+                                             names=["block", "place", "reach", "kind", "gram"])
+            rows = [np.delete(c, done) for c in rows]
+        if not len(rows[0]):
             continue
-        cols = [np.concatenate([c, b.column(n).to_numpy().astype(np.int64)]) for c, n in zip(carry, names)]
-        told, asked = (np.concatenate([x, np.zeros(b.num_rows, bool)]) for x in (told, asked))
+        cols = [np.concatenate([c, r]) for c, r in zip(carry, rows)]
+        told, asked = (np.concatenate([x, np.zeros(len(rows[0]), bool)]) for x in (told, asked))
         gram, context = cols[:2]
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new_class = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
         of_class, of_gram = np.cumsum(new_class) - 1, np.cumsum(new_gram) - 1
-        many = np.bincount(of_class)[of_class] > 1
+        many = (np.bincount(of_class)[of_class] > 1) | ((cols[4] & AGAIN) > 0)
         several = np.bincount(of_gram[new_class])[of_gram] > 1
         says = [(many & ~new_class, EARLIER), (many & new_class & ~told, LATER), (new_class & several & ~asked, ASK)]
         out = [[np.concatenate([c[on] for on, _ in says]) for c in cols], np.concatenate([np.full(on.sum(), k, np.int32) for on, k in says])]
         if len(out[1]):
-            yield pa.RecordBatch.from_arrays([pa.array(out[0][2]), pa.array(out[0][3]), pa.array(out[0][4].astype(np.int32)), pa.array(out[1]), pa.array(out[0][0])],
+            yield pa.RecordBatch.from_arrays([pa.array(out[0][2]), pa.array(out[0][3]), pa.array((out[0][4] & 0xFFFF).astype(np.int32)), pa.array(out[1]), pa.array(out[0][0])],
                                              names=["block", "place", "reach", "kind", "gram"])
         last = np.unique([np.flatnonzero(new_gram)[-1], np.flatnonzero(new_class)[-1]])
         carry, told, asked = [c[last] for c in cols], (told | many)[last], (asked | several)[last]
@@ -209,7 +247,9 @@ def compare(contexts: list[bytes], order: np.ndarray, length: int) -> tuple[np.n
     windows = np.lib.stride_tricks.sliding_window_view(data, length)
     by_name = np.argsort(of[on], kind="stable")
     heads = np.concatenate([[True], of[on][by_name][1:] != of[on][by_name][:-1]])
-    same = np.concatenate([[False], (windows[at[by_name][1:]] == windows[at[by_name][:-1]]).all(axis=1)])
+    here = at[by_name]
+    same = np.concatenate([[False], *((windows[here[a + 1:a + 16385]] == windows[here[a:a + 16384][:len(here) - a - 1]]).all(axis=1)
+                                      for a in range(0, len(here) - 1, 16384))])
     if (same != ~heads).any():                                    # equal hashes, other bytes: order by the bytes themselves
         rows = np.ascontiguousarray(windows[at]).view(f"V{length}").ravel()
         by_name = np.argsort(rows, kind="stable")

@@ -42,7 +42,7 @@ def corpus(seed, n=60, length=40):
     for i in range(1, n, 5):
         k = rng.randrange(len(long))
         docs[i] = (i, long[:k] + rng.choice("xyz") + long[k + 1:])
-    return docs + [(200, None), (201, ""), (202, long), (203, long), (203, long), (204, "ab " * 300), (205, "q" * 1000), (206, passage[:length - 1]), (None, passage + "end")]
+    return docs + [(200, None), (201, ""), (202, long), (203, long), (203, long), (204, "ab " * 300), (207, "ab " * 200), (208, " Is onhe." * 9000), (205, "q" * 1000), (206, passage[:length - 1]), (None, passage + "end")]
 
 
 def table(spark, docs):
@@ -143,6 +143,9 @@ def test_settle_streams_any_batching():
     import pyarrow as pa
     rng = random.Random(5)
     rows = sorted((rng.randrange(12), rng.randrange(3), 0, i, 5) for i in range(120))
+    again = (99, 1, 0, 500, 5 | D.AGAIN)
+    settled = (40, 7, 0, 600, -1 - 77)
+    rows = sorted([*rows, again, settled])
     cols = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.int32(),))]
     t = pa.table(cols, names=["gram", "context", "block", "place", "reach"])
     results = []
@@ -150,15 +153,29 @@ def test_settle_streams_any_batching():
         results.append(sorted((r["place"], r["kind"]) for b in D._settle(iter(t.to_batches(max_chunksize=size))) for r in b.to_pylist()))
     assert all(r == results[0] for r in results)
     by = {}
-    for g, c, _, p, _ in rows:
-        by.setdefault(g, {}).setdefault(c, []).append(p)
-    want = []
+    for g, c, _, p, r in rows:
+        if r >= 0:
+            by.setdefault(g, {}).setdefault(c, []).append(p)
+    want = [(500, D.LATER), (600, D.EARLIER)]
     for classes in by.values():
         for ps in classes.values():
             want += [(p, D.EARLIER) for p in ps[1:]] + ([(ps[0], D.LATER)] if len(ps) > 1 else []) + ([(ps[0], D.ASK)] if len(classes) > 1 else [])
     assert results[0] == sorted(want)
 
 
+def test_equal_contexts_of_a_block_are_combined():
+    text = b"start of it " + b" Is onhe." * 30000 + b" end"
+    p, lo, hi = D.anchors(text, 40, 20)
+    gram = np.array([hash(text[a:a + 20]) for a in p])
+    context = np.array([hash(text[b:c + 40]) for b, c in zip(lo, hi)])
+    first, again, start, more = D._combine(gram, context, lo, hi - lo)
+    assert first.sum() < 60 and len(start) < 60 and more.max() < 1 << 16
+    got = sorted((s, s + m) for s, m in zip(start.tolist(), more.tolist()))
+    want = sorted((a, b) for a, b, f in zip(lo.tolist(), hi.tolist(), first) if not f)
+    assert sum(b - a + 1 for a, b in got) == sum(b - a + 1 for a, b in want)
+    assert {x for a, b in got for x in (a, b)} <= {x for a, b in want for x in (a, b)}
+
+
 def test_empty_table(spark):
     prepare(spark)
     assert D.remove(table(spark, corpus(1)).limit(0).checkpoint()).collect() == []
