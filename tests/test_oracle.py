@@ -16,7 +16,8 @@ SF = "/root/testdata/sf0.01" if FULL else "/root/testdata/sf0.001"
 SUBSET = ["chunk_text", "knn_sparse", "rag_context", "knn_ip", "knn_l2", "train_ngram", "entropy_bits",
           "rag_entropy_gain", "metric_rollup", "running_ratio", "bytes_to_patches", "verify_roundtrip",
           "decompress_corpus", "seeded_shuffle", "train_eval_split", "label_join", "write_blocks",
-          "scan_fixed_records", "split_tiles", "pair_bidirectional", "dedupe_by_hash", "assign_chunk_ids"]
+          "scan_fixed_records", "split_tiles", "heldout_bits", "dense_retrieval", "drop_missing_hits",
+          "rag_compress_roundtrip", "pad_batch", "left_shift_mask", "truncate_window", "image_extent", "scan_text_files", "opcode_name", "pair_bidirectional", "dedupe_by_hash", "assign_chunk_ids"]
 KEYS = sorted(E.oracle_sql()) if FULL else SUBSET
 
 
