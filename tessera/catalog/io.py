@@ -48,22 +48,20 @@ def _appended(spark, sf):
     path = _scratch(spark, "index")
     TB.save_index(R.build_chunks(table(spark, sf, "documents")), path)
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("benchmark").alias("source"), "text")
-    TB.append_index(spark, path, items)
-    return spark.read.parquet(path)
+    start = TB.append_index(spark, path, items)
+    return spark.read.parquet(path), start
 
 
 @register("append_index", f"WITH {_APPEND_SQL} SELECT chunk_id, doc_id, chunk_no, chunk_text FROM new_chunks")
 def q_append_index(spark, sf):
-    idx = _appended(spark, sf)
-    start = table(spark, sf, "documents")
-    n_old = R.chunk_documents(start).count()
-    return idx.filter(F.col("chunk_id") >= n_old).select("chunk_id", "doc_id", "chunk_no", "chunk_text")
+    idx, start = _appended(spark, sf)
+    return idx.filter(F.col("chunk_id") >= start).select("chunk_id", "doc_id", "chunk_no", "chunk_text")
 
 
 @register("append_union", f"""WITH {_APPEND_SQL}
 SELECT chunk_id, doc_id, chunk_no FROM chunks UNION ALL SELECT chunk_id, doc_id, chunk_no FROM new_chunks""")
 def q_append_union(spark, sf):
-    return _appended(spark, sf).select("chunk_id", "doc_id", "chunk_no")
+    return _appended(spark, sf)[0].select("chunk_id", "doc_id", "chunk_no")
 
 
 @register("write_payload", """

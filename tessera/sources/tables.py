@@ -8,6 +8,7 @@ per-partition, so a rerun replaces instead of duplicating.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,12 +47,27 @@ def next_chunk_id(index: DataFrame) -> int:
     return 0 if m is None else int(m) + 1
 
 
-def append_index(spark: SparkSession, path: str, docs: DataFrame, **chunk_kw) -> DataFrame:
-    """Chunk new documents with ids continuing after the stored ones and append them."""
-    start = next_chunk_id(spark.read.parquet(path)) if table_exists(spark, path) else 0
-    new = R.build_chunks(docs, start_id=start, **chunk_kw)
-    new.write.mode("append").parquet(path)
-    return new
+@contextmanager
+def single_writer(spark: SparkSession, path: str):
+    """Hold the writer's mark of a table: a second writer meanwhile is an error. A mark left by a
+    driver that died must be removed by hand."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_writing")
+    fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.createNewFile(mark):
+        raise RuntimeError(f"another writer is appending to {path}")
+    try:
+        yield
+    finally:
+        fs.delete(mark, False)
+
+
+def append_index(spark: SparkSession, path: str, docs: DataFrame, **chunk_kw) -> int:
+    """Chunk new documents with ids continuing after the stored ones and append them; returns the
+    first new id. Ids are taken and written under the table's single writer's mark."""
+    with single_writer(spark, path):
+        start = next_chunk_id(spark.read.parquet(path)) if table_exists(spark, path) else 0
+        R.build_chunks(docs, start_id=start, **chunk_kw).write.mode("append").parquet(path)
+    return start
 
 
 def write_blocks(blocks: DataFrame, path: str, pad: str = "pad", length: str = "length",

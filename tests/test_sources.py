@@ -47,6 +47,10 @@ def test_index_store_roundtrip(spark, tmp_path):
     more = spark.createDataFrame([(3, "s", "f")], "doc_id long, source string, text string")
     TB.append_index(spark, path, more)
     assert sorted(r.chunk_id for r in spark.read.parquet(path).collect()) == [0, 1, 2]
+    import pytest
+    with TB.single_writer(spark, path), pytest.raises(RuntimeError):
+        TB.append_index(spark, path, more)
+    assert spark.read.parquet(path).count() == 3
     # stored index is reused, not rebuilt
     again = TB.load_or_build_index(spark, path, lambda: (_ for _ in ()).throw(AssertionError("rebuilt")))
     assert again.count() == 3
