@@ -81,8 +81,8 @@ def predict_symbols(docs: DataFrame, model: DataFrame | None = None, id_col: str
     bigram ``model`` table is joined, unseen pairs included, at any model size.
     """
     if predictor_factory is None:
-        from tessera.operators.lm import symbol_pairs, with_bits
-        pairs = docs.select(id_col, F.posexplode(symbol_pairs(text_col)).alias("_i", "_p")).select(
+        from tessera.operators.lm import symbol_pairs, with_bits, with_characters
+        pairs = with_characters(docs, [id_col], text_col).select(id_col, F.posexplode(symbol_pairs("_c")).alias("_i", "_p")).select(
             id_col, (F.col("_i") + 1).alias("pos"), F.col("_p.a").alias("a"), F.col("_p.b").alias("b"))
         return with_bits(pairs, model).select(id_col, "pos", "p")
 

@@ -22,18 +22,23 @@ TOP_K_PROBE = 5                                   # top-5 membership check of th
 FLOAT32_EPS = float(np.finfo(np.float32).eps)     # machine epsilon used by the pdf normaliser
 
 
-def symbol_pairs(text) -> Column:
-    """Array of structs (a, b): each character with its successor."""
-    c = T.characters(text)
-    n = F.size(c)
-    return F.arrays_zip(F.slice(c, 1, F.greatest(n - 1, F.lit(0))).alias("a"),
-                        F.slice(c, 2, F.greatest(n - 1, F.lit(0))).alias("b"))
+def symbol_pairs(chars: str) -> Column:
+    """Array of structs (a, b): each character with its successor. ``chars`` names a materialised
+    character array (see ``with_characters``), so a text is split once."""
+    c = F.col(chars)
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.arrays_zip(F.slice(c, 1, n).alias("a"), F.slice(c, 2, n).alias("b"))
 
 
-def exploded_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, a, b): one row per coded symbol."""
-    return df.select(F.col(id_col).alias("id"), F.explode(symbol_pairs(text_col)).alias("p")) \
-             .select("id", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+def with_characters(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` columns and ``_c``, the characters of the text."""
+    return df.select(*keep, T.characters(text_col).alias("_c"))
+
+
+def exploded_pairs(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` columns and (a, b): one row per coded symbol."""
+    return with_characters(df, keep, text_col).select(*keep, F.explode(symbol_pairs("_c")).alias("p")) \
+        .select(*keep, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
 def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -42,9 +47,7 @@ def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     The pair count is a partial + final aggregation, so a hot pair is combined
     map-side before the shuffle. ``vocab`` is a scalar subquery.
     """
-    pairs = corpus.select(F.explode(symbol_pairs(text_col)).alias("p"))
-    counts = pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(
-        F.count(F.lit(1)).alias("n_ab"))
+    counts = exploded_pairs(corpus, [], text_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
     # The counts feed the vocabulary and several joins: stored once, one row per seen pair.
     counts = stored(counts, "bigram-counts")
     vocab = counts.select(F.count_distinct("b")).scalar()
@@ -91,8 +94,7 @@ def document_bits(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
 
 def pair_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, a, b, n): symbol pairs counted per document (context shifted by one)."""
-    return exploded_pairs(df, id_col, text_col).groupBy(F.col("id").alias(id_col), "a", "b").agg(
-        F.count(F.lit(1)).alias("n"))
+    return exploded_pairs(df, [id_col], text_col).groupBy(id_col, "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 def symbol_cdf(model: DataFrame) -> DataFrame:
