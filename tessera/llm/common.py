@@ -16,7 +16,7 @@ from tessera.session import apply_defaults, checkpoint_dir
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; long texts make a batch heavy.
 BATCH_ROWS = "8000"
-BATCH_BYTES = "16777216"
+BATCH_BYTES = "8388608"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-KEPT_PARTS = 600_000       # parts kept as new, and as many again that were new before
+KEPT_PARTS = 350_000       # parts kept as new, and as many again that were new before
 
 #: White space and invisible characters on which Unicode tables differ: texts that hold them
 #: are cut only between plainly visible characters and single blanks.
@@ -93,7 +93,7 @@ class Encoder:
         at = 0
         while at < len(texts):                       # bounded characters at a time
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 24):
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 22):
                 size += len(texts[upto])
                 upto += 1
             column = pa.array(texts[at:upto], pa.large_string())
