@@ -1,8 +1,7 @@
 """The corpus pipeline: quality rules, SimHash near-dedup, benchmark decontamination, secret
 scans, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; ``docs`` is a
-stable scan (a table read from files). All but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of ``documents``.
 Nulls, empty texts, repeated rows and extra columns are carried as each operator defines; an
 empty table passes through as one.
 """
@@ -13,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, quality, secrets, simhash
-from tessera.llm.common import new_dir, prepare, read
+from tessera.llm.common import new_dir, prepare, read, stored
 
 ROW = "__row"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row number that every pass over the same files repeats."""
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
+    """``docs`` numbered once and stored: later passes read the numbers, however they are split."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

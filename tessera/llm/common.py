@@ -66,10 +66,9 @@ def emit(batches: Iterator[tuple], names: list[str], types: list[pa.DataType]) -
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def numbered_blocks(batches: Iterator[pa.RecordBatch], columns: list[str], block_bytes: int) -> Iterator[tuple[int, dict]]:
+def _numbered_blocks(batches: Iterator[pa.RecordBatch], columns: list[str], block_bytes: int) -> Iterator[tuple[int, dict]]:
     """Rows of a task dealt into blocks of at most ``block_bytes`` of ``text`` (a longer text is a
-    block of its own), as (number, lists by column). Over a stable scan every pass gives a block
-    the same number, so what is kept by block can be met with its rows again without a shuffle."""
+    block of its own), as (number, lists by column)."""
     names = [*columns, "text"]
     held, size, number = {c: [] for c in names}, 0, TaskContext.get().partitionId() << 24
     for b in batches:
@@ -85,6 +84,51 @@ def numbered_blocks(batches: Iterator[pa.RecordBatch], columns: list[str], block
         yield number, held
 
 
+class Blocks:
+    """Rows dealt once into numbered blocks, each stored as one Parquet file. Every pass reads those
+    files, so a block keeps its number and rows however Spark splits the input between passes, and
+    what is kept by block meets its rows again without a shuffle."""
+
+    def __init__(self, src: DataFrame, name: str, block_bytes: int):
+        self.spark = src.sparkSession
+        self.columns = [c for c in src.columns if c != "text"]
+        root, columns = new_dir(self.spark, name), self.columns
+        schema = pa.schema([src.select(*columns, "text").limit(0).toArrow().schema.field(c) for c in (*columns, "text")])
+
+        def deal(batches):
+            fs, path = open_fs(root)
+            fs.create_dir(path, recursive=True)
+            for number, cols in _numbered_blocks(batches, columns, block_bytes):
+                # each attempt of a task has its own files; only those of the finished one are reported
+                file = f"{path}/{number}-{uuid.uuid4().hex}.parquet"
+                pq.write_table(pa.table([pa.array(cols[f.name], f.type) for f in schema], schema=schema), file, filesystem=fs)
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([file]), pa.array([sum(map(len, cols["text"]))])],
+                                                 names=["number", "file", "size"])
+
+        rows = src.select(*columns, "text").mapInArrow(deal, "number long, file string, size long").collect()
+        self.files = sorted((r.number, r.file) for r in rows)        # one a block
+        self.text_bytes = sum(r.size for r in rows)
+        self.root = root
+
+    def map(self, fn, schema) -> DataFrame:
+        """``fn`` over (number, lists by column) of the blocks, one block a task."""
+        files, root, columns = self.files, self.root, [*self.columns, "text"]
+
+        def run(batches):
+            fs, _ = open_fs(root)
+
+            def blocks():
+                for b in batches:
+                    for i in b.column("id").to_pylist():
+                        number, file = files[i]
+                        t = pq.read_table(file, filesystem=fs, partitioning=None)
+                        yield number, {c: t[c].to_pylist() for c in columns}
+
+            yield from fn(blocks())
+
+        return self.spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, schema)
+
+
 def kept_by_block(df: DataFrame, name: str) -> str:
     """Write ``df`` to a folder of the shared scratch, one subfolder for each value of ``block``."""
     folder = new_dir(df.sparkSession, name)

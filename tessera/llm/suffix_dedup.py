@@ -26,7 +26,8 @@ never cross documents. No group is held whole beyond the bound above; texts are
 what is found comes back to them by block of the scan.
 
 Nulls are empty; repeated rows are documents of their own (all but the first have earlier
-matches); an empty table gives no rows. The input is read three times and must be a stable scan.
+matches); an empty table gives no rows. The input is read once and stored in numbered blocks, which
+all three passes read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import block_table, kept_by_block, numbered_blocks, open_fs, stored, text_bytes
+from tessera.llm.common import Blocks, block_table, kept_by_block, open_fs, stored, text_bytes
 
 LENGTH = 400                   # fixed value
 GRAM = 200
@@ -130,11 +131,11 @@ def _combine(gram: np.ndarray, context: np.ndarray, place: np.ndarray, last: np.
 
 
 
-def _anchor_rows(src: DataFrame, length: int, gram: int) -> DataFrame:
+def _anchor_rows(src: Blocks, length: int, gram: int) -> DataFrame:
     digest = xxhash.xxh64_intdigest
 
-    def run(batches):
-        for number, cols in numbered_blocks(batches, [], BLOCK_BYTES):
+    def run(blocks):
+        for number, cols in blocks:
             grams, contexts, places, reaches = [], [], [], []
             for doc, text in enumerate(cols["text"]):
                 p, lo, hi = anchors(text, length, gram)
@@ -153,7 +154,7 @@ def _anchor_rows(src: DataFrame, length: int, gram: int) -> DataFrame:
                     [pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), number)), pa.array(cols[2]),
                      pa.array(cols[3].astype(np.int32))], names=["gram", "context", "block", "place", "reach"])
 
-    return src.select("text").mapInArrow(run, ANCHORS)
+    return src.map(run, ANCHORS)
 
 
 FOUND = "block long, place long, reach int, kind int, gram long"
@@ -194,10 +195,10 @@ def _settle(batches):
 CUT = "gram long, block long, place long, reach int, bytes binary"
 
 
-def _cut_contexts(src: DataFrame, settled: str, length: int) -> DataFrame:
-    def run(batches):
+def _cut_contexts(src: Blocks, settled: str, length: int) -> DataFrame:
+    def run(blocks):
         fs, root = open_fs(settled)
-        for number, cols in numbered_blocks(batches, [], BLOCK_BYTES):
+        for number, cols in blocks:
             t = block_table(fs, root, number)
             if t is None:
                 continue
@@ -210,7 +211,7 @@ def _cut_contexts(src: DataFrame, settled: str, length: int) -> DataFrame:
                                                   *(part[c].combine_chunks() for c in ("place", "reach")), pa.array(cut, pa.binary())],
                                                  names=["gram", "block", "place", "reach", "bytes"])
 
-    return src.select("text").mapInArrow(run, CUT)
+    return src.map(run, CUT)
 
 
 def previous_factors(suffix_order: np.ndarray, heads: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -367,7 +368,7 @@ def _named(batches):
         carry, told = [c[last] for c in x], (told | many)[last]
 
 
-def matches(src: DataFrame, length: int = LENGTH, gram: int = GRAM) -> list[str]:
+def matches(src: Blocks, length: int = LENGTH, gram: int = GRAM) -> list[str]:
     """Folders, by block, of the found ranges of starts: place (document in block << 32 | start),
     reach (its low 16 bits: further starts), kind (EARLIER, LATER; other kinds are not matches)."""
     settled = kept_by_block(_anchor_rows(src, length, gram).repartition("gram")
@@ -395,7 +396,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """Per row: id, n_bytes, n_removed, span_starts, span_ends, kept_sha256 and, if asked for, the kept
     bytes. ``keep_first``: drop only strings that start earlier somewhere; else every repeated one."""
     src = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text"))
-    folders = matches(src, length, gram)
+    blocks = Blocks(src, "suffix-blocks", BLOCK_BYTES)
+    folders = matches(blocks, length, gram)
     kinds = (EARLIER,) if keep_first else (EARLIER, LATER)
     id_type = src.limit(0).toArrow().schema.field("__id").type
     schema = (f"__id {src.schema['__id'].dataType.simpleString()}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
@@ -403,9 +405,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     names = [x.split()[0] for x in schema.split(", ")]
     types = [id_type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
 
-    def run(batches):
+    def run(dealt):
         opened = [open_fs(f) for f in folders]
-        for number, cols in numbered_blocks(batches, ["__id"], BLOCK_BYTES):
+        for number, cols in dealt:
             tables = [t.select(["place", "reach", "kind"]) for t in (block_table(fs, root, number) for fs, root in opened) if t is not None]
             place, reach, kind = (np.concatenate([t[c].to_numpy() for t in tables] or [np.zeros(0, np.int64)]).astype(np.int64) for c in ("place", "reach", "kind"))
             on = np.isin(kind, kinds)
@@ -429,4 +431,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return src.mapInArrow(run, schema).withColumnRenamed("__id", id_col)
+    return blocks.map(run, schema).withColumnRenamed("__id", id_col)

@@ -60,3 +60,23 @@ def test_stages_keep_columns_and_odd_rows(spark):
     assert P.secret_scan(spark, docs, SF).count() == docs.count()
     assert P.quality_rules(spark, docs, SF).where("text is null or text = ''").count() == 0
     assert P.sequence_packing(spark, docs, SF).count() >= docs.count()
+
+
+def test_rows_dealt_anew_between_passes(spark):
+    """Other file splits when the result is read than when the stage was called."""
+    prepare(spark)
+    path = new_dir(spark, "test")
+    read(spark, SF, "documents").repartition(12, "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    for stage in (P.simhash_near_dedup, P.benchmark_decontamination):
+        want = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+        out = stage(spark, docs, SF)
+        old = {k: spark.conf.get(k) for k in keys}
+        try:
+            for k, v in zip(keys, ("8192", "1")):
+                spark.conf.set(k, v)
+            assert sorted(r.doc_id for r in out.collect()) == want
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)

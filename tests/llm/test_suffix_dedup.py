@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from tessera.llm import suffix_dedup as D
-from tessera.llm.common import prepare, read
+from tessera.llm.common import new_dir, prepare, read
 
 
 def brute(docs, length, keep_first=False):
@@ -187,3 +187,22 @@ def test_query_matches_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
     got = QUERIES["op9_suffix_array_dedup"](spark, sf).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute(docs, 400))
+
+
+def test_rows_dealt_anew_between_passes(spark):
+    """Other file splits when the result is read than when the matches were found."""
+    prepare(spark)
+    path = new_dir(spark, "test")
+    table(spark, corpus(3)).repartition(12, "doc_id").write.parquet(path)
+    docs = spark.read.parquet(path)
+    run = lambda: D.remove(docs, length=40, gram=20, keep_first=False)
+    want, out = rows(run()), run()
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("2048", "1")):
+            spark.conf.set(k, v)
+        assert rows(out) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
