@@ -53,8 +53,14 @@ BASE = RulePack("base", "1", (
     Rule("access", 1, r"AKIA[A-Z0-9]+", ("AKIA",), least=16),
     Rule("hex", 2, r"[0-9a-f]{32,}", (), least=32),
 ))
-VENDOR = RulePack("vendor", "1", (
-    Rule("pem", 3, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+# A private key goes to its END line (of the same label, before the next BEGIN); without one, over the
+# header and base64 lines that follow (line ends may be escaped, as in JSON).
+_EOL = r"(?:[\x20\t]*(?:\r?\n|\r|(?:\\r)?\\n)[\x20\t]*)"
+PEM = (r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----"
+       r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----"
+       rf"|(?:{_EOL}+(?:[A-Za-z][A-Za-z0-9-]*:\x20[^\r\n\\]*|=?[A-Za-z0-9+/]+={{0,2}}(?=[\x20\t]*(?:[\r\n\\\"']|\Z))))*)")
+VENDOR = RulePack("vendor", "2", (
+    Rule("pem", 3, PEM, ("PRIVATE KEY-----",)),
     Rule("jwt", 4, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}", (".eyJ",)),
     Rule("forge", 5, r"gh[opsur]_[A-Za-z0-9]{36,}", ("gho_", "ghp_", "ghs_", "ghu_", "ghr_")),
     Rule("chat", 6, r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xox",)),

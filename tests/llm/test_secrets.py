@@ -72,3 +72,24 @@ def test_query_matches_brute_force(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, _, k, e in want)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) <= set(r.spans.split(","))
+
+
+BODY = "\n".join("MIIEpAIBAAKCAQEA7x+/aQ" + "Zb9" * 14 for _ in range(5)) + "\nQUJDRA=="
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+KEYS = [(f"é {BEGIN}\n{BODY}\n{END}\ntail", "é [secret]\ntail"),
+        (f"{BEGIN}\r\nProc-Type: 4,ENCRYPTED\r\n\r\n{BODY}\r\n{END} x {BEGIN}\n{BODY}\n{END}.", "[secret] x [secret]."),
+        (f"{BEGIN}\n{BODY}\nplain text follows", "[secret]\nplain text follows"),
+        (f"{BEGIN}\n{BODY}\n{BEGIN}\n{BODY}\n{END}", "[secret]\n[secret]"),
+        ("{\"key\": \"" + f"{BEGIN}\n{BODY}\n{END}\n".replace("\n", "\\n") + "\"}", "{\"key\": \"[secret]\\n\"}"),
+        (f"{BEGIN}\n{BODY}\n-----END CERTIFICATE-----", "[secret]\n-----END CERTIFICATE-----"),
+        (f"The line {BEGIN} alone, then words", "The line [secret] alone, then words")]
+
+
+def test_redact_takes_whole_private_keys(spark):
+    prepare(spark)
+    ledger = new_dir(spark, "ledger")
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KEYS)], "doc_id long, text string")
+    S.update_ledger(df, ledger)
+    got = {r.doc_id: r.text for r in S.redact(df, ledger).collect()}
+    assert [got[i] for i in range(len(KEYS))] == [w for _, w in KEYS]
+    assert S.VENDOR.id != "vendor@1"
