@@ -6,8 +6,10 @@ with one gap position between documents. Document frequencies of the words are s
 all segments. Each test window (10 consecutive item words, or the whole of a shorter item)
 then starts from the posting list of its rarest word, adjusted by that word's offset, and is
 intersected with the lists of its other words in order of rarity; what is left are exact
-phrase matches. Proximity matches are documents where an item's three rarest words stand
-within ``slop`` words of their places in the item.
+phrase matches. A window is near a document if, laid somewhere over it, at least ``SHARE`` of its
+words (rounded up) stand in the document within ``slop`` words of their places. A window of L words
+that needs n has some matched word among any L - n + 1 of its words, so places are tried from that
+many of its rarest words only; words that no document holds are missed ones and need no trial.
 
 The benchmark is the stated query set. It is taken in blocks of at most ``BLOCK_BYTES`` of
 text; each block is broadcast and run against all documents, and blocks are united per row.
@@ -27,6 +29,8 @@ from tessera.llm.common import stored, text_bytes
 
 WINDOW = 10                 # fixed value
 SLOP = 5                    # words a proximity match may be off
+SHARE = (4, 5)              # of a window's words that a proximity match holds
+NEAR_ROWS = 1 << 18         # (window, place) candidates of a proximity match tried at once
 BLOCK_BYTES = 32 << 20      # benchmark text broadcast at once
 SEGMENT_BYTES = 64 << 20    # document text of one segment, unless a single text is longer
 
@@ -47,11 +51,8 @@ class Windows:
         self.names = sorted({n for n, _ in items})
         place = {n: i for i, n in enumerate(self.names)}
         rows = []
-        self.item_words = []
         for name, ws in items:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in ws]
-            if ids:
-                self.item_words.append((place[name], ids))
             rows += [(place[name], ids[i:i + size]) for i in range(max(1, len(ids) - size + 1)) if ids]
         self.item = np.array([r[0] for r in rows], np.int64)
         self.length = np.array([len(r[1]) for r in rows], np.int64)
@@ -60,18 +61,13 @@ class Windows:
             self.word[i, :len(ids)] = ids
 
     def rank(self, df: np.ndarray) -> None:
-        """Order each window's words, and each item's rarest three, by document frequency."""
+        """Order each window's words by document frequency; mark those whose places are tried for
+        proximity: of a window that may lack m words, the rarest m + 1, without those no document holds."""
         cost = np.where(self.word >= 0, np.append(df, 0)[self.word], np.iinfo(np.int64).max)
         self.offset = np.argsort(cost, axis=1, kind="stable")
         self.by_rarity = np.take_along_axis(self.word, self.offset, axis=1)
-        near = []
-        for item, ids in self.item_words:
-            rare = sorted({w: j for j, w in reversed(list(enumerate(ids)))}.items(), key=lambda x: (df[x[0]], x[1]))[:3]
-            if len(rare) == 3:
-                near.append((item, [w for w, _ in rare], [j for _, j in rare]))
-        self.near_item = np.array([x[0] for x in near], np.int64)
-        self.near_word = np.array([x[1] for x in near], np.int64).reshape(-1, 3)
-        self.near_at = np.array([x[2] for x in near], np.int64).reshape(-1, 3)
+        self.may_lack = self.length - -(-self.length * SHARE[0] // SHARE[1])
+        self.tried = (np.arange(self.size) <= self.may_lack[:, None]) & (np.append(df, 0)[self.by_rarity] > 0)
 
 
 SEGMENT = "rows array<long>, lengths array<long>, terms array<int>, counts array<int>, places binary"
@@ -151,28 +147,53 @@ def intersect(w: Windows, terms: np.ndarray, counts: np.ndarray, places: np.ndar
     return win, start
 
 
-def close_by(w: Windows, terms, counts, places, total, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proximity matches (item, place of its rarest word)."""
-    if not len(w.near_item):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    slot = np.full(len(w.vocab), -1)
+def close_by(w: Windows, terms, counts, places, lengths, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proximity matches (item, document in the segment), without repetition."""
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    total = int(lengths.sum()) + len(lengths)
+    slot = np.full(len(w.vocab) + 1, -1)
     slot[terms] = np.arange(len(terms))
     first = np.cumsum(counts) - counts
-    live = np.flatnonzero((slot[w.near_word] >= 0).all(axis=1))
-    s = slot[w.near_word[live, 0]]
-    n = counts[s]
-    it = np.repeat(live, n)
-    at = places[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[s], n)].astype(np.int64)
-    holds = np.full(total, -1, np.int32)
-    holds[places] = np.repeat(terms, counts)
-    for k in (1, 2):
-        there = np.zeros(len(it), bool)
-        aim = at + w.near_at[it, k] - w.near_at[it, 0]
+    order = np.repeat(np.arange(len(terms)), counts) * total + places       # ascending: by word, then place
+    there = slot[w.by_rarity] >= 0
+    able = (~there & (w.by_rarity >= 0)).sum(axis=1) <= w.may_lack
+    win, rank = np.nonzero(w.tried & there & able[:, None])
+    ends = np.cumsum(counts[slot[w.by_rarity[win, rank]]])
+    items, docs = [], []
+
+    def within(word, lo, hi):
+        """Whether ``word`` stands at a place of lo..hi."""
+        s = slot[word]
+        at = np.searchsorted(order, s * total + lo)
+        return (s >= 0) & (lo <= hi) & (order[np.minimum(at, len(order) - 1)] <= s * total + hi) & (at < len(order))
+
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, NEAR_ROWS):
+        k = np.arange(lo, min(lo + NEAR_ROWS, int(ends[-1])))
+        of = np.searchsorted(ends, k, "right")
+        c, anchor = win[of], rank[of]
+        s = slot[w.by_rarity[c, anchor]]
+        at = places[first[s] + k - (ends[of] - counts[s])].astype(np.int64)
+        doc = np.searchsorted(begin, at, "right") - 1
+        start = at - w.offset[c, anchor]                               # where the window would begin
+        lack = np.zeros(len(c), np.int64)
+        for j in range(w.size):                                        # any laying has its words this near
+            word, x = w.by_rarity[c, j], start + w.offset[c, j]
+            lack += (word >= 0) & ~within(word, np.maximum(x - 2 * slop, begin[doc]), np.minimum(x + 2 * slop, begin[doc] + lengths[doc] - 1))
+            on = lack <= w.may_lack[c]
+            c, start, doc, lack = c[on], start[on], doc[on], lack[on]
         for d in range(-slop, slop + 1):
-            x = aim + d
-            there |= (x >= 0) & (x < total) & (holds[np.clip(x, 0, total - 1)] == w.near_word[it, k])
-        it, at = it[there], at[there]
-    return w.near_item[it], at
+            lack = np.zeros(len(c), np.int64)
+            for j in range(w.size):
+                word, x = w.by_rarity[c, j], start + d + w.offset[c, j]
+                lack += (word >= 0) & ~within(word, np.maximum(x - slop, begin[doc]), np.minimum(x + slop, begin[doc] + lengths[doc] - 1))
+            hit = lack <= w.may_lack[c]
+            items.append(w.item[c[hit]])
+            docs.append(doc[hit])
+            c, start, doc = c[~hit], start[~hit], doc[~hit]
+    if not items:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = np.unique(np.stack([np.concatenate(items), np.concatenate(docs)]), axis=1)
+    return found[0], found[1]
 
 
 HITS = "row long, n_words long, items array<string>, starts array<long>, ends array<long>, near_items array<string>"
@@ -204,8 +225,8 @@ def match(segments: DataFrame, w: Windows, slop: int = SLOP) -> DataFrame:
                     spans.setdefault(d, []).append((s - int(begin[d]), e - int(begin[d])))
                 for d, i in set(zip(of(start).tolist(), w.item[win].tolist())):
                     items.setdefault(d, []).append(w.names[i])
-                it, at = close_by(w, terms, counts, places, total, slop)
-                for d, i in set(zip(of(at).tolist(), it.tolist())):
+                it, doc = close_by(w, terms, counts, places, lengths, slop)
+                for d, i in zip(doc.tolist(), it.tolist()):
                     near.setdefault(d, []).append(w.names[i])
                 k = range(len(lengths))
                 cols = [seg["rows"], lengths, [sorted(items.get(d, ())) for d in k], [[s for s, _ in spans.get(d, ())] for d in k],

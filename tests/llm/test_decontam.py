@@ -95,3 +95,63 @@ def test_query_matches_brute_force(spark):
     got = QUERIES["op4_benchmark_decontamination"](spark, sf).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got), key=repr) == sorted(
         ((d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in want), key=repr)
+
+
+def brute_near(docs, items, slop=5):
+    out = []
+    for d, t in docs:
+        text, names = tokens(t), set()
+        at = {}
+        for p, x in enumerate(text):
+            at.setdefault(x, []).append(p)
+        for i, it in items:
+            w = tokens(it)
+            for j in range(max(1, len(w) - 9)) if w else ():
+                win = w[j:j + 10]
+                need = -(-len(win) * 4 // 5)
+                if any(sum(any(abs(p - s - k) <= slop for p in at.get(x, ())) for k, x in enumerate(win)) >= need
+                       for s in range(-20, len(text) + 20)):
+                    names.add(str(i))
+                    break
+        out.append((d, sorted(names)))
+    return sorted(out, key=repr)
+
+
+def near(df):
+    return sorted(((r.row, r.near_items) for r in df.collect()), key=repr)
+
+
+def test_proximity_equals_brute_force(spark):
+    prepare(spark)
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(60)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(rng.choice([1, 2, 3, 5, 9, 10, 12, 25])))) for i in range(14)] + [(51, "only here")]
+    docs = []
+    for d in range(60):
+        t = rng.choice(items)[1].split() if d % 2 and d else []
+        for _ in range(rng.randrange(4)):
+            if t:
+                t[rng.randrange(len(t))] = f"new{d}"
+        for _ in range(rng.randrange(3)):
+            t.insert(rng.randrange(len(t) + 1), "pad")
+        docs.append((d, " ".join(say(rng.randrange(12)) + t + say(rng.randrange(12)))) if d else (d, None))
+    d, b = frames(spark, docs, items + [(50, None)])
+    want = brute_near(docs, items)
+    assert sum(map(len, (n for _, n in want))) > 30
+    assert near(D.find(d, b)) == want
+    assert near(D.find(d, b, block_bytes=100)) == want
+
+
+def test_proximity_with_a_word_replaced_and_in_part(spark):
+    prepare(spark)
+    item = "k1 k2 k3 k4 k5 zebra k7 k8 k9 k10"
+    d, b = frames(spark, [(1, "so " + item.replace("zebra", "horse") + " so"), (2, "k1 k2 k3 q1 q2 q3 q4 q5 q6 q7"), (3, "l1 l2 l3 l4 l5 l6 l7 l8 l9 l10 more")],
+                  [(7, item), (8, "x1 x2 x3 x4 " + " ".join(f"l{k}" for k in range(1, 11)) + " x5")])
+    assert near(D.find(d, b)) == [(1, ["7"]), (2, []), (3, ["8"])]
+
+
+def test_proximity_stays_in_one_document(spark):
+    prepare(spark)
+    d, b = frames(spark, [(1, "alpha beta"), (2, "gamma delta")], [(7, "alpha beta gamma")])
+    assert near(D.find(d.coalesce(1), b)) == [(1, []), (2, [])]
