@@ -12,7 +12,8 @@ that needs n has some matched word among any L - n + 1 of its words, so places a
 many of its rarest words only; words that no document holds are missed ones and need no trial.
 
 The benchmark is the stated query set. It is taken in blocks of at most ``BLOCK_BYTES`` of
-text; each block is broadcast and run against all documents, and blocks are united per row.
+text; each block is broadcast and run against all documents. With more than one block the rows are
+numbered once and stored, and blocks are united by that number, never by id.
 
 Null texts have no words, null items match nothing; repeated document rows are judged one by
 one, repeated items count once per item_id. An empty table on either side gives no matches.
@@ -70,15 +71,14 @@ class Windows:
         self.tried = (np.arange(self.size) <= self.may_lack[:, None]) & (np.append(df, 0)[self.by_rarity] > 0)
 
 
-SEGMENT = "rows array<long>, lengths array<long>, terms array<int>, counts array<int>, places binary"
+SEGMENT = "numbers array<long>, rows array<long>, lengths array<long>, terms array<int>, counts array<int>, places binary"
 
 
-def index(docs: DataFrame, row_col: str, text_col: str, vocab: dict[bytes, int]) -> DataFrame:
-    """The stored segments of all documents for the words of ``vocab``."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)
-    src = docs.select(F.col(row_col).alias("row"), text_bytes(text_col).alias("text"))
+def index(src: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
+    """The stored segments of all documents (number, row, text) for the words of ``vocab``."""
+    sent = src.sparkSession.sparkContext.broadcast(vocab)
 
-    def segment(rows, ids):
+    def segment(numbers, rows, ids):
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.full(int(lengths.sum()) + len(ids), -1, np.int32)
         at = 0
@@ -88,25 +88,26 @@ def index(docs: DataFrame, row_col: str, text_col: str, vocab: dict[bytes, int])
         places = np.flatnonzero(flat >= 0).astype(np.int32)
         places = places[np.argsort(flat[places], kind="stable")]
         terms, counts = np.unique(flat[places], return_counts=True)
-        cols = [rows, lengths, terms, counts.astype(np.int32)]
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        cols = [numbers, rows, lengths, terms, counts.astype(np.int32)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays(
             [pa.array([c], pa.list_(k)) for c, k in zip(cols, kinds)] + [pa.array([places.tobytes()], pa.binary())],
-            names=["rows", "lengths", "terms", "counts", "places"])
+            names=["numbers", "rows", "lengths", "terms", "counts", "places"])
 
     def run(batches):
         get = sent.value.get
         for b in batches:
-            rows, ids, held = [], [], 0
-            for row, text in zip(b.column("row").to_pylist(), b.column("text").to_pylist()):
+            numbers, rows, ids, held = [], [], [], 0
+            for number, row, text in zip(*(b.column(c).to_pylist() for c in ("number", "row", "text"))):
                 if rows and held + len(text) > SEGMENT_BYTES:
-                    yield segment(rows, ids)
-                    rows, ids, held = [], [], 0
+                    yield segment(numbers, rows, ids)
+                    numbers, rows, ids, held = [], [], [], 0
+                numbers.append(number)
                 rows.append(row)
                 ids.append(np.array([get(w, -1) for w in words(text)], np.int32))
                 held += len(text)
             if rows:
-                yield segment(rows, ids)
+                yield segment(numbers, rows, ids)
 
     return stored(src.mapInArrow(run, SEGMENT), "postings")
 
@@ -196,7 +197,7 @@ def close_by(w: Windows, terms, counts, places, lengths, slop: int) -> tuple[np.
     return found[0], found[1]
 
 
-HITS = "row long, n_words long, items array<string>, starts array<long>, ends array<long>, near_items array<string>"
+HITS = "number long, row long, n_words long, items array<string>, starts array<long>, ends array<long>, near_items array<string>"
 
 
 def match(segments: DataFrame, w: Windows, slop: int = SLOP) -> DataFrame:
@@ -229,11 +230,11 @@ def match(segments: DataFrame, w: Windows, slop: int = SLOP) -> DataFrame:
                 for d, i in zip(doc.tolist(), it.tolist()):
                     near.setdefault(d, []).append(w.names[i])
                 k = range(len(lengths))
-                cols = [seg["rows"], lengths, [sorted(items.get(d, ())) for d in k], [[s for s, _ in spans.get(d, ())] for d in k],
+                cols = [seg["numbers"], seg["rows"], lengths, [sorted(items.get(d, ())) for d in k], [[s for s, _ in spans.get(d, ())] for d in k],
                         [[e for _, e in spans.get(d, ())] for d in k], [sorted(near.get(d, ())) for d in k]]
-                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)],
-                                                 names=["row", "n_words", "items", "starts", "ends", "near_items"])
+                                                 names=["number", "row", "n_words", "items", "starts", "ends", "near_items"])
 
     return segments.mapInArrow(run, HITS)
 
@@ -241,24 +242,29 @@ def match(segments: DataFrame, w: Windows, slop: int = SLOP) -> DataFrame:
 def find(docs: DataFrame, items: DataFrame, row_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text",
          window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document row: ``row`` (the long in ``row_col``), n_words, items, starts,
-    ends, near_items. With more than one block of items ``row_col`` must be unique."""
+    ends, near_items. Rows that are equal, share ``row_col`` or have none there stay apart."""
     bench = items.select(F.col(item_col).cast("string").alias("item"), text_bytes(text_col).alias("text")).where("item is not null").distinct()
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
+    src = docs.select(F.col(row_col).alias("row"), text_bytes(text_col).alias("text"))
+    if blocks > 1:
+        src = stored(src.withColumn("number", F.monotonically_increasing_id()), "decontam-rows")
+    else:
+        src = src.withColumn("number", F.lit(None).cast("long"))      # nothing to unite
     parts = []
     for k in range(blocks):
         block = bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect() if blocks > 1 else bench.collect()
         w = Windows([(r.item, words(bytes(r.text))) for r in sorted(block)], window)
-        segments = index(docs, row_col, text_col, w.vocab)
+        segments = index(src, w.vocab)
         w.rank(document_frequency(segments, len(w.vocab)))
         parts.append(match(segments, w, slop))
     if blocks == 1:
-        return parts[0]
+        return parts[0].drop("number")
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    both = both.groupBy("row").agg(F.max("n_words").alias("n_words"), flat("items").alias("items"),
+    both = both.groupBy("number").agg(F.first("row").alias("row"), F.max("n_words").alias("n_words"), flat("items").alias("items"),
                                    F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("z"), flat("near_items").alias("near_items"))
     joined = F.aggregate("z", F.array().cast("array<struct<starts:long,ends:long>>"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1).ends >= x.starts),

@@ -155,3 +155,15 @@ def test_proximity_stays_in_one_document(spark):
     prepare(spark)
     d, b = frames(spark, [(1, "alpha beta"), (2, "gamma delta")], [(7, "alpha beta gamma")])
     assert near(D.find(d.coalesce(1), b)) == [(1, []), (2, [])]
+
+
+def test_blocks_of_items_keep_rows_apart(spark):
+    """Equal rows, rows that share an id, and null ids, each a row of its own in both forms."""
+    prepare(spark)
+    docs, items = tables(6)
+    docs += [(103, docs[3][1]), (None, docs[0][1]), (None, docs[3][1]), (None, docs[3][1]), (None, None)]
+    d, b = frames(spark, docs, items)
+    whole, blocks = D.find(d, b), D.find(d, b, block_bytes=400)
+    assert whole.columns == blocks.columns
+    assert rows(blocks) == rows(whole) == brute(docs, items)
+    assert near(blocks) == near(whole)
