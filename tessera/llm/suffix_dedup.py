@@ -1,4 +1,4 @@
-"""Exact substring dedup with longest-previous-factor arrays over distributed suffix order.
+"""Exact substring dedup: equal strings around content anchors, found by hashes (no suffix or LPF array).
 
 Asked for: every place whose next ``length`` bytes also start somewhere else. A suffix array of
 the whole corpus would be eight times its size, so suffixes are first thinned by content:
@@ -13,9 +13,9 @@ the whole corpus would be eight times its size, so suffixes are first thinned by
    or more settle all their strings at once. Grams with one context are done; where a gram has
    several, one copy of each context goes on.
 3. Contexts that go on are cut out of the texts and shuffled by gram. Of each group, the
-   suffixes whose first ``length`` bytes have a hash that occurs twice are put in suffix order
-   (by those bytes); in that order previous and next smaller positions give the longest
-   previous factor of each suffix, and next and previous larger ones its mirror image.
+   strings of ``length`` bytes whose 64-bit hash occurs twice are grouped by it and their bytes
+   compared (ordered by bytes only after a collision); the smallest and largest place of a
+   group say which strings have an earlier and a later match.
    A gram with more than ``GROUP_CONTEXTS`` contexts isn't gathered: its strings go to a second
    shuffle as (128-bit hash, place) rows and are streamed.
 4. Each document unites what was found for it and drops the covered bytes.
