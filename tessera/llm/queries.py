@@ -8,20 +8,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import binary_output, decontam, licenses, packing, pitman_yor, quality, secrets, simhash, suffix_dedup, warc
+from tessera.llm import (binary_output, decontam, ego_join, licenses, merkle, packing, pitman_yor, quality, secrets, simhash, spelling,
+                         suffix_dedup, warc)
 from tessera.llm.common import new_dir, prepare, read
+from tessera.llm.oracles import EGO_SQL, MERKLE_SQL, SPELLING_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(fn):
+def query(fn, sql: str | None = None):
+    if isinstance(fn, str):
+        return functools.partial(query, sql=fn)
+
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         prepare(spark)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = run
+    if sql is not None:
+        ORACLE[fn.__name__] = sql
     return fn
 
 
@@ -93,3 +100,24 @@ def op3_lm_scoring(spark, sf_dir):
 def op9_suffix_array_dedup(spark, sf_dir):
     found = suffix_dedup.remove(read(spark, sf_dir, "documents"), keep_first=False)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("span_starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query(SPELLING_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+@query(MERKLE_SQL)
+def op12_merkle_manifest(spark, sf_dir):
+    text = F.col("text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    found = merkle.manifest(read(spark, sf_dir, "documents"), tampered=F.when(hit, merkle.lowered(text)).otherwise(text))
+    out = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest("steps").alias("proof_sha256"),
+                       merkle.folded(F.col("seen"), "steps").alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query(EGO_SQL)
+def op13_embedding_near_dedup(spark, sf_dir):
+    return ego_join.near_duplicates(read(spark, sf_dir, "embeddings"))
