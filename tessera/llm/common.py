@@ -47,6 +47,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or with underscores before it, so that it differs from all ``columns`` (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a qualified URI, for use inside tasks."""
     if uri.startswith("file:"):
@@ -87,7 +95,7 @@ def _numbered_blocks(batches: Iterator[pa.RecordBatch], columns: list[str], bloc
 class Blocks:
     """Rows dealt once into numbered blocks, each stored as one Parquet file. Every pass reads those
     files, so a block keeps its number and rows however Spark splits the input between passes, and
-    what is kept by block meets its rows again without a shuffle."""
+    what is kept by block meets its rows again without a shuffle. The list of files is a stored table."""
 
     def __init__(self, src: DataFrame, name: str, block_bytes: int):
         self.spark = src.sparkSession
@@ -105,39 +113,53 @@ class Blocks:
                 yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([file]), pa.array([sum(map(len, cols["text"]))])],
                                                  names=["number", "file", "size"])
 
-        rows = src.select(*columns, "text").mapInArrow(deal, "number long, file string, size long").collect()
-        self.files = sorted((r.number, r.file) for r in rows)        # one a block
-        self.text_bytes = sum(r.size for r in rows)
+        self.files = stored(src.select(*columns, "text").mapInArrow(deal, "number long, file string, size long"), f"{name}-files")
+        self.count, self.text_bytes = self.files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         self.root = root
 
-    def map(self, fn, schema) -> DataFrame:
-        """``fn`` over (number, lists by column) of the blocks, one block a task."""
-        files, root, columns = self.files, self.root, [*self.columns, "text"]
+    def map(self, fn, schema, kept: tuple[Kept, ...] = ()) -> DataFrame:
+        """``fn`` over (number, lists by column, *tables) of the blocks, one block a task; ``tables`` is
+        what each of ``kept`` holds for the block (None if it holds nothing)."""
+        root, columns, folders = self.root, [*self.columns, "text"], [k.folder for k in kept]
+        files = self.files.drop("size")
+        for i, k in enumerate(kept):
+            rows = k.rows.select(F.col("block").alias("number"), F.col("n").alias(f"n{i}"))
+            files = files.join(rows, "number", "left").fillna(0, [f"n{i}"])
 
         def run(batches):
             fs, _ = open_fs(root)
 
             def blocks():
                 for b in batches:
-                    for i in b.column("id").to_pylist():
-                        number, file = files[i]
-                        t = pq.read_table(file, filesystem=fs, partitioning=None)
-                        yield number, {c: t[c].to_pylist() for c in columns}
+                    for r in b.to_pylist():
+                        t = pq.read_table(r["file"], filesystem=fs, partitioning=None)
+                        yield r["number"], {c: t[c].to_pylist() for c in columns}, *(
+                            block_table(f, r["number"], r[f"n{i}"]) for i, f in enumerate(folders))
 
             yield from fn(blocks())
 
-        return self.spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, schema)
+        return files.repartition(max(1, self.count)).mapInArrow(run, schema)
+
 
+class Kept:
+    """``df`` written to a folder of the shared scratch, one subfolder for each value of ``block``, and
+    the stored number of rows of each block, which readers hold against what they find."""
 
-def kept_by_block(df: DataFrame, name: str) -> str:
-    """Write ``df`` to a folder of the shared scratch, one subfolder for each value of ``block``."""
-    folder = new_dir(df.sparkSession, name)
-    df.repartition("block").write.partitionBy("block").parquet(folder)
-    return folder
+    def __init__(self, df: DataFrame, name: str):
+        self.folder = new_dir(df.sparkSession, name)
+        df.repartition("block").write.partitionBy("block").parquet(self.folder)
+        written = df.sparkSession.read.schema(df.schema).parquet(self.folder)
+        self.rows = stored(written.groupBy(F.col("block").cast("long").alias("block")).agg(F.count("*").alias("n")), f"{name}-rows")
 
 
-def block_table(fs: pafs.FileSystem, root: str, number: int) -> pa.Table | None:
-    """What ``kept_by_block`` wrote for one block, or None."""
-    folder = pafs.FileSelector(f"{root}/block={number}", allow_not_found=True)
-    files = sorted(f.path for f in fs.get_file_info(folder) if f.path.endswith(".parquet"))
-    return pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files]) if files else None
+def block_table(folder: str, number: int, rows: int) -> pa.Table | None:
+    """What ``Kept`` wrote for one block, or None if that is nothing. Raises if rows are missing."""
+    if not rows:
+        return None
+    fs, root = open_fs(folder)
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/block={number}"))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    table = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files])
+    if table.num_rows != rows:
+        raise RuntimeError(f"block {number} in {folder} has {table.num_rows} rows, {rows} were written")
+    return table

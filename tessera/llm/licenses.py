@@ -117,10 +117,12 @@ class RareIndex:
         return places, scores
 
 
-def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE_PHRASES) -> DataFrame:
-    """``docs`` with a struct column ``license``: n_words, n_base, first_word, last_word,
+def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE_PHRASES,
+         out_col: str = "license") -> DataFrame:
+    """``docs`` with a struct column ``out_col`` (one of that name is replaced): n_words, n_base, first_word, last_word,
     base_labels and labels (sorted arrays), score (of the best label; 0 without one)."""
     index = RareIndex(templates, base)
+    docs = docs.drop(out_col)
     only = docs.select(text_bytes(text_col).alias("text"))
 
     def count(batches):
@@ -134,7 +136,7 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
     sums = {r.word: r.n for r in only.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     index.weigh(np.array([sums.get(i, 0) for i in range(len(index.vocab))], np.int64), sums.get(-1, 0))
     schema = ("struct<n_words:long,n_base:long,first_word:long,last_word:long,base_labels:array<string>,labels:array<string>,score:double>")
-    out = docs.withColumn("license", F.lit(None).cast(schema))
+    out = docs.withColumn(out_col, F.lit(None).cast(schema))
 
     def run(batches):
         get = index.vocab.get
@@ -154,6 +156,6 @@ def scan(docs: DataFrame, text_col: str = "text", templates: tuple[Template, ...
             kinds = [pa.int64()] * 4 + [pa.list_(pa.string())] * 2 + [pa.float64()]
             s = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
                                            names=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, "license"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out_col])
 
     return docs.mapInArrow(run, out.schema)

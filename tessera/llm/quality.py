@@ -2,13 +2,14 @@
 boilerplate, and the share of content decides whether a document stays.
 
 Training reads a bounded sample of labelled documents (``SAMPLE_DOCS`` of each label, by hash
-order, texts of at most ``SAMPLE_CHARS``): every line of a good document counts as content,
+order, one text an id, of at most ``SAMPLE_CHARS`` characters and ``SAMPLE_LINES`` lines): every line of a good document counts as content,
 every line of a bad one as boilerplate. Decoding covers every line of every document: scores
 of all lines of a batch come from one matrix product, Viterbi runs through each document.
 With no labelled rows of either kind all lines are content.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words and fail the base rule.
-Rows, repeated ones too, are judged one by one; other columns are carried along.
+Rows, repeated ones too, are judged one by one; other columns are carried along, but for one of the
+name of the output column, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_DOCS = 400         # labelled documents of each label used for fitting
 SAMPLE_CHARS = 20_000
+SAMPLE_LINES = 2_000
 MIN_CONTENT = 0.4         # share of word characters in content lines that keeps a document
 MIN_WORDS = 50            # fixed value
 MAX_REPEAT_PERCENT = 50   # fixed value
@@ -145,10 +147,14 @@ class LineField:
         return np.where(total > 0, np.add.reduceat(chars * content, first) / np.maximum(total, 1), 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> LineField:
-    """A field fitted on at most ``sample_docs`` documents of each label (bounded, so driver-side)."""
-    labelled = (docs.select("doc_id", "text").where(F.length("text").between(1, sample_chars))
-                .join(F.broadcast(_chosen(labels, sample_docs)), "doc_id"))
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS,
+        sample_lines: int = SAMPLE_LINES) -> LineField:
+    """A field fitted on at most ``sample_docs`` documents of each label (bounded, so driver-side). Of
+    rows that share a chosen id, however many, one text goes to the driver (the smallest by hash)."""
+    short = F.length("text").between(1, sample_chars) & (F.size(F.split("text", "\n")) <= sample_lines)
+    labelled = (docs.select("doc_id", "text").where(short).join(F.broadcast(_chosen(labels, sample_docs)), "doc_id")
+                .groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+                .select("doc_id", "quality", "t.text"))
     feats, ys = [], []
     for r in sorted(labelled.collect(), key=lambda r: (r.quality, r.doc_id, r.text)):
         f, _, chars = line_features([r.text.encode()])
@@ -195,9 +201,11 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judge(docs: DataFrame, field: LineField, text_col: str = "text", min_content: float = MIN_CONTENT) -> DataFrame:
-    """``docs`` with a struct column ``quality_rules``: the counts, content_share, base_failed, kept."""
-    out = docs.withColumn("quality_rules", F.lit(None).cast(
+def judge(docs: DataFrame, field: LineField, text_col: str = "text", min_content: float = MIN_CONTENT,
+          out_col: str = "quality_rules") -> DataFrame:
+    """``docs`` with a struct column ``out_col``: the counts, content_share, base_failed, kept."""
+    docs = docs.drop(out_col)
+    out = docs.withColumn(out_col, F.lit(None).cast(
         "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ",content_share:double,base_failed:boolean,kept:boolean>"))
 
     def run(batches):
@@ -208,6 +216,6 @@ def judge(docs: DataFrame, field: LineField, text_col: str = "text", min_content
             failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
             cols = [*counts.T, share, failed, ~failed & (share >= min_content)]
             s = pa.StructArray.from_arrays([pa.array(c) for c in cols], names=[*COUNTS, "content_share", "base_failed", "kept"])
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, "quality_rules"])
+            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out_col])
 
     return docs.mapInArrow(run, out.schema)

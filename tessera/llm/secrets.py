@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_bytes
+from tessera.llm.common import free_name, stored, text_bytes
+from tessera.plans.hints import bounded_broadcast
 
 
 @dataclass(frozen=True)
@@ -99,9 +100,9 @@ def scan(text: bytes, compiled, low: bytes | None = None) -> list[dict]:
 _TYPE = pa.list_(pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]))
 
 
-def address(versions: DataFrame, text_col: str = "text") -> DataFrame:
-    """``versions`` and the content address (SHA-256) of its text."""
-    return versions.withColumn("__blob", F.unhex(F.sha2(text_bytes(text_col), 256)))
+def address(text_col: str = "text"):
+    """Content address (SHA-256) of a text column."""
+    return F.unhex(F.sha2(text_bytes(text_col), 256))
 
 
 def _one_per_task(batches):
@@ -131,7 +132,7 @@ def update_ledger(versions: DataFrame, ledger: str, packs: tuple[RulePack, ...]
     ledger as it was)."""
     spark = versions.sparkSession
     by_id = {p.id: _compiled(p) for p in packs}
-    blobs = address(versions, text_col).select(F.col("__blob").alias("blob"), text_bytes(text_col).alias("text"))
+    blobs = versions.select(address(text_col).alias("blob"), text_bytes(text_col).alias("text"))
     seen = (read_ledger(spark, ledger).where(F.col("pack").isin(*by_id))
             .groupBy("blob").agg(F.collect_set("pack").alias("packs")))       # at most one entry a pack
     wanted = F.array(*map(F.lit, by_id))
@@ -162,19 +163,24 @@ def findings(spark, ledger: str, packs: tuple[RulePack, ...] = PACKS) -> DataFra
 
 def scan_versions(versions: DataFrame, ledger: str, packs: tuple[RulePack, ...] = PACKS, text_col: str = "text") -> DataFrame:
     """``versions`` without its text, with ``blob`` and ``spans`` (empty if none), after bringing
-    the ledger up to date."""
+    the ledger up to date. Columns of these two names are replaced."""
     update_ledger(versions, ledger, packs, text_col)
-    found = findings(versions.sparkSession, ledger, packs).withColumnRenamed("spans", "__spans")
-    paths = address(versions, text_col).drop(text_col, "spans", "blob").withColumnRenamed("__blob", "blob")
-    return (paths.join(found, "blob", "left")
-            .withColumn("spans", F.coalesce("__spans", F.array().cast(SPAN))).drop("__spans"))
+    found = findings(versions.sparkSession, ledger, packs)
+    paths = versions.withColumn("blob", address(text_col)).drop(text_col, "spans")
+    return paths.join(found, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
 def redact(docs: DataFrame, ledger: str, packs: tuple[RulePack, ...] = PACKS, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span (overlapping ones merged) replaced by ``mark``; texts without
     findings, nulls included, stay as they are."""
-    found = findings(docs.sparkSession, ledger, packs).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = address(docs, text_col).join(found, "__blob", "left")
+    blob = free_name(docs.columns, "blob")
+    spans = free_name([*docs.columns, blob], "spans")
+    found = stored(findings(docs.sparkSession, ledger, packs).select(F.col("blob").alias(blob), F.col("spans").alias(spans)), "secret-findings")
+    # While the addresses with findings fit the bound, they are sent to the rows: clean texts are not
+    # shuffled, and the few others meet their spans. Beyond it all rows meet them in one join.
+    dirty = found.select(blob)
+    few = bounded_broadcast(dirty)
+    docs_at = docs.withColumn(blob, address(text_col))
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -187,6 +193,8 @@ def redact(docs: DataFrame, ledger: str, packs: tuple[RulePack, ...] = PACKS, te
             return "".join(out) + t[last:]
         return text.combine(spans, lambda t, ss: t if ss is None or t is None else one(t, ss))
 
-    dirty = F.col("__spans").isNotNull()
-    changed = joined.where(dirty).withColumn(text_col, cut(F.col(text_col), F.col("__spans")))
-    return joined.where(~dirty).select(docs.columns).union(changed.select(docs.columns))
+    if few is dirty:
+        joined = docs_at.join(found, blob, "left")
+        return joined.withColumn(text_col, cut(F.col(text_col), F.col(spans))).select(docs.columns)
+    changed = docs_at.join(few, blob, "left_semi").join(found, blob).withColumn(text_col, cut(F.col(text_col), F.col(spans)))
+    return docs_at.join(few, blob, "left_anti").select(docs.columns).union(changed.select(docs.columns))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Blocks, block_table, kept_by_block, open_fs, stored, text_bytes
+from tessera.llm.common import Blocks, Kept, stored, text_bytes
 
 LENGTH = 400                   # fixed value
 GRAM = 200
@@ -195,11 +195,9 @@ def _settle(batches):
 CUT = "gram long, block long, place long, reach int, bytes binary"
 
 
-def _cut_contexts(src: Blocks, settled: str, length: int) -> DataFrame:
+def _cut_contexts(src: Blocks, settled: Kept, length: int) -> DataFrame:
     def run(blocks):
-        fs, root = open_fs(settled)
-        for number, cols in blocks:
-            t = block_table(fs, root, number)
+        for number, cols, t in blocks:
             if t is None:
                 continue
             t = t.filter(pa.compute.equal(t["kind"], ASK))
@@ -211,7 +209,7 @@ def _cut_contexts(src: Blocks, settled: str, length: int) -> DataFrame:
                                                   *(part[c].combine_chunks() for c in ("place", "reach")), pa.array(cut, pa.binary())],
                                                  names=["gram", "block", "place", "reach", "bytes"])
 
-    return src.map(run, CUT)
+    return src.map(run, CUT, (settled,))
 
 
 def previous_factors(suffix_order: np.ndarray, heads: np.ndarray, position: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,10 +366,10 @@ def _named(batches):
         carry, told = [c[last] for c in x], (told | many)[last]
 
 
-def matches(src: Blocks, length: int = LENGTH, gram: int = GRAM) -> list[str]:
-    """Folders, by block, of the found ranges of starts: place (document in block << 32 | start),
+def matches(src: Blocks, length: int = LENGTH, gram: int = GRAM) -> tuple[Kept, Kept]:
+    """Kept by block: the found ranges of starts: place (document in block << 32 | start),
     reach (its low 16 bits: further starts), kind (EARLIER, LATER; other kinds are not matches)."""
-    settled = kept_by_block(_anchor_rows(src, length, gram).repartition("gram")
+    settled = Kept(_anchor_rows(src, length, gram).repartition("gram")
                             .sortWithinPartitions("gram", "context", "block", "place").mapInArrow(_settle, FOUND), "suffix-settled")
     compared = stored(_cut_contexts(src, settled, length).repartition("gram").sortWithinPartitions("gram")
                       .mapInArrow(_resolve(length), "block long, place long, reach int, kind int, name long, name2 long"), "suffix-compared")
@@ -379,7 +377,7 @@ def matches(src: Blocks, length: int = LENGTH, gram: int = GRAM) -> list[str]:
     named = (compared.where(F.col("kind") == NAME).select("name", "name2", "block", "place")
              .repartition("name", "name2").sortWithinPartitions("name", "name2", "block", "place")
              .mapInArrow(_named, "block long, place long, reach int, kind int"))
-    return [settled, kept_by_block(plain.union(named), "suffix-found")]
+    return settled, Kept(plain.union(named), "suffix-found")
 
 
 def covered(n_bytes: int, starts: np.ndarray, reach: np.ndarray, length: int) -> np.ndarray:
@@ -397,7 +395,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     bytes. ``keep_first``: drop only strings that start earlier somewhere; else every repeated one."""
     src = docs.select(F.col(id_col).alias("__id"), text_bytes(text_col).alias("text"))
     blocks = Blocks(src, "suffix-blocks", BLOCK_BYTES)
-    folders = matches(blocks, length, gram)
+    found = matches(blocks, length, gram)
     kinds = (EARLIER,) if keep_first else (EARLIER, LATER)
     id_type = src.limit(0).toArrow().schema.field("__id").type
     schema = (f"__id {src.schema['__id'].dataType.simpleString()}, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept_sha256 string"
@@ -406,9 +404,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     types = [id_type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string(), pa.binary()]
 
     def run(dealt):
-        opened = [open_fs(f) for f in folders]
-        for number, cols in dealt:
-            tables = [t.select(["place", "reach", "kind"]) for t in (block_table(fs, root, number) for fs, root in opened) if t is not None]
+        for _, cols, *tables in dealt:
+            tables = [t.select(["place", "reach", "kind"]) for t in tables if t is not None]
             place, reach, kind = (np.concatenate([t[c].to_numpy() for t in tables] or [np.zeros(0, np.int64)]).astype(np.int64) for c in ("place", "reach", "kind"))
             on = np.isin(kind, kinds)
             place, reach = place[on], reach[on] & 0xFFFF
@@ -431,4 +428,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return blocks.map(run, schema).withColumnRenamed("__id", id_col)
+    return blocks.map(run, schema, found).withColumnRenamed("__id", id_col)

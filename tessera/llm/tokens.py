@@ -33,13 +33,17 @@ _TOGETHER = 1 << 12        # parts encoded in one call
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit integers. Strings of special tokens inside a text are
-    ordinary text; no special tokens are added."""
+    """Ids as little-endian unsigned 32-bit integers, as the library gives them by default: the
+    string of a special token inside a text is that token; none are added. Texts with such a string are encoded by the
+    library whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")     # a task has one core
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = True                 # parts hold none
+        self._whole = Tokenizer.from_file(path)
+        added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
         self._line_end, = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -98,10 +102,13 @@ class Encoder:
                 upto += 1
             column = pa.array(texts[at:upto], pa.large_string())
             odd = pc.match_substring_regex(column, _NOT_PLAIN).to_numpy(zero_copy_only=False)
-            plain = np.flatnonzero(~odd)
+            special = np.array([self._special.search(t) is not None for t in texts[at:upto]], bool)
+            plain = np.flatnonzero(~odd & ~special)
             for i, x in zip((plain + at).tolist(), self._gather(column.take(pa.array(plain)), [texts[i] for i in (plain + at).tolist()])):
                 out[i] = x
-            for i in (np.flatnonzero(odd) + at).tolist():
+            for i in (np.flatnonzero(special) + at).tolist():
+                out[i] = np.array(self._whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            for i in (np.flatnonzero(odd & ~special) + at).tolist():
                 parts = _SAFE_CUT.split(texts[i]) if _ODD.search(texts[i]) else _PARTS.findall(texts[i])
                 out[i] = b"".join(self._ids(parts))
             at = upto
