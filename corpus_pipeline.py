@@ -2,8 +2,9 @@
 scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of ``documents``.
-Nulls, empty texts, repeated rows and extra columns are carried as each operator defines; an
-empty table passes through as one.
+Nulls, empty texts and repeated rows are carried as each operator defines. Extra columns of any
+name keep their values: what a stage adds for itself takes a name that is free. An empty table
+passes through as one.
 """
 
 from __future__ import annotations
@@ -12,39 +13,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, packing, quality, secrets, simhash
-from tessera.llm.common import new_dir, prepare, read, stored
+from tessera.llm.common import free_name, new_dir, prepare, read, stored
 
-ROW = "__row"
 
-
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` numbered once and stored: later passes read the numbers, however they are split."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` numbered once and stored, and the number's column: later passes read the numbers,
+    however they are split."""
+    row = free_name(docs.columns, "row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows"), row
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rule or hold too little content."""
     prepare(spark)
     field = quality.fit(docs, read(spark, sf_dir, "labels"))
-    return quality.judge(docs, field).where("quality_rules.kept").select(docs.columns)
+    verdict = free_name(docs.columns, "quality_rules")
+    return quality.judge(docs, field, out_col=verdict).where(F.col(verdict)["kept"]).select(docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component: its smallest doc_id (null last), then its first row."""
     prepare(spark)
-    rows = _numbered(docs)
-    found = simhash.near_duplicates(rows, extra=(ROW,))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(ROW).alias("row")))
-    kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias(ROW))
-    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").select(docs.columns)
+    rows, row = _numbered(docs)
+    found = simhash.near_duplicates(rows.select("doc_id", "text", F.col(row).alias("row")), extra=("row",))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
+    kept = found.groupBy("group").agg(first.alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold an exact window of a benchmark item."""
     prepare(spark)
-    rows = _numbered(docs)
-    hit = decontam.find(rows, read(spark, sf_dir, "benchmark"), row_col=ROW).where(F.size("items") > 0).select(F.col("row").alias(ROW))
-    return rows.join(hit.hint("shuffle_hash"), ROW, "left_anti").select(docs.columns)
+    rows, row = _numbered(docs)
+    hit = decontam.find(rows, read(spark, sf_dir, "benchmark"), row_col=row).where(F.size("items") > 0).select(F.col("row").alias(row))
+    return rows.join(hit.hint("shuffle_hash"), row, "left_anti").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
