@@ -157,9 +157,9 @@ def block_table(folder: str, number: int, rows: int) -> pa.Table | None:
     if not rows:
         return None
     fs, root = open_fs(folder)
-    found = fs.get_file_info(pafs.FileSelector(f"{root}/block={number}"))
-    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
-    table = pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None) for f in files])
-    if table.num_rows != rows:
-        raise RuntimeError(f"block {number} in {folder} has {table.num_rows} rows, {rows} were written")
-    return table
+    found = fs.get_file_info(pafs.FileSelector(f"{root}/block={number}", allow_not_found=True))
+    tables = [pq.read_table(f, filesystem=fs, partitioning=None) for f in sorted(f.path for f in found) if f.endswith(".parquet")]
+    n = sum(t.num_rows for t in tables)
+    if n != rows:
+        raise RuntimeError(f"block {number} in {folder} has {n} rows, {rows} were written")
+    return pa.concat_tables(tables)

@@ -29,7 +29,8 @@ _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?=[ \n])")
 _PARTS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
 _TAIL = ".,;:!?"
-_TOGETHER = 1 << 12        # parts encoded in one call
+_ENDS = frozenset(_TAIL)
+_TOGETHER = 1 << 8         # parts encoded in one call
 
 
 class Encoder:
@@ -54,23 +55,32 @@ class Encoder:
             self._old, self._new = self._new, {}
         new, old = self._new, self._old
         out = list(map(new.get, parts))
-        missing = [i for i, x in enumerate(out) if x is None]
-        split = {}
-        for i in missing:
+        wanted, open_parts = {}, []
+        for i in [i for i, x in enumerate(out) if x is None]:
             p = parts[i]
             if p in old:
-                new[p] = old[p]
+                out[i] = new[p] = old[p]
                 continue
-            word = p.rstrip(_TAIL)
-            split[p] = (word, p[len(word):]) if len(word) < len(p) and word and _WORD.match(word[-1]) else (p, "")
-        self._encode(list(dict.fromkeys(x for pair in split.values() for x in pair if x and x not in new)))
-        for p, (word, tail) in split.items():
+            word = p.rstrip(_TAIL) if p[-1:] in _ENDS else p
+            if word == p or not word or not _WORD.match(word[-1]):
+                wanted[p] = None
+                open_parts.append((i, p, p, ""))
+                continue
+            tail = p[len(word):]
+            for x in (word, tail):
+                if x not in new:
+                    if x in old:
+                        new[x] = old[x]
+                    else:
+                        wanted[x] = None
+            open_parts.append((i, p, word, tail))
+        new[""] = b""
+        wanted.pop("", None)
+        self._encode(list(wanted))
+        for i, p, word, tail in open_parts:
             if tail:
                 new[p] = new[word] + new[tail]
-            elif not p:
-                new[p] = b""
-        for i in missing:
-            out[i] = new[parts[i]]
+            out[i] = new[p]
         return out
 
     def _encode(self, parts: list[str]) -> None:
@@ -92,12 +102,19 @@ class Encoder:
             self._new[p] = np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text."""
+        """Ids of each text; equal texts of a call are encoded once."""
+        distinct = list(dict.fromkeys(texts))
+        if len(distinct) < len(texts):
+            ids = dict(zip(distinct, self._encode_texts(distinct)))
+            return [ids[t] for t in texts]
+        return self._encode_texts(texts)
+
+    def _encode_texts(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         at = 0
         while at < len(texts):                       # bounded characters at a time
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 22):
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= 1 << 23):
                 size += len(texts[upto])
                 upto += 1
             column = pa.array(texts[at:upto], pa.large_string())

@@ -51,8 +51,14 @@ def test_license_column_is_replaced(spark):
     assert mine.license == "mine" and mine.found.n_words is not None
 
 
+def with_secrets(spark):
+    docs = read(spark, SF, "documents").select("doc_id", "text")
+    leak = F.when(F.col("doc_id") % 20 == 0, F.concat("text", F.lit(" password: hunter2hunter2 end"))).otherwise(F.col("text"))
+    return stable(spark, docs.withColumn("text", leak))
+
+
 def test_redaction_beyond_the_broadcast_bound(spark, monkeypatch):
-    docs = read(spark, SF, "documents")
+    docs = with_secrets(spark)
     ledger = new_dir(spark, "ledger")
     secrets.update_ledger(docs.select("text"), ledger)
     want = {r.doc_id: r.text for r in secrets.redact(docs, ledger).collect()}
@@ -62,7 +68,7 @@ def test_redaction_beyond_the_broadcast_bound(spark, monkeypatch):
 
 
 def test_clean_texts_are_not_shuffled(spark):
-    docs = read(spark, SF, "documents")
+    docs = with_secrets(spark)
     ledger = new_dir(spark, "ledger")
     secrets.update_ledger(docs.select("text"), ledger)
     plan = secrets.redact(docs, ledger)._jdf.queryExecution().optimizedPlan().toString()
