@@ -27,7 +27,7 @@ _ODD = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), _O
 _NOT_PLAIN = rf"[ \n\t][ \n]|[{_ODD_CLASS}]"
 _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?=[ \n])")
 _PARTS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
-_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]")
+_LETTERS = frozenset(chr(c) for c in range(0x41, 0x250) if chr(c).isalpha() and (c < 0x80 or c >= 0xc0))
 _TAIL = ".,;:!?"
 _ENDS = frozenset(_TAIL)
 _TOGETHER = 1 << 8         # parts encoded in one call
@@ -48,43 +48,45 @@ class Encoder:
         self._line_end, = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {}       # runs of punctuation behind a letter
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part; those not kept are encoded, each once, a word apart from its punctuation."""
+        """Ids of each part. A word's ids and those of the punctuation behind it are kept apart; what is not
+        kept is encoded, each once."""
         if len(self._new) > KEPT_PARTS:
             self._old, self._new = self._new, {}
-        new, old = self._new, self._old
-        out = list(map(new.get, parts))
-        wanted, open_parts = {}, []
-        for i in [i for i, x in enumerate(out) if x is None]:
-            p = parts[i]
-            if p in old:
-                out[i] = new[p] = old[p]
-                continue
-            word = p.rstrip(_TAIL) if p[-1:] in _ENDS else p
-            if word == p or not word or not _WORD.match(word[-1]):
-                wanted[p] = None
-                open_parts.append((i, p, p, ""))
-                continue
-            tail = p[len(word):]
-            for x in (word, tail):
-                if x not in new:
-                    if x in old:
-                        new[x] = old[x]
-                    else:
-                        wanted[x] = None
-            open_parts.append((i, p, word, tail))
+        new, old, tails = self._new, self._old, self._tails
+        words = [p.rstrip(_TAIL) if p[-1:] in _ENDS else p for p in parts]
+        cut = [i for i, (w, p) in enumerate(zip(words, parts)) if len(w) < len(p)]
+        for i in cut:
+            if words[i][-1:] not in _LETTERS:              # the punctuation may belong to what stands before it
+                words[i] = parts[i]
+        out = list(map(new.get, words))
+        missing = [i for i, x in enumerate(out) if x is None]
+        wanted = {}
+        for i in missing:
+            w = words[i]
+            x = old.get(w)
+            if x is None:
+                wanted[w] = None
+            else:
+                out[i] = new[w] = x
+        ends = {p[len(w):]: None for p, w in ((parts[i], words[i]) for i in cut) if len(w) < len(p)}
         new[""] = b""
         wanted.pop("", None)
-        self._encode(list(wanted))
-        for i, p, word, tail in open_parts:
-            if tail:
-                new[p] = new[word] + new[tail]
-            out[i] = new[p]
+        self._encode(list(wanted), new)
+        self._encode([e for e in ends if e not in tails], tails)
+        for i in missing:
+            if out[i] is None:
+                out[i] = new[words[i]]
+        for i in cut:
+            n = len(words[i])
+            if n < len(parts[i]):
+                out[i] += tails[parts[i][n:]]
         return out
 
-    def _encode(self, parts: list[str]) -> None:
-        """Encode parts by the library, many at once: a line end between two parts is a token of its
+    def _encode(self, parts: list[str], into: dict[str, bytes]) -> None:
+        """Encode parts ``into`` a table by the library, many at once: a line end between two parts is a token of its
         own, and its id occurs in no part without a line end."""
         alone = [p for p in parts if "\n" in p or p[-1] in " \t" or _ODD.search(p)]
         aside = set(alone)
@@ -97,9 +99,9 @@ class Encoder:
                 raise RuntimeError("a part ran into its neighbour")
             lo = [0, *(cuts + 1).tolist()]
             raw = ids.tobytes()
-            self._new.update(zip(some, (raw[4 * a:4 * b] for a, b in zip(lo, [*cuts.tolist(), len(ids)]))))
+            into.update(zip(some, (raw[4 * a:4 * b] for a, b in zip(lo, [*cuts.tolist(), len(ids)]))))
         for p in alone:
-            self._new[p] = np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+            into[p] = np.array(self._tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; equal texts of a call are encoded once."""
