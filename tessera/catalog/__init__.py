@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-_MODULES = ["text", "retrieval", "lm", "metrics", "bytes", "trainset", "codec", "media", "streams", "io"]
+_MODULES = ["text", "retrieval", "lm", "metrics", "bytes", "trainset", "codec", "media", "streams", "io",
+            "index", "sqltables"]
 
 
 def register(name: str, sql: str | None = None):

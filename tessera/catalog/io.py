@@ -14,9 +14,14 @@ from tessera.operators import patches as P
 from tessera.operators import retrieval as R
 from tessera.session import scratch_path, stored, table
 from tessera.sources import files as FS
+from tessera.sources import pieces as PC
 from tessera.sources import tables as TB
 
 
+PIECE_PATCHES = 64       # small, so that pages have several pieces
+READ_BYTES = 1500
+
+
 def _scratch(spark, name):
     return scratch_path(spark, name)
 
@@ -72,11 +77,9 @@ def q_write_payload(spark, sf):
         F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.encode("html", "UTF-8").alias("content"))
     patches = P.to_patches(pages, "path", "content", ext_value="html")
-    data = F.filter(F.array_sort(F.collect_list(F.struct("patch_no", "patch"))), lambda s: s["patch_no"] > 0)
-    symbols = patches.groupBy("path").agg(F.flatten(F.transform(data, lambda s: s["patch"])).alias("symbols"))
     out = _scratch(spark, "payload")
-    TB.write_payload(symbols, out)
-    back = spark.read.parquet(out)
+    PC.write_pieces(P.patch_pieces(patches, "path", PIECE_PATCHES), out)
+    back = PC.read_pieces(spark, out, piece_bytes=READ_BYTES).groupBy("path").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY piece_no)").alias("content"))
     return back.select("path", F.octet_length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
 
@@ -95,11 +98,11 @@ def q_append_metrics_log(spark, sf):
 _NAMED_SQL = "SELECT md5(text) AS content_md5, CAST(octet_length(encode(text)) AS BIGINT) AS length"
 
 
-def _document_files(spark, sf, name):
+def _document_files(spark, sf, name, separator="/"):
     """Documents written as one text file each: <lang>/<source>_<doc_id>.txt."""
     out = _scratch(spark, name)
     docs = table(spark, sf, "documents")
-    named = docs.select(F.concat("lang", F.lit("/"), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+    named = docs.select(F.concat("lang", F.lit(separator), "source", F.lit("_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
                         F.encode("text", "UTF-8").alias("content"))
     FS.write_files(named, out, "name", "content").write.format("noop").mode("overwrite").save()
     return out
@@ -113,9 +116,9 @@ def q_scan_text_files(spark, sf):
                     F.md5("text").alias("content_md5"), F.length("text").alias("n_chars"))
 
 
-@register("scan_binary_glob", f"""{_NAMED_SQL}, source || '.txt' AS label, 'txt' AS ext FROM documents WHERE lang = 'en'""")
+@register("scan_binary_glob", f"""{_NAMED_SQL}, lang || '-' || source || '.txt' AS label, 'txt' AS ext FROM documents""")
 def q_scan_binary_glob(spark, sf):
-    f = FS.read_binary_files(spark, _document_files(spark, sf, "binary_files") + "/en", glob="*.txt", recursive=False)
+    f = FS.read_binary_files(spark, _document_files(spark, sf, "binary_files", "-"), glob="*.txt", recursive=False)
     return f.select(F.md5("content").alias("content_md5"), "length", F.substring_index("label", "/", -1).alias("label"), "ext")
 
 

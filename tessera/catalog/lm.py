@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
-from tessera.catalog.sqlparts import MODEL, RAG_CONTEXT, doc_bits_sql, pairs_sql
+from tessera.catalog.sqlparts import MODEL, RAG_CONTEXT, backoff_price_sql, backoff_sql, doc_bits_sql, pairs_sql, windows_sql
+from tessera.operators import backoff as BO
 from tessera.operators import lm
 from tessera.operators import retrieval as R
 from tessera.plans.rag import retrieve_with_context
@@ -56,6 +57,28 @@ def q_heldout_bits(spark, sf):
     return b.select("turn_id", "n_coded", F.round("bits", 4).alias("bits"))
 
 
+_BACKOFF = backoff_sql(BO.ORDER, BO.MIN_COUNT, BO.DISCOUNT)
+
+
+@register("train_backoff", f"WITH {_BACKOFF}\n" + " UNION ALL ".join(
+    f"SELECT CAST({k} AS INTEGER) AS level, ctx, sym, n, round(p, 10) AS p FROM e{k}" for k in range(BO.ORDER + 1)))
+def q_train_backoff(spark, sf):
+    m = BO.train(table(spark, sf, "documents"))
+    return m.entries.select("level", "ctx", "sym", "n", F.round("p", 10).alias("p"))
+
+
+@register("backoff_bits", f"""WITH {_BACKOFF}, {_TURNS_SQL},
+{windows_sql("_hw", "turns", "turn_id", "text", BO.ORDER)},
+{backoff_price_sql("_hp", "_hw", BO.ORDER)},
+_hb AS (SELECT id, count(*) AS n_coded, sum(-log2(p)) AS bits FROM _hw JOIN _hp USING (ctx, sym) GROUP BY id)
+SELECT turn_id, coalesce(n_coded, 0) AS n_coded, round(coalesce(bits, 0.0), 4) AS bits FROM turns LEFT JOIN _hb ON id = turn_id""")
+def q_backoff_bits(spark, sf):
+    """Conversation turns scored by the variable-order model of the documents."""
+    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), "text")
+    b = BO.document_bits(turns, BO.train(table(spark, sf, "documents")), id_col="turn_id")
+    return b.select("turn_id", "n_coded", F.round("bits", 4).alias("bits"))
+
+
 @register("shift_context", f"""WITH {pairs_sql("sp", "documents", "doc_id", "text")}
 SELECT id AS doc_id, a, b, count(*) AS n FROM sp GROUP BY ALL""")
 def q_shift_context(spark, sf):
@@ -130,13 +153,12 @@ def q_prob_diff(spark, sf):
 WITH _e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 _x AS (SELECT vec_id, list_transform(e, lambda x: exp(x - list_max(e))) AS ex FROM _e),
 _p AS (SELECT vec_id, list_transform(ex, lambda x: x / list_sum(ex)) AS p FROM _x)
-SELECT vec_id, round(p[1], 9) AS p_first, round(list_max(p), 9) AS p_max, CAST(list_position(p, list_max(p)) AS INTEGER) AS argmax FROM _p""")
+SELECT vec_id, list_transform(p, lambda x: round(x, 9)) AS p, CAST(list_position(p, list_max(p)) AS INTEGER) AS argmax FROM _p""")
 def q_softmax(spark, sf):
     e = table(spark, sf, "embeddings")
     p = lm.softmax_array(F.col("embedding").cast("array<double>"))
     return e.select("vec_id", p.alias("p")).select(
-        "vec_id", F.round(F.col("p")[0], 9).alias("p_first"), F.round(F.array_max("p"), 9).alias("p_max"),
-        F.array_position("p", F.array_max("p")).cast("int").alias("argmax"))
+        "vec_id", F.transform("p", lambda x: F.round(x, 9)).alias("p"), F.array_position("p", F.array_max("p")).cast("int").alias("argmax"))
 
 
 @register("rag_entropy_gain", f"""WITH {MODEL},
@@ -175,10 +197,9 @@ def q_rag_entropy_gain(spark, sf):
 {doc_bits_sql("_db", "documents", "doc_id", "text")}
 SELECT id AS doc_id, n_coded, round(bits, 4) AS bits FROM _db WHERE n_coded > 0""")
 def q_predictor_udf(spark, sf):
-    from tessera.functions.hooks import predict_symbols
-    docs = table(spark, sf, "documents")
-    p = predict_symbols(docs, _model(spark, sf))
-    return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_coded"), F.round(F.sum(-F.log2("p")), 4).alias("bits"))
+    from tessera.functions.hooks import bigram_predictor, predicted_bits
+    bits = predicted_bits(table(spark, sf, "documents"), bigram_predictor(_model(spark, sf)))
+    return bits.where("n_coded > 0").select("doc_id", "n_coded", F.round("bits", 4).alias("bits"))
 
 
 ACCUMULATION_STEPS = 4      # batches whose losses make one optimiser step
@@ -216,7 +237,50 @@ def q_classify_bytes(spark, sf):
                                      F.round(F.avg((F.col("prediction") == F.col("_label")).cast("int")), 6).alias("accuracy"))
 
 
-@register("ngram_generate")
+_CLASSIFY_SQL = """
+_rk AS (SELECT doc_id, row_number() OVER (ORDER BY md5('31:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r FROM documents),
+_d AS (SELECT d.doc_id, lang, hex(encode(text)) AS h, CASE WHEN r < floor((SELECT count(*) FROM documents) * 0.2) THEN 'eval' ELSE 'train' END AS split
+       FROM documents d JOIN _rk USING (doc_id)),
+_by AS (SELECT doc_id, lang, split, regexp_extract_all(h, '..') AS l FROM _d),
+_pos AS (SELECT doc_id, lang, split, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM _by),
+_two AS (SELECT doc_id, lang, split, x || lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS xy FROM _pos),
+_pc AS (SELECT doc_id, lang, split, ('0x' || xy)::INTEGER AS pair, count(*) AS n FROM _two WHERE xy IS NOT NULL GROUP BY ALL),
+_seen AS (SELECT pair, lang AS label, CAST(sum(n) AS BIGINT) AS n FROM _pc WHERE split = 'train' GROUP BY ALL),
+_cl AS (SELECT lang AS label, count(*) AS n_rows, ln(count(*) / (SELECT count(*) FROM _d WHERE split = 'train')) AS prior FROM _d WHERE split = 'train' GROUP BY lang),
+_np AS (SELECT label, sum(n) AS n_pairs FROM _seen GROUP BY label),
+_sum AS (SELECT doc_id, label, sum(p.n * ln(s.n + 1)) AS s FROM _pc p JOIN _seen s USING (pair) GROUP BY ALL),
+_len AS (SELECT doc_id, sum(n) AS n FROM _pc GROUP BY doc_id),
+_score AS (SELECT d.doc_id, d.split, c.label, c.prior - coalesce(l.n, 0) * ln(coalesce(np.n_pairs, 0) + 65536) + coalesce(s.s, 0) AS score
+           FROM _d d CROSS JOIN _cl c LEFT JOIN _np np ON np.label = c.label LEFT JOIN _len l ON l.doc_id = d.doc_id LEFT JOIN _sum s ON s.doc_id = d.doc_id AND s.label = c.label)"""
+
+
+@register("classify_counts", f"""WITH {_CLASSIFY_SQL}
+SELECT doc_id, split, label AS predicted FROM _score QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) = 1""")
+def q_classify_counts(spark, sf):
+    """The language of each document from its byte pairs, learned on the training part of the split."""
+    from tessera.operators import classify as CL
+    from tessera.operators import trainset as TS
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "UTF-8").alias("content"))
+    split = TS.train_eval_split(docs.select("doc_id"), "doc_id", share=0.2).select("doc_id", "split")
+    model = CL.fit_counts(docs.join(split.where("split = 'train'"), "doc_id", "left_semi"), "content", "lang")
+    return CL.predict_counts(model, docs, "doc_id", "content").join(split, "doc_id").select("doc_id", "split", "predicted")
+
+
+_GENERATE_SQL = """
+_hi AS (SELECT a, b, sum(CAST(n_ab AS DOUBLE)) OVER (PARTITION BY a ORDER BY b ROWS UNBOUNDED PRECEDING) / sum(CAST(n_ab AS DOUBLE)) OVER (PARTITION BY a) AS hi FROM model),
+_iv AS (SELECT a, b, hi, coalesce(lag(hi) OVER (PARTITION BY a ORDER BY b), 0.0) AS lo FROM _hi),
+gen AS (
+  SELECT item_id AS id, 0 AS step, CASE WHEN length(text) > 0 THEN right(text, 1) ELSE chr(10) END AS a, '' AS generated, true AS going, false AS stopped FROM benchmark
+  UNION ALL
+  SELECT g.id, g.step + 1, CASE WHEN v.b <> chr(10) THEN v.b ELSE g.a END, CASE WHEN v.b <> chr(10) THEN g.generated || v.b ELSE g.generated END,
+         coalesce(v.b <> chr(10), false), coalesce(v.b = chr(10), false)
+  FROM (SELECT *, CAST(('0x' || substr(md5('0:' || CAST(id AS VARCHAR) || ':' || CAST(step AS VARCHAR)), 1, 13))::BIGINT AS DOUBLE) / 4503599627370496 AS u
+        FROM gen WHERE going AND step < 64) g
+  LEFT JOIN _iv v ON v.a = g.a AND g.u >= v.lo AND g.u < v.hi)"""
+
+
+@register("ngram_generate", f"""WITH RECURSIVE {MODEL}, {_GENERATE_SQL}
+SELECT id, arg_max(generated, step) AS generated, CAST(length(arg_max(generated, step)) AS INTEGER) AS n_generated, arg_max(stopped, step) AS stopped FROM gen GROUP BY id""")
 def q_ngram_generate(spark, sf):
     from tessera.operators.generate import generate
     prompts = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("prompt"))

@@ -107,23 +107,24 @@ def q_audio_segment(spark, sf):
 
 
 @register("split_good_bad", """
-SELECT status, count(*) AS n_files FROM (
-  SELECT CASE WHEN substr(html, 1, 4) = 'RIFF' AND substr(html, 9, 4) = 'WAVE' THEN 'ok' ELSE 'not_wav' END AS status
-  FROM pages
-  UNION ALL SELECT 'ok' AS status FROM pages) GROUP BY status""")
+SELECT page_id, false AS wrapped, CASE WHEN substr(html, 1, 4) = 'RIFF' AND substr(html, 9, 4) = 'WAVE' THEN 'ok' ELSE 'not_wav' END AS status,
+       CASE WHEN substr(html, 1, 4) = 'RIFF' AND substr(html, 9, 4) = 'WAVE' THEN 0 ELSE 1 END AS n_failed FROM pages
+UNION ALL SELECT page_id, true AS wrapped, 'ok' AS status, 0 AS n_failed FROM pages""")
 def q_split_good_bad(spark, sf):
     # Every page once as raw bytes (not a WAV file) and once wrapped as WAV: the
     # bad rows are reported, not fatal, and both kinds are counted.
     p = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("b"))
-    files = p.select("page_id", F.col("b").alias("blob")).unionByName(p.select("page_id", MD.wav_blob("b").alias("blob")))
+    files = p.select("page_id", F.lit(False).alias("wrapped"), F.col("b").alias("blob")).unionByName(
+        p.select("page_id", F.lit(True).alias("wrapped"), MD.wav_blob("b").alias("blob")))
     ok = (F.substring("blob", 1, 4) == F.encode(F.lit("RIFF"), "US-ASCII")) & \
          (F.substring("blob", 9, 4) == F.encode(F.lit("WAVE"), "US-ASCII"))
-    s = files.select("page_id", F.when(ok, "ok").otherwise("not_wav").alias("status"))
-    return s.groupBy("status").agg(F.count(F.lit(1)).alias("n_files"))
+    return files.select("page_id", "wrapped", F.when(ok, "ok").otherwise("not_wav").alias("status"), F.when(ok, 0).otherwise(1).alias("n_failed"))
 
 
-@register("scan_image", f"""WITH {_IMG_SQL}
-SELECT DISTINCT 'page_' || CAST(page_id AS VARCHAR) || '.bmp' AS name, width, height, 3 AS n_channels, true AS ok FROM grid""")
+@register("scan_image", f"""WITH {_IMG_SQL},
+_px AS (SELECT page_id, regexp_replace(rpad(hex(encode(html)), CAST(2 * {RASTER_WIDTH} * ceil(octet_length(encode(html)) / {RASTER_WIDTH}) AS INTEGER), '0'), '(..)', '\\1\\1\\1', 'g') AS p FROM pages)
+SELECT DISTINCT 'page_' || CAST(page_id AS VARCHAR) || '.bmp' AS name, width, height, 3 AS n_channels, true AS ok, md5(unhex(p)) AS pixels_md5
+FROM grid JOIN _px USING (page_id)""")
 def q_scan_image(spark, sf):
     from tessera.session import scratch_path
     from tessera.sources import files as FS
@@ -134,4 +135,4 @@ def q_scan_image(spark, sf):
                      MD.bmp_blob("pixels", "width", "height").alias("blob"))
     FS.write_files(bmp, root, "name", "blob").write.format("noop").mode("overwrite").save()
     imgs = FS.read_images(spark, root)
-    return imgs.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", "n_channels", "ok")
+    return imgs.select(F.substring_index("path", "/", -1).alias("name"), "width", "height", "n_channels", "ok", F.md5("data").alias("pixels_md5"))

@@ -119,12 +119,12 @@ def q_mean_pool(spark, sf):
 @register("l2_normalize", """
 WITH _e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 _n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM _e)
-SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 9) AS norm_sq, round(u[1], 9) AS u_first FROM _n""")
+SELECT vec_id, round(list_sum(list_transform(u, lambda x: x * x)), 9) AS norm_sq, list_transform(u, lambda x: round(x, 9)) AS u FROM _n""")
 def q_l2_normalize(spark, sf):
     u = R.l2_normalize(F.col("embedding").cast("array<double>"))
     e = table(spark, sf, "embeddings").select("vec_id", u.alias("u"))
     return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 9).alias("norm_sq"),
-                    F.round(F.col("u")[0], 9).alias("u_first"))
+                    F.transform("u", lambda x: F.round(x, 9)).alias("u"))
 
 
 def _knn_sql(score: str, order: str) -> str:
@@ -158,8 +158,8 @@ FROM _w GROUP BY chunk_id"""
 
 @register("embed_udf", "WITH " + _EMBED_SQL)
 def q_embed_udf(spark, sf):
-    from tessera.functions.hooks import hashed_embedding
-    c = hashed_embedding(_chunks(spark, sf), "chunk_id", "chunk_text", out="v")
+    from tessera.functions.hooks import embed_udf
+    c = _chunks(spark, sf).select("chunk_id", embed_udf()("chunk_text").alias("v"))
     nz = F.filter(F.col("v"), lambda x: x > 0)
     top = F.array_max(F.col("v"))
     r = c.select("chunk_id", F.size(nz).cast("long").alias("n_nonzero"), F.round(top, 6).alias("max_weight"),
@@ -183,10 +183,10 @@ _r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT r.item_id, r.rank, r.chunk_id, r.score, c.chunk_text FROM _r r JOIN chunks c ON r.chunk_id = c.chunk_id WHERE r.rank <= {R.RAG_TOP_K}""")
 def q_dense_retrieval(spark, sf):
     """Documents -> chunks -> vectors, stored as the index with its vectors; questions -> vectors -> top-k -> text."""
-    from tessera.functions.hooks import hashed_embedding
+    from tessera.functions.hooks import embed_udf
     from tessera.session import stored
-    chunks = _chunks(spark, sf)
-    index = stored(chunks.join(hashed_embedding(chunks, "chunk_id", "chunk_text"), "chunk_id"), "vector-index")
-    asked = hashed_embedding(table(spark, sf, "benchmark"), "item_id", "text")
+    embed = embed_udf()
+    index = stored(_chunks(spark, sf).withColumn("embedding", embed("chunk_text")), "vector-index")
+    asked = table(spark, sf, "benchmark").select("item_id", embed("text").alias("embedding"))
     hits = R.knn_dense(asked, index, k=R.RAG_TOP_K, query_id="item_id", corpus_id="chunk_id")
     return R.lookup_text(hits, index).select("item_id", "rank", "chunk_id", "score", "chunk_text")

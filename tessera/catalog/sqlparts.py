@@ -86,6 +86,41 @@ def doc_bits_sql(name: str, src: str, id_col: str, text_col: str) -> str:
   FROM {src} d LEFT JOIN {name}_pr q ON d.{id_col} = q.id GROUP BY d.{id_col})"""
 
 
+def backoff_sql(order: int, min_count: int, discount: float) -> str:
+    """CTEs e0..e<order> (ctx, sym, n, p) and x0..x<order> (ctx, n_ctx, u, back_off) of the variable-order
+    model of ``documents``."""
+    out = [f"""{windows_sql("_tw", "documents", "doc_id", "text", order)},
+_top AS (SELECT ctx, sym, count(*) AS n FROM _tw GROUP BY ALL)"""]
+    for k in range(order + 1):
+        lower = "1 / (x.u + 1)" if k == 0 else "l.p"
+        below = "" if k == 0 else f" JOIN e{k - 1} l ON l.ctx = right(c.ctx, {k - 1}) AND l.sym = c.sym"
+        out.append(f"""_c{k} AS (SELECT right(ctx, {k}) AS ctx, sym, CAST(sum(n) AS BIGINT) AS n FROM _top WHERE length(ctx) >= {k} GROUP BY 1, 2),
+x{k} AS (SELECT ctx, CAST(sum(n) AS BIGINT) AS n_ctx, count(*) AS u, {discount} * count(*) / CAST(sum(n) AS BIGINT) AS back_off FROM _c{k} GROUP BY ctx
+       HAVING sum(n) >= {min_count if k else 1}),
+e{k} AS (SELECT c.ctx, c.sym, c.n, (c.n - {discount}) / x.n_ctx + x.back_off * {lower} AS p FROM _c{k} c JOIN x{k} x USING (ctx){below})""")
+    return ",\n".join(out)
+
+
+def windows_sql(name: str, src: str, id_col: str, text_col: str, order: int) -> str:
+    """CTE ``name`` (id, ctx, sym): each character but the first, after the up to ``order`` characters before it."""
+    before = " || ".join(f"coalesce(lag(ch, {j}) OVER w, '')" for j in range(order, 0, -1))
+    return f"""{name}_c AS (SELECT {id_col} AS id, string_split({text_col}, '') AS c FROM {src}),
+{name}_i AS (SELECT id, unnest(c) AS ch, generate_subscripts(c, 1) AS i FROM {name}_c),
+{name}_w AS (SELECT id, i, ch AS sym, {before} AS ctx FROM {name}_i WINDOW w AS (PARTITION BY id ORDER BY i)),
+{name} AS (SELECT id, ctx, sym FROM {name}_w WHERE i > 1)"""
+
+
+def backoff_price_sql(name: str, src: str, order: int) -> str:
+    """CTE ``name`` (ctx, sym, p): the distinct windows of ``src``, priced from the empty context up."""
+    out = [f"{name}_s AS (SELECT DISTINCT ctx, sym, 1 / ((SELECT coalesce(max(u), 0) FROM x0) + 1) AS p FROM {src})"]
+    for k in range(order + 1):
+        before, now = name + ("_s" if k == 0 else f"_{k - 1}"), name if k == order else f"{name}_{k}"
+        key = f"CASE WHEN length(s.ctx) >= {k} THEN right(s.ctx, {k}) END"
+        out.append(f"""{now} AS (SELECT s.ctx, s.sym, coalesce(e.p, coalesce(x.back_off, 1.0) * s.p) AS p FROM {before} s
+  LEFT JOIN e{k} e ON e.ctx = {key} AND e.sym = s.sym LEFT JOIN x{k} x ON x.ctx = {key})""")
+    return ",\n".join(out)
+
+
 DOC_STATS = f"""
 {MODEL},
 {doc_bits_sql("_db", "documents", "doc_id", "text")},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.catalog import register
+from tessera.catalog.bytes import ints_sql, pad16_sql
 from tessera.operators import trainset as TS
 from tessera.session import table
 
@@ -42,11 +43,20 @@ def q_filter_ext(spark, sf):
     return doc_files(spark, sf).filter(F.col("ext") == "en").select("path")
 
 
-@register("scan_multi_ext", f"""WITH {DOC_FILES_SQL}
-SELECT path FROM files WHERE ext IN ('de', 'fr')""")
+# Pages as image files of all seven kinds, upper case too, between files of other kinds.
+_KINDS = ["png", "JPG", "jpeg", "BMP", "gif", "Tiff", "webp", "html", "txt", "png2", "jpgx"]
+
+
+@register("scan_multi_ext", f"""
+WITH _f AS (SELECT page_id, {_KINDS!r}[CAST(page_id % {len(_KINDS)} AS INTEGER) + 1] AS kind FROM pages)
+SELECT 'img/page_' || CAST(page_id AS VARCHAR) || '.' || kind AS path, kind AS ext FROM _f
+WHERE lower(kind) IN ('png', 'jpg', 'jpeg', 'bmp', 'gif', 'tiff', 'webp')""")
 def q_scan_multi_ext(spark, sf):
-    from tessera.sources.files import ext_filter
-    return doc_files(spark, sf).filter(F.col("path").rlike(ext_filter(["DE", "fr"]))).select("path")
+    from tessera.sources.files import IMAGE_EXTENSIONS, ext_filter
+    kinds = F.array(*map(F.lit, _KINDS))
+    kind = F.element_at(kinds, (F.col("page_id") % len(_KINDS)).cast("int") + 1)
+    files = table(spark, sf, "pages").select(F.concat(F.lit("img/page_"), F.col("page_id").cast("string"), F.lit("."), kind).alias("path"))
+    return TS.path_columns(files.filter(F.col("path").rlike(ext_filter(IMAGE_EXTENSIONS)))).select("path", "ext")
 
 
 @register("label_ids", f"""WITH {DOC_FILES_SQL}
@@ -123,11 +133,18 @@ def q_minibatch(spark, sf):
     return TS.minibatch(_shuffled(spark, sf), "shuffle_rank")
 
 
-@register("concat_pair", f"""WITH {TURN_FILES_SQL.replace("AS stem FROM conversations", "AS stem, CAST(ceil(octet_length(encode(text)) / 16) AS INTEGER) + 2 AS n_patches FROM conversations")},
-_p AS (SELECT i.path AS input_path, t.path AS target_path, i.n_patches AS n_in, t.n_patches AS n_tgt
+def _file_symbols_sql(p: str) -> str:
+    """Symbols of a file but for its end patch: extension patch and data patches, padded."""
+    return (f"list_concat(list_concat({pad16_sql(ints_sql(p + 'x'))}, {ints_sql(p + 'h')}), "
+            f"list_transform(range((16 - (length({p}h) // 2) % 16) % 16), lambda x: 256))")
+
+
+@register("concat_pair", f"""WITH {TURN_FILES_SQL.replace("AS stem FROM conversations", "AS stem, CAST(ceil(octet_length(encode(text)) / 16) AS INTEGER) + 2 AS n_patches, hex(encode(text)) AS h, hex(encode(role)) AS x FROM conversations")},
+_p AS (SELECT i.path AS input_path, t.path AS target_path, i.n_patches AS n_in, t.n_patches AS n_tgt, i.h AS ih, t.h AS th, i.x AS ix, t.x AS tx
        FROM tfiles i JOIN tfiles t ON i.stem = t.stem WHERE i.ext = 'user' AND t.ext = 'assistant')
-SELECT input_path, target_path, CAST(least(1024, n_in - 1 + n_tgt) AS INTEGER) AS n_patches,
-       CAST(n_in - 1 AS INTEGER) AS target_start FROM _p""")
+SELECT input_path, target_path, CAST(least(1024, n_in - 1 + n_tgt) AS INTEGER) AS n_patches, CAST(n_in - 1 AS INTEGER) AS target_start,
+       md5(array_to_string(list_concat(list_concat({_file_symbols_sql("i")}, {_file_symbols_sql("t")}), list_transform(range(16), lambda x: 256))[1 : 16384], ',')) AS symbols_md5
+FROM _p""")
 def q_concat_pair(spark, sf):
     from tessera.operators.patches import to_patches
     c = table(spark, sf, "conversations")
@@ -139,4 +156,5 @@ def q_concat_pair(spark, sf):
     j = pairs.join(arrays.select(F.col("path").alias("input_path"), F.col("patches").alias("a")), "input_path") \
              .join(arrays.select(F.col("path").alias("target_path"), F.col("patches").alias("b")), "target_path")
     seq = TS.concat_pair(F.col("a"), F.col("b"))
-    return j.select("input_path", "target_path", F.size(seq).alias("n_patches"), (F.size("a") - 1).alias("target_start"))
+    return j.select("input_path", "target_path", F.size(seq).alias("n_patches"), (F.size("a") - 1).alias("target_start"),
+                    F.md5(F.array_join(F.flatten(seq), ",")).alias("symbols_md5"))

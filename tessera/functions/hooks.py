@@ -72,6 +72,48 @@ def hashed_embedding(df: DataFrame, id_col: str, text_col: str, dim: int = EMBED
     return df.select(id_col).join(v.withColumnRenamed("_id", id_col), id_col, "left").select(id_col, dense.alias(out))
 
 
+def bigram_predictor(model: DataFrame, max_bytes: int | None = None) -> Callable:
+    """Predictor factory of the bigram ``model``: its table goes to the workers, which is refused beyond the broadcast
+    bound (the join form of ``predict_symbols`` has no such bound)."""
+    from tessera.operators.lm import context_totals
+    from tessera.plans.hints import BROADCAST_BYTES, estimated_bytes
+
+    table = model.select("a", "b", "p")
+    if estimated_bytes(table) > (max_bytes or BROADCAST_BYTES):
+        raise ValueError("the model is too large for a worker; join it instead")
+    pairs = {r.a + r.b: r.p for r in table.collect()}
+    contexts = {r.a: r.n_a + r.vocab for r in context_totals(model).collect()}
+    vocab = model.agg(F.max("vocab")).first()[0] or 1
+    sent = model.sparkSession.sparkContext.broadcast((pairs, contexts, vocab))
+
+    def factory():
+        seen, totals, v = sent.value
+
+        def price(pair: str) -> float:
+            p = seen.get(pair)
+            return 1 / totals.get(pair[0], v) if p is None else p
+
+        def predict(texts: list[str]) -> list[np.ndarray]:
+            return [np.fromiter(map(price, map("".join, zip(t, t[1:]))), float, max(len(t) - 1, 0)) for t in texts]
+
+        return predict
+
+    return factory
+
+
+def predicted_bits(docs: DataFrame, predictor_factory: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_coded, bits) of each document under a predictor: its probabilities are summed where the text is read, so
+    no row per character leaves a task."""
+
+    def run(batches):
+        fn = predictor_factory()
+        for pdf in batches:
+            probs = [np.asarray(p, float) for p in fn(pdf[text_col].fillna("").tolist())]
+            yield pd.DataFrame({id_col: pdf[id_col], "n_coded": [len(p) for p in probs], "bits": [float(-np.log2(p).sum()) for p in probs]})
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} long, n_coded long, bits double")
+
+
 def predict_symbols(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
                     predictor_factory: Callable | None = None) -> DataFrame:
     """(id, pos, p): probability of each actual next character.

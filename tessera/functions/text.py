@@ -22,6 +22,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where inner lambdas use it: a lambda evaluates an
+    outer expression again for each element, but not its own variable."""
+    return F.transform(F.array(value), body)[0]
+
+
 def compose_title(title, text) -> Column:
     return F.concat(F.lit(TITLE_PREFIX), col_(title), F.lit("\n"), col_(text))
 

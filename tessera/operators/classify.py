@@ -1,13 +1,21 @@
-"""Byte-feature classification with Spark ML: hashed byte n-grams -> logistic regression."""
+"""Byte-feature classification: hashed byte n-grams with Spark ML's logistic regression, and byte pairs
+with a classifier whose parameters are counts (training is an aggregation, prediction a join)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, NGram, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.hints import bounded_broadcast
+from tessera.session import stored
+
 NUM_FEATURES = 1 << 14
 
 
@@ -31,3 +39,61 @@ def fit_classifier(train: DataFrame, content: str, label: str, n: int = 2, max_i
 
 def predict(model, df: DataFrame, content: str) -> DataFrame:
     return model.transform(df.withColumn("_bytes", byte_tokens(content)))
+
+
+# ---------------------------------------------------------------- byte pairs by counts
+
+PAIRS = 1 << 16           # possible byte pairs: the smoothing's vocabulary
+
+
+@dataclass
+class CountModel:
+    """Sufficient statistics: occurrences of each byte pair in each class, and the classes' totals."""
+    seen: DataFrame       # pair, label, n
+    classes: DataFrame    # label, n_rows, n_pairs
+
+
+def byte_pair_counts(df: DataFrame, keep: list[str], content: str) -> DataFrame:
+    """``keep``, pair (256 a + b), n: the byte pairs of each payload, counted where it is read."""
+    src = df.select(*keep, F.coalesce(F.col(content), F.lit(b"").cast("binary")).alias("_content"))
+    out = src.drop("_content").withColumns({"pair": F.lit(0), "n": F.lit(0).cast("long")}).schema
+
+    def run(batches):
+        for b in batches:
+            rows, pairs, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+            for i, raw in enumerate(b.column("_content").to_pylist()):
+                a = np.frombuffer(raw, np.uint8).astype(np.int32)
+                pair, n = np.unique(a[:-1] << 8 | a[1:], return_counts=True)
+                rows.append(np.full(len(pair), i))
+                pairs.append(pair)
+                counts.append(n)
+            at = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), pa.array(np.concatenate(pairs), pa.int32()), pa.array(np.concatenate(counts))],
+                                             names=[*keep, "pair", "n"])
+
+    return src.mapInArrow(run, out)
+
+
+def fit_counts(train: DataFrame, content: str, label: str) -> CountModel:
+    """The stored model of the labelled rows; rows without a label teach nothing."""
+    rows = train.where(F.col(label).isNotNull())
+    seen = stored(byte_pair_counts(rows, [label], content).groupBy("pair", F.col(label).alias("label")).agg(F.sum("n").alias("n")), "pair-counts")
+    n_pairs = seen.groupBy("label").agg(F.sum("n").alias("n_pairs"))
+    classes = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_rows")).join(n_pairs, "label", "left").fillna(0, ["n_pairs"])
+    return CountModel(seen, stored(classes, "classes"))
+
+
+def predict_counts(model: CountModel, df: DataFrame, id_col: str, content: str) -> DataFrame:
+    """(id, predicted): the class of largest ln P(class) + sum of n ln((n(pair, class) + 1) / (n(class) + 65536)); ties go
+    to the smaller label. Classes are few (one array), ids unique."""
+    counts = stored(byte_pair_counts(df, [id_col], content), "pair-counts")
+    known = bounded_broadcast(model.seen.select("pair", "label", F.log(F.col("n") + 1.0).alias("w")))
+    part = counts.join(known, "pair").groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("w")).alias("s"))
+    part = part.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("label", "s"))).alias("s"))
+    size = counts.groupBy(id_col).agg(F.sum("n").alias("n"))
+    total = F.lit(float(model.classes.agg(F.sum("n_rows")).first()[0] or 1))
+    classes = model.classes.select(F.sort_array(F.collect_list(F.struct("label", F.log(F.col("n_rows") / total).alias("prior"), F.log(F.col("n_pairs") + float(PAIRS)).alias("per"))))).scalar()
+    scored = df.select(id_col).join(size, id_col, "left").join(part, id_col, "left").withColumn("classes", classes)
+    score = F.transform("classes", lambda c: F.struct((c.prior - F.coalesce("n", F.lit(0)) * c.per + F.coalesce(F.col("s")[c.label], F.lit(0.0))).alias("score"), c.label.alias("label")))
+    best = F.reduce(score, score[0], lambda a, x: F.when(x.score > a.score, x).otherwise(a))
+    return scored.select(id_col, best["label"].alias("predicted"))

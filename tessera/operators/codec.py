@@ -142,16 +142,18 @@ class LaneModels:
 # ---------------------------------------------------------------- rANS lanes
 
 def encode_lanes(seqs: list, model: ByteModel) -> list:
-    """Encode byte strings in parallel lanes; returns one payload (bytes) per input."""
+    """Encode byte strings in parallel lanes; returns one payload (bytes) per input. A model of more than
+    256 symbols has a wider ``symbol_type``; its inputs are arrays of that type as bytes."""
+    kind = np.dtype(getattr(model, "symbol_type", np.uint8))
     out_payloads = [b""] * len(seqs)
     order = np.argsort([-len(s) for s in seqs], kind="stable")
     for g in range(0, len(order), LANE_GROUP):
         idx = order[g:g + LANE_GROUP]
-        lens = np.array([len(seqs[i]) for i in idx], dtype=np.int64)
+        lens = np.array([len(seqs[i]) // kind.itemsize for i in idx], dtype=np.int64)
         n, T = len(idx), int(lens.max(initial=0))
-        S = np.zeros((n, max(T, 1)), np.uint8)
+        S = np.zeros((n, max(T, 1)), kind)
         for r, i in enumerate(idx):
-            S[r, :lens[r]] = np.frombuffer(seqs[i], dtype=np.uint8)
+            S[r, :lens[r]] = np.frombuffer(seqs[i], dtype=kind)
         P = np.zeros_like(S)
         P[:, 1:] = S[:, :-1]
         x = np.full(n, RANS_L, dtype=np.uint64)
@@ -187,6 +189,7 @@ def encode_lanes(seqs: list, model: ByteModel) -> list:
 
 def decode_lanes(payloads: list, lengths: list, model: ByteModel) -> list:
     """Decode payloads of known symbol counts in parallel lanes."""
+    kind = np.dtype(getattr(model, "symbol_type", np.uint8))
     result = [b""] * len(payloads)
     order = np.argsort([-n for n in lengths], kind="stable")
     for g in range(0, len(order), LANE_GROUP):
@@ -202,8 +205,8 @@ def decode_lanes(payloads: list, lengths: list, model: ByteModel) -> list:
         for j in range(4):
             x = (x << np.uint64(8)) | B[:, j].astype(np.uint64)
         pos = np.full(n, 4, dtype=np.int64)
-        out = np.zeros((n, max(T, 1)), np.uint8)
-        prev = np.zeros(n, np.uint8)
+        out = np.zeros((n, max(T, 1)), kind)
+        prev = np.zeros(n, kind)
         active = n
         for t in range(T):
             while active > 0 and lens[active - 1] <= t:

@@ -174,11 +174,10 @@ def prob_diff(model: DataFrame, total_bits: int = 16) -> DataFrame:
 
 def softmax_array(v) -> Column:
     """Softmax over an array of logits (numerically stable)."""
-    arr = T.col_(v)
-    mx = F.array_max(arr)
-    ex = F.transform(arr, lambda x: F.exp(x - mx))
-    s = F.aggregate(ex, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.transform(ex, lambda x: x / s)
+    def shares(ex):
+        return T.bound(F.aggregate(ex, F.lit(0.0).cast("double"), lambda acc, x: acc + x), lambda s: F.transform(ex, lambda x: x / s))
+
+    return T.bound(T.col_(v), lambda a: T.bound(F.array_max(a), lambda m: T.bound(F.transform(a, lambda x: F.exp(x - m)), shares)))
 
 
 def rag_bits(items: DataFrame, contexts: DataFrame, model: DataFrame, lam: float = 0.25,

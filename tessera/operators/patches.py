@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import bytes as B
+from tessera.plans.hints import bounded_broadcast
+from tessera.session import stored
 
 # Fixed values that must equal the reference behaviour.
 TRACE_MEMORY_BYTES = 1024   # program memory ahead of the states
@@ -37,6 +39,15 @@ def patch_bytes(patch) -> F.Column:
     return B.from_ints(F.filter(patch, lambda x: x < B.PAD))
 
 
+def patch_pieces(patches: DataFrame, id_col: str, per_piece: int = 1 << 16) -> DataFrame:
+    """(path, piece_no, data): the bytes of a file's data patches, ``per_piece`` patches to a piece. A file is as many
+    rows as it needs; one without data patches is one empty piece."""
+    at = F.greatest(F.col("patch_no") - 1, F.lit(0))
+    data = F.when(F.col("patch_no") > 0, patch_bytes("patch")).otherwise(F.lit(b"").cast("binary"))
+    p = patches.select(F.col(id_col).alias("path"), F.floor(at / per_piece).cast("int").alias("piece_no"), "patch_no", data.alias("_b"))
+    return p.groupBy("path", "piece_no").agg(F.expr("listagg(_b) WITHIN GROUP (ORDER BY patch_no)").alias("data"))
+
+
 def merge_patches(patches: DataFrame, id_col: str, drop_ends: bool = True) -> DataFrame:
     """(id, data binary): data patches in patch order, padding removed.
 
@@ -48,21 +59,45 @@ def merge_patches(patches: DataFrame, id_col: str, drop_ends: bool = True) -> Da
     return p.groupBy(id_col).agg(F.coalesce(F.expr("listagg(_b) WITHIN GROUP (ORDER BY patch_no)"), F.lit(b"").cast("binary")).alias("data"))
 
 
+BLOCK, SPAN = 1 << 16, 1 << 8       # bytes under one hash: first blocks of a payload, then spans of the block that differs
+
+
+def _hashes(data: str, start, size, step: int) -> F.Column:
+    """SHA-256 of every ``step`` bytes of ``size`` bytes from the 0-based ``start`` on."""
+    last = F.greatest(F.ceil(size / step).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.sha2(F.substring(F.col(data), (start + i * step + 1).cast("int"), step), 256))
+
+
+def _first_unequal(a, b) -> F.Column:
+    """0-based place of the first unequal elements, null if there are none; a missing element is unequal."""
+    at = F.array_position(F.zip_with(a, b, lambda x, y: F.equal_null(x, y)), False)
+    return F.when(at > 0, at - 1)
+
+
 def verify_roundtrip(original: DataFrame, rebuilt: DataFrame, id_col: str, data: str = "data") -> DataFrame:
-    """Per id: equal?, both sizes, first differing byte (1-based; NULL when equal).
+    """Per id: equal?, both sizes, first differing byte (1-based; NULL when equal or one side is missing).
 
-    Full outer join on the id with a sha-256 equality; the byte-by-byte search
-    only runs for the (normally absent) rows that differ.
+    A tree of hashes: the sides meet with the SHA-256 of their blocks, and the first block that differs is found
+    from them. Payloads that differ are narrowed to a span of that block in the same way, and only such spans (at most
+    256 bytes) are compared as bytes; no payload is shuffled.
     """
-    o = original.select(id_col, F.col(data).alias("_o"))
-    r = rebuilt.select(id_col, F.col(data).alias("_r"))
-    j = o.join(r, id_col, "full_outer")
-    equal = F.coalesce(F.sha2(F.col("_o"), 256) == F.sha2(F.col("_r"), 256), F.lit(False))
-    same = F.zip_with(B.to_ints("_o"), B.to_ints("_r"), lambda x, y: F.equal_null(x, y))
-    first = F.array_position(same, False).cast("int")
-    return j.select(id_col, equal.alias("equal"),
-                    F.octet_length("_o").alias("original_bytes"), F.octet_length("_r").alias("rebuilt_bytes"),
-                    F.when(equal, F.lit(None).cast("int")).otherwise(first).alias("first_diff"))
+    o, r = (df.select(id_col, F.col(data).alias("_d")) for df in (original, rebuilt))
+    whole = lambda df, p: df.select(id_col, F.octet_length("_d").alias(f"{p}_n"), _hashes("_d", F.lit(0), F.octet_length("_d"), BLOCK).alias(f"{p}_h"))
+    j = whole(o, "_o").join(whole(r, "_r"), id_col, "full_outer")
+    equal = F.coalesce((F.col("_o_n") == F.col("_r_n")) & (F.col("_o_h") == F.col("_r_h")), F.lit(False))
+    j = stored(j.select(id_col, equal.alias("equal"), F.col("_o_n").alias("original_bytes"), F.col("_r_n").alias("rebuilt_bytes"),
+                        (F.when(~equal, _first_unequal("_o_h", "_r_h")) * BLOCK).alias("_at")), "verify-blocks")
+    differ = j.where("_at is not null").select(id_col, "_at")
+    if differ.isEmpty():
+        return j.select(id_col, "equal", "original_bytes", "rebuilt_bytes", F.lit(None).cast("int").alias("first_diff"))
+    part = lambda df, at, what: df.join(bounded_broadcast(at), id_col).select(id_col, "_at", what)
+    spans = _hashes("_d", F.col("_at"), F.least(F.lit(BLOCK), F.greatest(F.octet_length("_d") - F.col("_at"), F.lit(0))), SPAN)
+    near = part(o, differ, spans.alias("_a")).join(part(r, differ, spans.alias("_b")), [id_col, "_at"])
+    differ = stored(near.select(id_col, (F.col("_at") + _first_unequal("_a", "_b") * SPAN).alias("_at")), "verify-spans")
+    few = B.to_ints(F.substring(F.col("_d"), (F.col("_at") + 1).cast("int"), SPAN))
+    last = part(o, differ, few.alias("_a")).join(part(r, differ, few.alias("_b")), [id_col, "_at"])
+    found = last.select(id_col, (F.col("_at") + _first_unequal("_a", "_b") + 1).cast("int").alias("first_diff"))
+    return j.join(found, id_col, "left").select(id_col, "equal", "original_bytes", "rebuilt_bytes", "first_diff")
 
 
 def record_fields(blob: str) -> list:

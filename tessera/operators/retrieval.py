@@ -200,9 +200,8 @@ def rag_context(hits_with_text: DataFrame, query_id: str = "item_id", text_col:
 # ---------------------------------------------------------------- dense vectors
 
 def l2_normalize(v) -> F.Column:
-    arr = T.col_(v)
-    n = F.sqrt(F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
-    return F.transform(arr, lambda x: x / n)
+    length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + x * x))
+    return T.bound(T.col_(v), lambda a: T.bound(length(a), lambda n: F.transform(a, lambda x: x / n)))
 
 
 def mean_pool(df: DataFrame, group: str, vec: str, decimals: int | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ per-partition, so a rerun replaces instead of duplicating.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
@@ -28,8 +30,25 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def save_index(chunks: DataFrame, path: str) -> None:
-    """Write the chunk store (chunk_id, doc_id, chunk_no, chunk_text[, vector])."""
-    chunks.write.mode("overwrite").parquet(path)
+    """Write the chunk store (chunk_id, doc_id, chunk_no, chunk_text[, vector]). It is written beside an
+    older one and takes its place by renaming: a build that fails leaves the older index as it was."""
+    spark, mark = chunks.sparkSession, uuid.uuid4().hex[:12]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, here = hadoop(f"{path}.new-{mark}"), hadoop(f"{path}.old-{mark}"), hadoop(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        chunks.write.parquet(new.toString())
+        if fs.exists(here):
+            fs.rename(here, old)
+        elif here.getParent() is not None:
+            fs.mkdirs(here.getParent())
+        if not fs.rename(new, here):
+            raise RuntimeError(f"could not put the new index in place of {path}")
+    finally:
+        if not fs.exists(here) and fs.exists(old):
+            fs.rename(old, here)
+        for p in (new, old):
+            fs.delete(p, True)
 
 
 def load_or_build_index(spark: SparkSession, path: str, build: Callable[[], DataFrame],
@@ -47,12 +66,19 @@ def next_chunk_id(index: DataFrame) -> int:
     return 0 if m is None else int(m) + 1
 
 
+MARK_SECONDS = 24 * 3600      # a writer's mark that old belongs to a driver that died
+
+
 @contextmanager
-def single_writer(spark: SparkSession, path: str):
-    """Hold the writer's mark of a table: a second writer meanwhile is an error. A mark left by a
-    driver that died must be removed by hand."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_writing")
+def single_writer(spark: SparkSession, path: str, expires_s: float = MARK_SECONDS):
+    """Hold the writer's mark of a table: a second writer meanwhile is an error. The mark names its owner; one
+    older than ``expires_s`` was left by a driver that died and is taken over."""
+    hadoop, owner = spark._jvm.org.apache.hadoop.fs.Path, uuid.uuid4().hex
+    mark = hadoop(f"{path}/_writing")
     fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(mark) and time.time() - fs.getFileStatus(mark).getModificationTime() / 1000 > expires_s:
+        fs.rename(mark, hadoop(f"{path}/_expired-{owner}"))      # only one of several writers succeeds
+        fs.delete(hadoop(f"{path}/_expired-{owner}"), False)
     if not fs.createNewFile(mark):
         raise RuntimeError(f"another writer is appending to {path}")
     try:
