@@ -105,7 +105,8 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     chunks = parts[0]
     for p in parts[1:]:
         chunks = chunks.unionByName(p)
-    return chunks.join(_live(spark, root, at).select("doc_id", "segment"), ["doc_id", "segment"], "left_semi").drop("segment")
+    live = _live(spark, root, at).select("doc_id", "segment")
+    return chunks.join(live, ["doc_id", "segment"], "left_semi").select("chunk_id", "doc_id", "chunk_no", "chunk_text")
 
 
 def compact(spark: SparkSession, root: str) -> dict:
