@@ -133,12 +133,14 @@ class Blocks:
                 for b in batches:
                     for r in b.to_pylist():
                         t = pq.read_table(r["file"], filesystem=fs, partitioning=None)
-                        yield r["number"], {c: t[c].to_pylist() for c in columns}, *(
-                            block_table(f, r["number"], r[f"n{i}"]) for i, f in enumerate(folders))
+                        cols = {c: t[c].to_pylist() for c in columns}
+                        del t
+                        yield r["number"], cols, *(block_table(f, r["number"], r[f"n{i}"]) for i, f in enumerate(folders))
 
             yield from fn(blocks())
 
-        return files.repartition(max(1, self.count)).mapInArrow(run, schema)
+        # as many ranges as numbers, which differ: one block a task, so that a task never holds two
+        return files.repartitionByRange(max(1, self.count), "number").mapInArrow(run, schema)
 
 
 class Kept:
