@@ -66,6 +66,31 @@ def test_predicted_round_trip(spark):
     assert size < 0.2 * sum(len(PAYLOADS[i % 6]) for i in range(40))
 
 
+def test_finite_predictors_are_asked_for_rows_only(spark):
+    """The same payloads whether a predictor gives rows or whole distributions, each row made into frequencies once."""
+    data = spark.createDataFrame([(bytearray(p),) for p in PAYLOADS], "data binary")
+    order_two, _ = PR.order_two(spark, PR.save_order_two(data))
+
+    class RowsOnly(PR.OrderTwo):
+        def __init__(self):
+            self.__dict__ = order_two().__dict__
+
+        def __call__(self, seen):
+            raise AssertionError("a whole distribution was asked for")
+
+    def whole():
+        p = order_two()
+        return lambda seen: p(seen)
+
+    seqs = [PAYLOADS[i % 6][i:] for i in range(20)]
+    rows, full = PR._Asked(RowsOnly()), PR._Asked(whole())
+    coded = C.encode_lanes(seqs, PR._Writing(rows, seqs))
+    assert coded == C.encode_lanes(seqs, PR._Writing(full, seqs))
+    sizes = [len(s) for s in seqs]
+    for ask in (rows, full):
+        assert C.decode_lanes(coded, sizes, PR._Reading(ask, len(seqs), max(sizes))) == seqs
+
+
 def test_any_predictor_plugs_in(spark):
     def repeats():              # the next byte is likely the byte before
         def predict(seen):
