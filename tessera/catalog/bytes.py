@@ -204,8 +204,7 @@ def q_bits_to_bytes(spark, sf):
 
 def _bits(spark, sf):
     v = _pages(spark, sf).select("page_id", B.to_ints("content").alias("v"))
-    bits = F.array_join(F.transform("v", lambda x: F.lpad(F.conv(x.cast("string"), 10, 2), 8, "0")), "")
-    return v.select("page_id", F.regexp_replace(bits, "^0+", "").alias("bits"))
+    return v.select("page_id", F.regexp_replace(B.ints_to_bits("v"), "^0+", "").alias("bits"))
 
 
 @register("bytes_to_bits", f"""WITH {_BITS_SQL}

@@ -6,8 +6,11 @@ patches are ``array<int>`` (values 0..256). Raw payloads stay ``binary``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import col_
 
@@ -68,21 +71,49 @@ def strip_padding(a) -> Column:
     return F.when(keep <= 0, F.array().cast("array<int>")).otherwise(F.slice(arr, 1, keep))
 
 
+@F.arrow_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("pad", T.IntegerType())]))
+def _packed(bits: pa.Array) -> pa.Array:
+    data, pads = [], []
+    for b in bits.to_pylist():
+        if b is None:
+            data.append(None)
+            pads.append(None)
+            continue
+        pad = -len(b) % 8
+        data.append(np.packbits(np.frombuffer(b"0" * pad + b.encode(), np.uint8) & 1).tobytes())
+        pads.append(pad)
+    return pa.StructArray.from_arrays([pa.array(data, pa.binary()), pa.array(pads, pa.int32())], names=["data", "pad"])
+
+
+@F.arrow_udf(T.StringType())
+def _unpacked(data: pa.Array, pad: pa.Array) -> pa.Array:
+    out = []
+    for b, k in zip(data.to_pylist(), pad.to_pylist()):
+        out.append(None if b is None or k is None else (np.unpackbits(np.frombuffer(b, np.uint8)) + np.uint8(48)).tobytes()[k:].decode("ascii"))
+    return pa.array(out, pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _ints_as_bits(values: pa.Array) -> pa.Array:
+    out = []
+    for v in values:
+        out.append(None if not v.is_valid else (np.unpackbits(v.values.to_numpy(zero_copy_only=False).astype(np.uint8)) + np.uint8(48)).tobytes().decode("ascii"))
+    return pa.array(out, pa.string())
+
+
+def ints_to_bits(a) -> Column:
+    """Bit string of an array of byte values, eight bits each."""
+    return _ints_as_bits(col_(a))
+
+
 def bits_to_bytes(bits) -> Column:
     """struct(data binary, pad int): left-pad the bit string with zeros to whole bytes."""
-    s = col_(bits)
-    n = F.length(s)
-    pad = ((n + 7) / 8).cast("int") * 8 - n
-    groups = F.regexp_extract_all(F.lpad(s, n + pad, "0"), F.lit("([01]{8})"), 1)
-    hexes = F.transform(groups, lambda g: F.lpad(F.conv(g, 2, 16), 2, "0"))
-    data = F.when(n == 0, F.lit(b"").cast("binary")).otherwise(F.unhex(F.array_join(hexes, "")))
-    return F.struct(data.alias("data"), pad.alias("pad"))
+    return _packed(col_(bits))
 
 
 def bytes_to_bits(b, pad) -> Column:
     """Bit string of the bytes without the leading ``pad`` bits."""
-    bits = F.array_join(F.transform(to_ints(b), lambda x: F.lpad(F.conv(x.cast("string"), 10, 2), 8, "0")), "")
-    return F.substring(bits, col_(pad) + 1, 1 << 30)
+    return _unpacked(col_(b), col_(pad))
 
 
 def shift_right(a) -> Column:
