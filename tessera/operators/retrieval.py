@@ -47,6 +47,9 @@ def sparse_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 QUERY_BLOCK_BYTES = 32 << 20      # query weights or vectors shipped to every task at once
 MAX_SCORE_CELLS = 1 << 24         # corpus rows x queries scored at once in one task (128 MB of doubles)
+COMMON_TERMS = 256                # query terms of most queries, scored as a matrix product
+DENSE_ROWS = 2048                 # corpus rows of one such product
+LIST_ENTRIES = 1 << 20            # (row, query) contributions of the other terms added at once
 
 
 class _TopK:
@@ -137,27 +140,67 @@ def _query_terms(rows):
     return np.array(ids, np.int64), terms, q[order], w[order], first
 
 
+def _runs(ends, most):
+    """(lo, hi) of consecutive entries with at most ``most`` in all, given running totals; a larger one stands alone."""
+    import numpy as np
+
+    lo, done = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield lo, hi
+        lo, done = hi, int(ends[hi - 1])
+
+
 def _sparse_scores(batches, ids, terms, q, w, first, k):
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     best = _TopK(len(ids), k)
     step = max(1, MAX_SCORE_CELLS // len(ids))
+    held = np.diff(first)                                # queries that hold each term
+    common = np.argsort(-held, kind="stable")[:COMMON_TERMS]
+    place = np.full(len(terms), -1)
+    place[common] = np.arange(len(common))
+    dense = np.zeros((len(common), len(ids)))            # their weights as a matrix, the other terms' as lists
+    for i, t in enumerate(common.tolist()):
+        dense[i, q[first[t]:first[t + 1]]] = w[first[t]:first[t + 1]]
     for b in batches:
         cids = b.column("cid").to_numpy()
-        words = b.column("words").to_pylist()
         order = np.argsort(cids, kind="stable")
+        place_of = np.empty(len(order), np.int64)
+        place_of[order] = np.arange(len(order))
+        # words as numbers of the batch's distinct words: only those become Python strings
+        words = b.column("words")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(place_of, pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        pair, tf = np.unique(row * max(len(distinct), 1) + code, return_counts=True)
+        all_row, code = np.divmod(pair, max(len(distinct), 1))
+        norm = np.sqrt(np.bincount(all_row, tf * tf, len(order)))
+        term = np.fromiter((terms.get(x, -1) for x in distinct), np.int64, len(distinct))[code]
+        on = term >= 0
+        all_row, term, tf = all_row[on], term[on], tf[on]
         for at in range(0, len(order), step):
             part = order[at:at + step]
-            score = np.zeros((len(part), len(ids)))
-            for row, i in enumerate(part.tolist()):
-                tf: dict[str, int] = {}
-                for x in words[i] or ():
-                    tf[x] = tf.get(x, 0) + 1
-                norm = sum(n * n for n in tf.values()) ** 0.5
-                for x in tf.keys() & terms.keys():
-                    a, z = first[terms[x]], first[terms[x] + 1]
-                    score[row, q[a:z]] += w[a:z] * (tf[x] / norm)
+            here = slice(*np.searchsorted(all_row, (at, at + len(part))))
+            row, t = all_row[here] - at, term[here]
+            weight = tf[here] / norm[at + row]
+            score = np.empty((len(part), len(ids)))
+            many = place[t] >= 0
+            cut = np.searchsorted(row[many], np.arange(0, len(part) + DENSE_ROWS, DENSE_ROWS))
+            for r, lo, hi in zip(range(0, len(part), DENSE_ROWS), cut, cut[1:]):
+                x = np.zeros((min(DENSE_ROWS, len(part) - r), len(common)))
+                x[row[many][lo:hi] - r, place[t[many][lo:hi]]] = weight[many][lo:hi]
+                score[r:r + len(x)] = x @ dense
+            row, t, weight = row[~many], t[~many], weight[~many]
+            size = held[t]
+            ends = np.cumsum(size)
+            for lo, hi in _runs(ends, LIST_ENTRIES):
+                n = size[lo:hi]
+                entry = np.repeat(first[t[lo:hi]] - (ends[lo:hi] - n), n) + np.arange(ends[lo] - size[lo], ends[hi - 1])
+                np.add.at(score, (np.repeat(row[lo:hi], n), q[entry]), w[entry] * np.repeat(weight[lo:hi], n))
             key = np.where(score > 0, -np.round(score, SCORE_DECIMALS), np.inf)
             best.add(key, cids[part])
     n, cid, key = best.rows()
