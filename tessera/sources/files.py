@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.trainset import path_columns
 
+OPEN_BYTES = 64 << 10     # cost of opening a file, in bytes read meanwhile
 # Fixed values that must equal the reference behaviour.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "gif", "tiff", "webp"]   # matched in either case
 
@@ -16,9 +17,23 @@ def ext_filter(exts: list[str]) -> str:
     return r"(?i)\.(" + "|".join(exts) + r")$"
 
 
+def small_files(spark: SparkSession) -> SparkSession:
+    """A session that takes an unread file for ``OPEN_BYTES`` more than it holds. With Spark's 4 MB, 32 small files
+    fill a task, and tasks outnumber the work; a setting of the session's own is kept."""
+    key = "spark.sql.files.openCostInBytes"
+    if spark.conf.get(key, None) is not None:
+        return spark
+    other = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            other.conf.set(k, v)
+    other.conf.set(key, str(OPEN_BYTES))
+    return other
+
+
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """(path, text): every file as one UTF-8 document (``wholetext``)."""
-    r = spark.read.option("recursiveFileLookup", recursive)
+    r = small_files(spark).read.option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
     # text() sets wholetext itself, so it must be passed there, not as an option
@@ -28,7 +43,7 @@ def read_text_files(spark: SparkSession, path: str, glob: str | None = None, rec
 def read_binary_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True,
                       ext_regex: str | None = None) -> DataFrame:
     """(path, length, content, ext, stem, label). ``content`` is only read when selected."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    r = small_files(spark).read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(path)
@@ -40,7 +55,7 @@ def read_binary_files(spark: SparkSession, path: str, glob: str | None = None, r
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, height, width, n_channels, mode, data, ok): decoded images; undecodable files
     are kept as rows with ok = false so a bad file does not stop the job."""
-    img = (spark.read.format("image").option("dropInvalid", False)
+    img = (small_files(spark).read.format("image").option("dropInvalid", False)
            .option("recursiveFileLookup", True).load(path))
     i = F.col("image")
     return img.select(i.origin.alias("path"), i.height.alias("height"), i.width.alias("width"),
