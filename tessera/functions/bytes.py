@@ -153,3 +153,12 @@ def read_block(blob) -> Column:
     length = byte_at(b, F.lit(2)) * 256 + byte_at(b, F.lit(3))
     payload = F.substring(b, 4, 1 << 30)
     return F.when(ok, F.struct(pad.alias("pad"), length.alias("length"), payload.alias("payload")))
+
+
+def runs(ends: np.ndarray, most: int):
+    """(lo, hi) of consecutive entries with at most ``most`` in all, given running totals; a larger one stands alone."""
+    lo, done = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield lo, hi
+        lo, done = hi, int(ends[hi - 1])

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.lm import with_characters
+from tessera.operators.lm import window_counts
 from tessera.plans.hints import bounded_broadcast
 from tessera.session import scratch_path, stored
 
@@ -33,18 +33,6 @@ class BackoffModel:
     order: int
 
 
-def windows(df: DataFrame, keep: list[str], text_col: str, order: int = ORDER) -> DataFrame:
-    """``keep`` columns, ctx (the up to ``order`` characters before) and sym, for each symbol but the first."""
-    c = F.col("_c")
-    n = F.greatest(F.size(c) - 1, F.lit(0))
-    names = [f"h{j}" for j in range(order, 0, -1)]
-    none = F.lit(None).cast("string")
-    before = [F.concat(F.array_repeat(none, F.least(F.lit(j - 1), n)), F.slice(c, 1, F.greatest(n - (j - 1), F.lit(0)))).alias(f"h{j}")
-              for j in range(order, 0, -1)]
-    rows = with_characters(df, keep, text_col).select(*keep, F.explode(F.arrays_zip(*before, F.slice(c, 2, n).alias("sym"))).alias("w"))
-    return rows.select(*keep, F.concat_ws("", *[F.col("w")[h] for h in names]).alias("ctx"), F.col("w")["sym"].alias("sym"))
-
-
 def _suffix(ctx: str, level: int) -> Column:
     """The last ``level`` characters, null if there are fewer."""
     c = F.col(ctx)
@@ -53,7 +41,7 @@ def _suffix(ctx: str, level: int) -> Column:
 
 def train(corpus: DataFrame, text_col: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, discount: float = DISCOUNT) -> BackoffModel:
     """The stored model of a corpus."""
-    top = stored(windows(corpus, [], text_col, order).groupBy("ctx", "sym").agg(F.count(F.lit(1)).alias("n")), "window-counts")
+    top = stored(window_counts(corpus, [], text_col, order).groupBy("ctx", "sym").agg(F.sum("n").alias("n")), "window-counts")
     entries, contexts, below = [], [], None
     for level in range(order + 1):
         own = top.select(_suffix("ctx", level).alias("ctx"), "sym", "n").where("ctx is not null").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
@@ -96,9 +84,9 @@ def price(seen: DataFrame, model: BackoffModel) -> DataFrame:
 
 
 def document_bits(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_coded, bits) of every document; those without a coded symbol have none. Each distinct window is
-    priced once; only ids, windows and counts are shuffled."""
-    counts = stored(windows(docs, [id_col], text_col, model.order).groupBy(id_col, "ctx", "sym").agg(F.count(F.lit(1)).alias("n")), "document-windows")
+    """(id, n_coded, bits) of every document; those without a coded symbol have none. Windows are counted where the
+    document is read, so no task gathers those of many documents, and each distinct one is priced once."""
+    counts = stored(window_counts(docs, [id_col], text_col, model.order), "document-windows")
     priced = stored(price(counts.select("ctx", "sym").distinct(), model), "priced-windows")
     per = counts.join(priced, ["ctx", "sym"]).groupBy(id_col).agg(F.sum("n").alias("n_coded"), F.sum(-F.col("n") * F.log2("p")).alias("bits"))
     return docs.select(id_col).join(per, id_col, "left").select(

@@ -10,15 +10,19 @@ document has no context and is not coded.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.bytes import runs
 from tessera.plans.hints import bounded_broadcast
 from tessera.session import stored
 
 # Fixed values that must equal the reference behaviour.
 TOP_K_PROBE = 5                                   # top-5 membership check of the true symbol
+SLICE_CHARS = 1 << 19                             # characters whose windows a task counts at once
 FLOAT32_EPS = float(np.finfo(np.float32).eps)     # machine epsilon used by the pdf normaliser
 
 
@@ -35,19 +39,67 @@ def with_characters(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
     return df.select(*keep, T.characters(text_col).alias("_c"))
 
 
-def exploded_pairs(df: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """``keep`` columns and (a, b): one row per coded symbol."""
-    return with_characters(df, keep, text_col).select(*keep, F.explode(symbol_pairs("_c")).alias("p")) \
-        .select(*keep, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
+def window_counts(df: DataFrame, keep: list[str], text_col: str, order: int = 1) -> DataFrame:
+    """``keep`` columns, ctx (the up to ``order`` characters before), sym, n: the symbols but the first of each text, with
+    their contexts, counted where the text is read. Rows are counted by themselves if ``keep`` names columns, else
+    ``SLICE_CHARS`` characters of them together; a window can come in several rows. Memory is bounded by a slice, or by the longest text."""
+    src = df.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    out = src.drop("_text").withColumns({"ctx": F.lit(""), "sym": F.lit(""), "n": F.lit(0).cast("long")}).schema
+
+    def run(batches):
+        for b in batches:
+            sizes = pc.utf8_length(b.column("_text")).to_numpy().astype(np.int64)
+            for lo, hi in runs(np.cumsum(sizes), SLICE_CHARS):
+                row, ctx, sym, n = _windows("".join(b.column("_text").slice(lo, hi - lo).to_pylist()), sizes[lo:hi], order, bool(keep))
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(row + lo)) for c in keep), ctx, sym, pa.array(n, pa.int64())], names=[*keep, "ctx", "sym", "n"])
+
+    return src.mapInArrow(run, out)
+
+
+def _distinct(key: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of ``key`` (all below ``top``) and their counts."""
+    if top <= 8 * len(key):
+        n = np.bincount(key, minlength=1)
+        on = np.flatnonzero(n)
+        return on, n[on]
+    return np.unique(key, return_counts=True)
+
+
+def _windows(text: str, sizes: np.ndarray, order: int, by_row: bool) -> tuple:
+    """(row, ctx, sym, count) of the windows of texts given one after the other."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    present = np.zeros(int(code.max(initial=0)) + 2, bool)
+    present[code] = True
+    number = np.cumsum(present)[code]                    # from 1; 0 stands before a text
+    most = int(present.sum()) + 1
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(place > 0)
+    key, top = number[at], most
+    for j in range(1, order + 1):
+        if top > (1 << 62) // most:
+            found, key = np.unique(key, return_inverse=True)
+            top = len(found)
+        key, top = key * most + np.where(place[at] >= j, number[at - j], 0), top * most
+    values, _ = _distinct(key, top)
+    first = np.zeros(len(values), np.int64)
+    of = np.searchsorted(values, key) if top > 8 * len(key) else np.cumsum(np.bincount(values, minlength=top))[key] - 1
+    first[of] = at
+    pair = row[at] * len(values) + of if by_row else of
+    pair, n = _distinct(pair, (len(sizes) if by_row else 1) * len(values))
+    rows, kind = np.divmod(pair, max(len(values), 1))
+    ends, starts = first.tolist(), (first - np.minimum(place[first], order)).tolist()
+    ctx, sym = pa.array([text[s:e] for s, e in zip(starts, ends)], pa.string()), pa.array([text[e] for e in ends], pa.string())
+    return rows, ctx.take(pa.array(kind)), sym.take(pa.array(kind)), n
 
 
 def train_bigram(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     """Model table (a, b, n_ab, n_a, vocab, p, bits).
 
-    The pair count is a partial + final aggregation, so a hot pair is combined
-    map-side before the shuffle. ``vocab`` is a scalar subquery.
+    Pairs are counted where the texts are read, then by a partial + final aggregation,
+    so a hot pair is combined map-side before the shuffle. ``vocab`` is a scalar subquery.
     """
-    counts = exploded_pairs(corpus, [], text_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    counts = window_counts(corpus, [], text_col).groupBy(F.col("ctx").alias("a"), F.col("sym").alias("b")).agg(F.sum("n").alias("n_ab"))
     # The counts feed the vocabulary and several joins: stored once, one row per seen pair.
     counts = stored(counts, "bigram-counts")
     vocab = counts.select(F.count_distinct("b")).scalar()
@@ -82,11 +134,12 @@ def document_bits(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """(id, n_coded, bits): -sum log2 P over every coded symbol of each document.
 
-    Symbol pairs are counted per document first (combined where the document is read),
-    then priced once per distinct pair. Documents without a coded symbol (null, empty or
+    Symbol pairs are counted where the document is read, so no task gathers the pairs of many
+    documents, then priced once per distinct pair. Documents without a coded symbol (null, empty or
     one character) have 0 symbols and 0 bits. Only ids and counts are shuffled.
     """
-    priced = with_bits(pair_counts(docs, id_col, text_col), model)
+    pairs = window_counts(docs, [id_col], text_col).withColumnsRenamed({"ctx": "a", "sym": "b"})
+    priced = with_bits(pairs, model)
     per = priced.groupBy(id_col).agg(F.sum("n").alias("n_coded"), F.sum(F.col("n") * F.col("bits")).alias("bits"))
     return docs.select(id_col).join(per, id_col, "left").select(
         id_col, F.coalesce("n_coded", F.lit(0)).alias("n_coded"), F.coalesce("bits", F.lit(0.0)).alias("bits"))
@@ -94,7 +147,7 @@ def document_bits(docs: DataFrame, model: DataFrame, id_col: str = "doc_id",
 
 def pair_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, a, b, n): symbol pairs counted per document (context shifted by one)."""
-    return exploded_pairs(df, [id_col], text_col).groupBy(id_col, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return window_counts(df, [id_col], text_col).groupBy(id_col, F.col("ctx").alias("a"), F.col("sym").alias("b")).agg(F.sum("n").alias("n"))
 
 
 def symbol_cdf(model: DataFrame) -> DataFrame:
