@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.bytes import runs
 from tessera.operators.ordering import assign_consecutive_ids
 from tessera.plans.hints import bounded_broadcast
 from tessera.session import stored
@@ -33,8 +34,9 @@ def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def build_chunks(docs: DataFrame, start_id: int | F.Column = 0, **kw) -> DataFrame:
     """Chunk table (chunk_id, doc_id, chunk_no, chunk_text) with consecutive ids in
-    (doc_id, chunk_no) order: the stored index, so documents are chunked once per job."""
-    return assign_consecutive_ids(chunk_documents(docs, **kw), ["doc_id", "chunk_no"], start=start_id)
+    (doc_id, chunk_no) order: the stored index, so documents are chunked once per job. The chunks
+    are stored before they are put in order too: finding the bounds of the order reads them once more."""
+    return assign_consecutive_ids(stored(chunk_documents(docs, **kw), "chunks"), ["doc_id", "chunk_no"], start=start_id)
 
 
 def sparse_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,6 +49,7 @@ def sparse_weights(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 QUERY_BLOCK_BYTES = 32 << 20      # query weights or vectors shipped to every task at once
 MAX_SCORE_CELLS = 1 << 24         # corpus rows x queries scored at once in one task (128 MB of doubles)
+SLICE_CELLS = 1 << 18             # of them, scored in one slice by the sparse scan: 2 MB stay in a core's cache
 COMMON_TERMS = 256                # query terms of most queries, scored as a matrix product
 DENSE_ROWS = 2048                 # corpus rows of one such product
 LIST_ENTRIES = 1 << 20            # (row, query) contributions of the other terms added at once
@@ -106,7 +109,7 @@ def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = RAG_TOP_K,
     """
     spark = corpus.sparkSession
     weights = sparse_weights(queries, query_id, query_text)
-    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), T.lower_words(corpus_text).alias("words"))
+    c = corpus.select(F.col(corpus_id).cast("long").alias("cid"), F.lower(corpus_text).alias("text"))
     cand = None
     for block in _blocks(weights, "id", F.octet_length("token") + 24, block_bytes):
         rows = block.collect()
@@ -115,7 +118,7 @@ def knn_sparse(queries: DataFrame, corpus: DataFrame, k: int = RAG_TOP_K,
         bc = spark.sparkContext.broadcast(_query_terms([(r.id, r.token, r.weight) for r in rows]))
 
         def score(batches, bc=bc):
-            yield from _sparse_scores(batches, *bc.value, k)
+            yield from _sparse_scores(split_words(batches), *bc.value, k)
 
         part = c.mapInArrow(score, "qid long, cid long, score double")
         cand = part if cand is None else cand.unionByName(part)
@@ -140,15 +143,15 @@ def _query_terms(rows):
     return np.array(ids, np.int64), terms, q[order], w[order], first
 
 
-def _runs(ends, most):
-    """(lo, hi) of consecutive entries with at most ``most`` in all, given running totals; a larger one stands alone."""
-    import numpy as np
+def split_words(batches):
+    """(cid, text) batches as (cid, words): the words of ``T.words``, split a batch at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    lo, done = 0, 0
-    while lo < len(ends):
-        hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
-        yield lo, hi
-        lo, done = hi, int(ends[hi - 1])
+    for b in batches:
+        text = pc.utf8_trim_whitespace(b.column("text"))
+        words = pc.utf8_split_whitespace(pc.if_else(pc.equal(text, ""), pa.scalar(None, text.type), text))
+        yield pa.RecordBatch.from_arrays([b.column("cid"), words], names=["cid", "words"])
 
 
 def _sparse_scores(batches, ids, terms, q, w, first, k):
@@ -157,7 +160,7 @@ def _sparse_scores(batches, ids, terms, q, w, first, k):
     import pyarrow.compute as pc
 
     best = _TopK(len(ids), k)
-    step = max(1, MAX_SCORE_CELLS // len(ids))
+    step = max(1, min(MAX_SCORE_CELLS, SLICE_CELLS) // len(ids))
     held = np.diff(first)                                # queries that hold each term
     common = np.argsort(-held, kind="stable")[:COMMON_TERMS]
     place = np.full(len(terms), -1)
@@ -197,10 +200,13 @@ def _sparse_scores(batches, ids, terms, q, w, first, k):
             row, t, weight = row[~many], t[~many], weight[~many]
             size = held[t]
             ends = np.cumsum(size)
-            for lo, hi in _runs(ends, LIST_ENTRIES):
+            for lo, hi in runs(ends, LIST_ENTRIES):
                 n = size[lo:hi]
                 entry = np.repeat(first[t[lo:hi]] - (ends[lo:hi] - n), n) + np.arange(ends[lo] - size[lo], ends[hi - 1])
                 np.add.at(score, (np.repeat(row[lo:hi], n), q[entry]), w[entry] * np.repeat(weight[lo:hi], n))
+            if best.key is not None and len(best.key) == k:          # rows that cannot be among the k best of any query
+                on = np.flatnonzero((score >= -best.key[-1] - 10.0 ** -SCORE_DECIMALS).any(axis=1))
+                score, part = score[on], part[on]
             key = np.where(score > 0, -np.round(score, SCORE_DECIMALS), np.inf)
             best.add(key, cids[part])
     n, cid, key = best.rows()
