@@ -230,7 +230,7 @@ def q_classify_bytes(spark, sf):
     from tessera.operators import classify as CL
     from tessera.operators import trainset as TS
     docs = table(spark, sf, "documents").select("doc_id", "lang", F.encode("text", "UTF-8").alias("content"))
-    split = TS.train_eval_split(docs, "doc_id", share=0.2)
+    split = TS.train_eval_split(CL.byte_features(docs, "content"), "doc_id", share=0.2)
     model = CL.fit_classifier(split.filter(F.col("split") == "train"), "content", "lang")
     pred = CL.predict(model, split, "content")
     return pred.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
