@@ -22,11 +22,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.retrieval import RAG_TOP_K, SCORE_DECIMALS, sparse_weights, top_k
+from tessera.operators.retrieval import RAG_TOP_K, SCORE_DECIMALS, sparse_weights, split_words, top_k
 from tessera.plans.hints import bounded_broadcast
 from tessera.session import scratch_path, stored
 
@@ -34,6 +37,7 @@ BLOCK_POSTINGS = 128
 LIST_IDS = 1 << 16        # row ids that one posting list spans: the most entries it can have
 SEED_TERMS = 8            # rarest terms of a query that find its first rows
 SEED_ROWS = 4             # first rows scored, as a multiple of k
+TASK_PAIRS = 1 << 21      # (row, query) sums of one task
 SLACK = 10.0 ** -SCORE_DECIMALS
 
 
@@ -44,16 +48,29 @@ class SparseIndex:
     terms: DataFrame      # token, df, most
 
 
+def _vectors(batches):
+    """(cid, terms) of the rows that hold words, counted and weighed where they are read."""
+    kind = pa.struct([("token", pa.string()), ("weight", pa.float64())])
+    for b in split_words(batches):
+        words = b.column("words")
+        coded = words.flatten().dictionary_encode()
+        size = max(len(coded.dictionary), 1)
+        row = np.repeat(np.arange(len(b)), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+        pair, n = np.unique(row * size + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        row, word = np.divmod(pair, size)
+        weight = n / np.sqrt(np.bincount(row, n * n, len(b)))[row]
+        ids, first = np.unique(row, return_index=True)
+        terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(word)), pa.array(weight)], fields=list(kind))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), terms)
+        yield pa.RecordBatch.from_arrays([b.column("cid").take(pa.array(ids)), lists], names=["cid", "terms"])
+
+
 def build(corpus: DataFrame, path: str | None = None, id_col: str = "chunk_id", text_col: str = "chunk_text") -> SparseIndex:
     """Index the rows of ``corpus`` (unique long ids) and store it under ``path``."""
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "sparse-index")
-    words = corpus.select(F.col(id_col).cast("long").alias("cid"), F.explode(T.lower_words(text_col)).alias("token"))
-    n = words.groupBy("cid", "token").agg(F.count(F.lit(1)).alias("n"))
-    rows = n.groupBy("cid").agg(F.collect_list(F.struct("token", "n")).alias("t"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    weighted = F.transform("t", lambda x: F.struct(x.token.alias("token"), x.n.alias("n")))
-    rows.select("cid", "norm", weighted.alias("t")).select(
-        "cid", F.expr("transform(t, x -> struct(x.token AS token, x.n / norm AS weight))").alias("terms")).write.parquet(f"{path}/vectors")
+    rows = corpus.select(F.col(id_col).cast("long").alias("cid"), F.lower(text_col).alias("text"))
+    rows.mapInArrow(_vectors, "cid long, terms array<struct<token: string, weight: double>>").write.parquet(f"{path}/vectors")
     vectors = spark.read.parquet(f"{path}/vectors")
     flat = vectors.select("cid", F.explode("terms").alias("t")).select("cid", "t.token", "t.weight")
     part = F.floor(F.col("cid") / LIST_IDS).cast("long")
@@ -114,10 +131,15 @@ def candidates(terms: DataFrame, index: SparseIndex, k: int) -> DataFrame:
     t = stored(t.where(~idle).select("qid", "token", "q", "bound", "rest", "all"), "essential-terms")
     w = F.least(F.col("most"), F.col("q") / F.sqrt("all"))  # the bound grows with w up to here
     alive = F.col("q") * w + F.sqrt(F.greatest(F.col("all") - F.col("q") * F.col("q"), F.lit(0.0)) * (1 - w * w)) >= F.col("bound")
-    read = index.postings.join(bounded_broadcast(t), "token").where(alive)
-    sums = read.select("qid", "q", "bound", "rest", F.explode("entries").alias("e")).groupBy("qid", F.col("e.cid").alias("cid")).agg(
-        F.sum(F.col("q") * F.col("e.weight")).alias("s"), F.sum(F.col("e.weight") * F.col("e.weight")).alias("w"),
-        F.first("bound").alias("bound"), F.first("rest").alias("rest"))
+    # Blocks that some query reads; their entries meet by row, before they are spread over the queries: a posting crosses the
+    # shuffle once, and a task's sums are at most TASK_PAIRS on average.
+    met = index.postings.withColumnRenamed("token", "_token")
+    read = met.join(bounded_broadcast(t), (F.col("_token") == F.col("token")) & alive, "left_semi").select(F.col("_token").alias("token"), "most", F.explode("entries").alias("e"))
+    n = -(-index.vectors.count() * max(t.select("qid").distinct().count(), 1) // TASK_PAIRS)
+    read = read.select("token", "most", "e.cid", "e.weight").repartition(max(n, t.sparkSession.sparkContext.defaultParallelism), "cid")
+    sums = read.join(bounded_broadcast(t), "token").where(alive).groupBy("cid", "qid").agg(
+        F.sum(F.col("q") * F.col("weight")).alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("w"))
+    sums = sums.join(bounded_broadcast(t.select("qid", "bound", "rest").distinct()), "qid")
     upper = F.col("s") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("w"), F.lit(0.0)))
     return sums.where(upper >= F.col("bound")).select("qid", "cid")
 
