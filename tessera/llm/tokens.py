@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 KEPT_PARTS = 350_000       # parts kept as new, and as many again that were new before
 
@@ -28,9 +29,21 @@ _NOT_PLAIN = rf"[ \n\t][ \n]|[{_ODD_CLASS}]"
 _SAFE_CUT = re.compile("(?<=[!-~\u00c0-\u024f])(?=[ \n])")
 _PARTS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+")
 _LETTERS = frozenset(chr(c) for c in range(0x41, 0x250) if chr(c).isalpha() and (c < 0x80 or c >= 0xc0))
+#: A single pre-token whatever the library's Unicode tables.
+_WORD = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 _TAIL = ".,;:!?"
 _ENDS = frozenset(_TAIL)
-_TOGETHER = 1 << 8         # parts encoded in one call
+_TOGETHER = 1 << 6         # parts encoded in one call
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary, by Latin-1 code point."""
+    own = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTER_OF_BYTE = _byte_letters()
 
 
 class Encoder:
@@ -45,6 +58,11 @@ class Encoder:
         self._whole = Tokenizer.from_file(path)
         added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         self._special = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        pre = self._tokenizer.pre_tokenizer
+        self._model = self._tokenizer.model
+        # words of letters alone go straight to the library's model: nothing before it would change or cut them
+        self._bare = (self._tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex
+                      and not pre.add_prefix_space and isinstance(self._model, models.BPE))
         self._line_end, = self._tokenizer.encode("\n", add_special_tokens=False).ids
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
@@ -86,8 +104,17 @@ class Encoder:
         return out
 
     def _encode(self, parts: list[str], into: dict[str, bytes]) -> None:
-        """Encode parts ``into`` a table by the library, many at once: a line end between two parts is a token of its
-        own, and its id occurs in no part without a line end."""
+        """Encode parts ``into`` a table by the library: words by its model, other parts many at once: a line end between
+        two parts is a token of its own, and its id occurs in no part without a line end."""
+        if self._bare:
+            tokenize, match, others = self._model.tokenize, _WORD.fullmatch, []
+            for p in parts:
+                if match(p):
+                    letters = p.replace(" ", "\u0120") if p.isascii() else p.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
+                    into[p] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+                else:
+                    others.append(p)
+            parts = others
         alone = [p for p in parts if "\n" in p or p[-1] in " \t" or _ODD.search(p)]
         aside = set(alone)
         rest = [p for p in parts if p not in aside]

@@ -30,6 +30,28 @@ def test_encoder_equals_the_library():
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ref(t), repr(t)
 
 
+def test_words_go_to_the_model_alone():
+    """The library's regular expressions see no word of letters; ids are the same."""
+    enc = Encoder(P.path("byte_bpe_50k.json"))
+    seen, library = [], enc._tokenizer
+
+    class Seen:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts[0].split("\n"))
+            return library.encode_batch_fast(texts, **options)
+
+    enc._tokenizer = Seen()
+    words = ["plain", "Größe", "\u00c0\u00d6\u00d8\u00f6\u00f8\u00ff\u0100\u01c3\u024f", "don't", "a-b", "x1", "7\u00d78", "mixed."]
+    text = " ".join(words)
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == reference()(text)
+    assert sorted(seen) == sorted([" don't", " a-b", " x1", " 7\u00d78", "."])
+    every = [chr(c) for c in range(0xc0, 0x250)] + ["a" + chr(c) + "b" for c in range(0xc0, 0x250)]
+    assert [np.frombuffer(enc.encode("z " + w), "<u4").tolist() for w in every] == list(map(reference(), ["z " + w for w in every]))
+
+
 def test_crc32c_known_values():
     assert B.crc32c_many([b"123456789", b"", b"\x00" * 32, b"\xff" * 32]) == [0xE3069283, 0, 0x8A9136AA, 0x62A8AB43]
     rng = random.Random(9)
