@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import register
 from tessera.operators import codec as C
+from tessera.operators import metrics as M
 from tessera.operators import retrieval as R
 from tessera.plans import compression as J
 from tessera.session import scratch_path, table
@@ -111,9 +112,9 @@ def q_codec_ratio(spark, sf):
 def q_gzip_corpus(spark, sf):
     d = J.corpus_bytes(spark, sf)
     g = d.select("doc_id", F.octet_length("data").alias("original_bytes"), C.gzip_bytes("data").alias("gz"))
-    return g.select("doc_id", "original_bytes", F.octet_length("gz").alias("gzip_bytes"),
-                    F.round(F.col("original_bytes") / F.octet_length("gz"), 6).alias("ratio"),
-                    F.round(100 * (1 - F.octet_length("gz") / F.col("original_bytes")), 4).alias("space_saved_pct"))
+    o, c = F.col("original_bytes"), F.octet_length("gz")
+    return g.select("doc_id", "original_bytes", c.alias("gzip_bytes"),
+                    F.round(M.ratio(o, c), 6).alias("ratio"), F.round(M.space_saved(o, c), 4).alias("space_saved_pct"))
 
 
 @register("gunzip_corpus", "SELECT doc_id, text FROM documents")

@@ -335,10 +335,10 @@ def decompress_with_context(blocks: DataFrame, model: ByteModel, id_col: str, la
 
 @F.pandas_udf(T.BinaryType())
 def gzip_bytes(s: pd.Series) -> pd.Series:
-    """gzip level 9 with mtime 0, so output bytes are reproducible."""
-    return s.map(lambda b: gzip.compress(bytes(b), compresslevel=GZIP_LEVEL, mtime=0))
+    """gzip level 9 with mtime 0, so output bytes are reproducible. Null stays null."""
+    return s.map(lambda b: None if b is None else gzip.compress(bytes(b), compresslevel=GZIP_LEVEL, mtime=0))
 
 
 @F.pandas_udf(T.BinaryType())
 def gunzip_bytes(s: pd.Series) -> pd.Series:
-    return s.map(lambda b: gzip.decompress(bytes(b)))
+    return s.map(lambda b: None if b is None else gzip.decompress(bytes(b)))
