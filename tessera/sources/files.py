@@ -1,13 +1,27 @@
-"""File scans with Spark's built-in sources: whole-text files, binary files, images."""
+"""File scans: whole-text and binary files, listed and read in tasks; images with Spark's built-in source."""
 
 from __future__ import annotations
 
+import functools
+import itertools
+import math
+import os
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.trainset import path_columns
+from tessera.session import stored
 
 OPEN_BYTES = 64 << 10     # cost of opening a file, in bytes read meanwhile
+READ_BYTES = 8 << 20      # of files that a task hands on at once
+LIST_ROWS = 10_000        # of a listing that a task hands on at once
 # Fixed values that must equal the reference behaviour.
 IMAGE_EXTENSIONS = ["png", "jpg", "jpeg", "bmp", "gif", "tiff", "webp"]   # matched in either case
 
@@ -31,8 +45,135 @@ def small_files(spark: SparkSession) -> SparkSession:
     return other
 
 
+# What Hadoop's codecs read by the name's end; Spark's text source unpacks such files.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+ODD = re.compile(r"[^A-Za-z0-9\-_.!~*'():@&=+$,;/\x80-\U0010ffff]|[\x80-\x9f\s]")      # what Java quotes in the path of a URI
+LISTED = "path string, uri string, length long, folder boolean"
+
+
+@functools.cache
+def _store(head: str) -> tuple[pafs.FileSystem, str]:
+    """File system of ``scheme:`` or ``scheme://authority``, and what paths in it begin with."""
+    if head.startswith("file:"):
+        return pafs.LocalFileSystem(), ""
+    store, base = pafs.FileSystem.from_uri(head)
+    return store, base.rstrip("/")
+
+
+def _parts(path: str) -> tuple[str, str]:
+    """``scheme:`` or ``scheme://authority``, and the path below it, of a qualified path."""
+    return re.fullmatch(r"([^:/]+:(?://[^/]*)?)(/.*)", path, re.DOTALL).groups()
+
+
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    head, below = _parts(path)
+    store, base = _store(head)
+    return store, base + below
+
+
+def _uri(path: str) -> str:
+    """``path`` as ``input_file_name`` writes it: with an authority and quoted."""
+    head, below = _parts(path)
+    return (head if "//" in head else f"{head}//") + ODD.sub(lambda m: quote(m[0], safe=""), below)
+
+
+def _entries(folder: str):
+    """(name, length, folder?) of what a folder holds, one after the other where the file system allows."""
+    store, at = _opened(folder)
+    if not isinstance(store, pafs.LocalFileSystem):
+        for i in store.get_file_info(pafs.FileSelector(at)):
+            yield i.base_name, i.size or 0, i.type == pafs.FileType.Directory
+        return
+    with os.scandir(at) as found:
+        for e in found:
+            try:
+                yield (e.name, 0, True) if e.is_dir() else (e.name, e.stat().st_size, False)
+            except FileNotFoundError:               # gone meanwhile, or a link to nothing
+                pass
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's scans pass over."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _list(batches):
+    def rows():
+        for b in batches:
+            for folder in b.column("path").to_pylist():
+                for name, length, inner in _entries(folder):
+                    if not _hidden(name):
+                        path = f"{folder.rstrip('/')}/{name}"
+                        yield path, _uri(path), length, inner
+
+    found = rows()
+    while some := list(itertools.islice(found, LIST_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.string(), pa.int64(), pa.bool_()))],
+                                         names=["path", "uri", "length", "folder"])
+
+
+def list_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame | None:
+    """(path, uri, length) of the files that Spark's own scans read below ``path``: no hidden and no empty ones, and
+    only those whose name fits ``glob``. Tasks list the folders, level by level, and store what they find, so the
+    listing is a table and neither the driver nor a task holds it. None if ``path`` is nowhere, or in a store that
+    tasks cannot open."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in files.globStatus(files.makeQualified(root)) or ()]
+    try:
+        level = [(p, _uri(p), n, inner) for p, n, inner in found if _opened(p)]
+    except (OSError, ValueError, ImportError, NotImplementedError):
+        return None
+    if not level:
+        return None
+    levels, rows = [], spark.createDataFrame(level, LISTED)
+    while rows is not None:
+        levels.append(stored(rows, "listing"))
+        inner = levels[-1].filter("folder")
+        if not recursive and len(levels) > 1:
+            inner = inner.filter(F.substring_index("path", "/", -1).contains("="))       # partitions of one table
+        n = inner.count()
+        rows = inner.select("path").repartition(min(n, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(_list, LISTED) if n else None
+    name = F.substring_index("path", "/", -1)
+    out = functools.reduce(DataFrame.unionAll, levels).filter(~F.col("folder") & (F.col("length") > 0) & ~name.rlike(r"^(\.|_[^=]*$)"))
+    if glob:
+        out = out.filter(name.rlike(rf"^(?:{spark._jvm.org.apache.hadoop.fs.GlobPattern(glob).compiled().pattern()})\z"))
+    return out.select("path", "uri", "length")
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Listed files dealt to as many tasks as Spark's scan would make, a file of ``OPEN_BYTES`` more than it holds."""
+    spark = files.sparkSession
+    conf = small_files(spark)._jsparkSession.sessionState().conf()
+    opening = conf.filesOpenCostInBytes()
+    size = files.agg(F.coalesce(F.sum(F.col("length") + opening), F.lit(0))).first()[0]
+    task = min(conf.filesMaxPartitionBytes(), max(opening, size / spark.sparkContext.defaultParallelism))
+    return files.repartition(max(1, math.ceil(size / task)), "path")
+
+
+@F.arrow_udf(T.BinaryType())
+def _content(paths: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What the files hold, handed on by at most ``READ_BYTES`` and one file."""
+    for batch in paths:
+        held, size = [], 0
+        for p in batch.to_pylist():
+            store, at = _opened(p)
+            with open(at, "rb") if isinstance(store, pafs.LocalFileSystem) else store.open_input_stream(at, compression=None) as f:
+                held.append(f.read())
+            size += len(held[-1])
+            if size >= READ_BYTES:
+                yield pa.array(held, pa.binary())
+                held, size = [], 0
+        if held:
+            yield pa.array(held, pa.binary())
+
+
 def read_text_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """(path, text): every file as one UTF-8 document (``wholetext``)."""
+    """(path, text): every file as one UTF-8 document. Spark's ``wholetext`` source, whose listing the driver holds,
+    reads the folder if there are packed files, or if tasks cannot open it."""
+    files = list_files(spark, path, glob, recursive)
+    if files is not None and files.filter(F.col("path").rlike(PACKED)).isEmpty():
+        return _dealt(files).select(F.col("uri").alias("path"), _content("path").cast("string").alias("text"))
     r = small_files(spark).read.option("recursiveFileLookup", recursive)
     if glob:
         r = r.option("pathGlobFilter", glob)
