@@ -183,14 +183,18 @@ def read_text_files(spark: SparkSession, path: str, glob: str | None = None, rec
 
 def read_binary_files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = True,
                       ext_regex: str | None = None) -> DataFrame:
-    """(path, length, content, ext, stem, label). ``content`` is only read when selected."""
-    r = small_files(spark).read.format("binaryFile").option("recursiveFileLookup", recursive)
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.load(path)
+    """(path, length, content, ext, stem, label). ``content`` is only read when selected. Spark's ``binaryFile``
+    source, whose listing the driver holds, reads the folder if tasks cannot open it."""
+    df = list_files(spark, path, glob, recursive)
+    own = df is None
+    if own:
+        r = small_files(spark).read.format("binaryFile").option("recursiveFileLookup", recursive)
+        if glob:
+            r = r.option("pathGlobFilter", glob)
+        df = r.load(path)
     if ext_regex:
         df = df.filter(F.col("path").rlike(ext_regex))
-    return path_columns(df.select("path", "length", "content"))
+    return path_columns(df.select("path", "length", "content") if own else _dealt(df).select("path", "length", _content("path").alias("content")))
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
